@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
+from . import grace
+from .grace import op5_exact_dedup
+from .pieces import op8_pieces
+from .sampling import op2_fingerprints
 from .simhash import op7_simhash
 
 QUERIES = {
+    "op2_fingerprints": op2_fingerprints,
+    "op5_exact_dedup": op5_exact_dedup,
     "op7_simhash": op7_simhash,
+    "op8_pieces": op8_pieces,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_exact_dedup": grace.OP5_SQL,
+}
