@@ -4,15 +4,25 @@ from __future__ import annotations
 
 from . import grace
 from .grace import op5_exact_dedup
+from .langid import op10_language
+from .packing import op4_packing
 from .pieces import op8_pieces
+from .recompression import op9_repeats
 from .sampling import op2_fingerprints
 from .simhash import op7_simhash
+from .toxicity import op3_toxicity
+from .warc import op6_warc
 
 QUERIES = {
     "op2_fingerprints": op2_fingerprints,
+    "op3_toxicity": op3_toxicity,
+    "op4_packing": op4_packing,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_warc": op6_warc,
     "op7_simhash": op7_simhash,
     "op8_pieces": op8_pieces,
+    "op9_repeats": op9_repeats,
+    "op10_language": op10_language,
 }
 
 ORACLE_SQL: dict[str, str] = {
