@@ -21,8 +21,8 @@ from .common import ship, text_of
 
 #: Samples of a fingerprint; the standard error of a likeness is at most 0.5 / sqrt(SAMPLES).
 SAMPLES = 128
-#: Distinct (term, weight) pairs whose draws a worker keeps.
-MEMO = 150_000
+#: (term, weight) pairs whose draws a worker keeps; 8 * SAMPLES bytes each.
+MEMO = 120_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -32,64 +32,99 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def gamma2_quantiles(bits: int) -> np.ndarray:
+    """Gamma(2, 1) at the middles of 2 ** bits equal shares: solves 1 - (1 + x) exp(-x) = u by bisection."""
+    u = (np.arange(1 << bits) + 0.5) / (1 << bits)
+    low, high = np.zeros_like(u), np.full_like(u, 60.0)
+    for _ in range(60):
+        x = (low + high) / 2
+        below = -np.expm1(-x) - x * np.exp(-x) < u
+        low, high = np.where(below, x, low), np.where(below, high, x)
+    return (low + high) / 2
+
+
+class _Places(dict):
+    """Row numbers of keys, given out in turn; fresh: the keys without draws so far."""
+
+    def __init__(self):
+        super().__init__()
+        self.fresh: list = []
+
+    def __missing__(self, key) -> int:
+        self[key] = n = len(self)
+        self.fresh.append(key)
+        return n
+
+
 class Sampler:
-    """Signatures of weighted term sets."""
+    """Signatures of weighted term sets.
+
+    One 64-bit hash of (term, sample) gives r (16 bits), c (18 bits) by the quantiles of their distribution, and b (30
+    bits). A draw is kept as one integer, ln a above 16 bits of the mark of (term, t), so the least of a column is the
+    sample whatever the order of terms.
+    """
 
     def __init__(self, samples: int = SAMPLES, memo: int = MEMO):
         self.samples, self.room = samples, memo
-        self.place: dict[tuple[str, int], int] = {}
-        self.score = np.zeros((0, samples), dtype=np.float32)
-        self.mark = np.zeros((0, samples), dtype=np.uint16)
-        steps = np.arange(5 * samples, dtype=np.uint64).reshape(5, samples)
-        self.salt = _mix(steps * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))
-
-    def draws(self, keys: list[tuple[str, int]]) -> tuple[np.ndarray, np.ndarray]:
-        """(ln a, mark of (term, t)) of each (term, weight), by sample."""
-        term = np.array([xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w, _ in keys], dtype=np.uint64)
-        ln_w = np.log(np.array([n for _, n in keys], dtype=np.float64))[:, None]
-        u = [((_mix(term[:, None] ^ s) >> np.uint64(11)).astype(np.float64) + 0.5) / (1 << 53) for s in self.salt]
-        r, c = -np.log(u[0] * u[1]), -np.log(u[2] * u[3])
-        t = np.floor(ln_w / r + u[4])
-        mark = _mix(_mix(term[:, None] + np.uint64(7)) ^ t.astype(np.int64).view(np.uint64)) & np.uint64(0xFFFF)
-        return (np.log(c) - r * (t - u[4]) - r).astype(np.float32), mark.astype(np.uint16)
-
-    def rows(self, keys: list[tuple[str, int]]) -> np.ndarray:
-        """Row numbers of the keys in the memo, which grows by what is missing; it starts anew when it is full."""
-        place = self.place
-        missing = [k for k in dict.fromkeys(keys) if k not in place]
-        if missing:
-            if len(place) + len(missing) > self.room:
-                place.clear()
-                missing = list(dict.fromkeys(keys))
-            score, mark = self.draws(missing)
-            at = len(place)
-            if at + len(missing) > len(self.score):
-                size = max(2 * len(self.score), at + len(missing), 4096)
-                for name, new in (("score", score), ("mark", mark)):
-                    old = getattr(self, name)
-                    grown = np.empty((size, self.samples), dtype=new.dtype)
-                    grown[:at] = old[:at]
-                    setattr(self, name, grown)
-            self.score[at : at + len(missing)], self.mark[at : at + len(missing)] = score, mark
-            place.update(zip(missing, range(at, at + len(missing)), strict=True))
-        return np.fromiter(map(place.__getitem__, keys), dtype=np.int64, count=len(keys))
+        self.place = _Places()
+        self.drawn = np.empty((memo, samples), dtype=np.int64)
+        self.salt = _mix(np.arange(1, samples + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        self.r = gamma2_quantiles(16).astype(np.float32)
+        self.ln_c = np.log(gamma2_quantiles(18)).astype(np.float32)
+
+    def draws(self, keys: list) -> np.ndarray:
+        """A key is a word (weight 1) or a pair of word and weight."""
+        single = [i for i, k in enumerate(keys) if isinstance(k, str)]
+        more = [i for i, k in enumerate(keys) if not isinstance(k, str)]
+        out = np.empty((len(keys), self.samples), dtype=np.int64)
+        if single:
+            out[single] = self._draw([keys[i] for i in single], None)
+        if more:
+            out[more] = self._draw([keys[i][0] for i in more], np.array([keys[i][1] for i in more]))
+        return out
+
+    def _draw(self, words: list[str], weight: np.ndarray | None) -> np.ndarray:
+        term = np.array([xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words], dtype=np.uint64)
+        h = (term[:, None] ^ self.salt) * np.uint64(0xBF58476D1CE4E5B9)
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0x94D049BB133111EB)
+        r = self.r.take((h >> np.uint64(48)).view(np.int64))
+        value = self.ln_c.take((h >> np.uint64(30) & np.uint64((1 << 18) - 1)).view(np.int64))
+        b = (h & np.uint64((1 << 30) - 1)).astype(np.float32)
+        b *= np.float32(2**-30)
+        own = _mix(term + np.uint64(7))[:, None]
+        if weight is None:  # ln 1 = 0, so t = 0 in every sample
+            b -= np.float32(1)
+            mark = _mix(own)
+        else:
+            t = np.floor(np.log(weight.astype(np.float32))[:, None] / r + b)
+            b -= t
+            b -= np.float32(1)
+            mark = _mix(own ^ t.astype(np.int64).view(np.uint64))
+        b *= r
+        value += b
+        # a fixed-point number above the 16 bits of the mark
+        out = (value * np.float32(1 << 40)).astype(np.int64)
+        out &= ~np.int64(0xFFFF)
+        out |= (mark & np.uint64(0xFFFF)).astype(np.int64)
+        return out
 
     def signature(self, counts: dict[str, int]) -> np.ndarray | None:
-        """The marks of the samples; None for the empty set. Independent of the order of terms."""
-        keys = sorted(counts.items())
-        best = mark = None
-        column = np.arange(self.samples)
-        for at in range(0, len(keys), 2048):
-            rows = self.rows(keys[at : at + 2048])
-            score = self.score[rows]
-            i = score.argmin(axis=0)
-            least, own = score[i, column], self.mark[rows[i], column]
-            if best is None:
-                best, mark = least, own
-            else:
-                mark = np.where(least < best, own, mark)
-                best = np.minimum(best, least)
-        return mark
+        """16-bit marks of the samples; None for the empty set. Independent of the order of terms."""
+        keys = [w if n == 1 else (w, n) for w, n in counts.items()]
+        least = None
+        for at in range(0, len(keys), 4096):
+            part = keys[at : at + 4096]
+            if len(self.place) + len(part) > self.room:
+                self.place = _Places()
+            rows = list(map(self.place.__getitem__, part))
+            if fresh := self.place.fresh:
+                n = len(self.place)
+                self.drawn[n - len(fresh) : n] = self.draws(fresh)
+                fresh.clear()
+            own = self.drawn[rows].min(axis=0)
+            least = own if least is None else np.minimum(least, own)
+        return None if least is None else (least & 0xFFFF).astype(np.uint16)
 
 
 def likeness(a: np.ndarray | None, b: np.ndarray | None) -> float:
