@@ -6,6 +6,7 @@ from . import grace
 from .grace import op5_exact_dedup
 from .langid import op10_language
 from .packing import op4_packing
+from .pii import op1_personal_data
 from .pieces import op8_pieces
 from .recompression import op9_repeats
 from .sampling import op2_fingerprints
@@ -14,6 +15,7 @@ from .toxicity import op3_toxicity
 from .warc import op6_warc
 
 QUERIES = {
+    "op1_personal_data": op1_personal_data,
     "op2_fingerprints": op2_fingerprints,
     "op3_toxicity": op3_toxicity,
     "op4_packing": op4_packing,
