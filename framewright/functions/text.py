@@ -80,7 +80,7 @@ def tolerant_timestamp(text: Column) -> Column:
 
 def listed(text: Column) -> Column:
     """The distinct non-blank parts of a comma list, trimmed, in order."""
-    return F.array_distinct(F.filter(F.transform(F.split(text, ","), F.trim), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda x: x != ""))
 
 
 def cluster_key(face_id: Column) -> Column:
