@@ -1,16 +1,21 @@
 """Toxicity severity by cumulative-link ordinal regression over sparse word features.
 
 P(grade <= k) = sigmoid(theta_k - w.x) for ordered thresholds theta_0 < theta_1 < ... and one weight vector w that
-all thresholds share. x marks which words a text holds (hashed). The expected severity is the sum over k of
-P(grade > k).
+all thresholds share. x marks which features a text holds: its words, and the first letters of its words. The expected
+severity is the sum over k of P(grade > k).
+
+Most words are rare and tell nothing, so features are chosen first: those whose likelihood ratio with the label is so
+large that fewer than one in all features would reach it by chance.
 
 The tables label texts as toxic or not. Grades are made from that label: 0 where it is 0; a toxic text's grade is 1
-to GRADES - 1 by how large a share of its words are words that toxic texts hold far more often than others.
+to GRADES - 1 by how many different words it holds whose features stand for toxic texts.
 """
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,12 +24,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, text_of
+from .common import ship, stored, text_of
 
 #: Severity grades, 0 (none) to GRADES - 1.
 GRADES = 4
-#: Hashed word features.
-FEATURES = 1 << 18
+#: Lengths of the word beginnings that are features.
+PREFIXES = (4, 5, 6)
+#: Features chosen at most, those with the largest likelihood ratios.
+MOST_FEATURES = 20_000
 #: About so many labelled rows of each label are learned from at most (chosen by a hash of doc_id).
 ROWS_A_LABEL = 5000
 #: A text is rejected from this probability of a grade above 0.
@@ -34,16 +41,30 @@ _WORD = re.compile(r"\w+")
 MEMO = 300_000
 
 
-def word_features(text: str) -> dict[str, int]:
-    """Lower-cased words and how often the text holds them."""
-    out: dict[str, int] = {}
-    for w in _WORD.findall(text.lower()):
-        out[w] = out.get(w, 0) + 1
-    return out
+def words_of(text: str) -> list[str]:
+    return _WORD.findall(text.lower())
+
+
+def features_of(word: str) -> list[int]:
+    """Digests of a word and of its beginnings, as signed longs."""
+    data = word.encode("utf-8", "surrogatepass")
+    out = [xxhash.xxh3_64_intdigest(data)]
+    out += [xxhash.xxh3_64_intdigest(word[:n].encode("utf-8", "surrogatepass"), seed=1) for n in PREFIXES if len(word) > n]
+    return [h - (1 << 64) if h >> 63 else h for h in out]
 
 
-def feature_of(word: str) -> int:
-    return xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")) & (FEATURES - 1)
+class _Known(dict):
+    """What words stand for; starts anew when it is full."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, word: str):
+        if len(self) >= MEMO:
+            self.clear()
+        self[word] = out = self.make(word)
+        return out
 
 
 def _sigmoid(x):
@@ -52,9 +73,9 @@ def _sigmoid(x):
 
 @dataclass
 class OrdinalModel:
-    """Shared weights and ordered thresholds."""
+    """Shared weights by feature digest, and ordered thresholds."""
 
-    weights: np.ndarray
+    weights: dict[int, float]
     thresholds: np.ndarray
 
     def above(self, eta: np.ndarray) -> np.ndarray:
@@ -64,11 +85,27 @@ class OrdinalModel:
     def severity(self, eta: np.ndarray) -> np.ndarray:
         return self.above(eta).sum(axis=1)
 
+    def scorer(self):
+        """A function from texts to w.x; each feature of a text counts once. It remembers words within bounds."""
+        weights = self.weights
+        known = _Known(lambda word: tuple(f for f in features_of(word) if f in weights))
+
+        def run(texts: list[str]) -> np.ndarray:
+            out = []
+            for text in texts:
+                held: set[int] = set()
+                for w in set(words_of(text)):
+                    held.update(known[w])
+                out.append(sum(weights[f] for f in sorted(held)))
+            return np.array(out, dtype=np.float64)
 
-def fit_ordinal(rows: np.ndarray, columns: np.ndarray, grade: np.ndarray, grades: int = GRADES, features: int = FEATURES, steps: int = 250, rate: float = 0.05, decay: float = 3e-5) -> OrdinalModel:
-    """Maximum likelihood with L2 decay by Adam over all rows. rows, columns: the places of the ones, by row.
+        return run
 
-    Grades that no row has keep thresholds apart from their neighbours. Each label weighs as its share of the rows.
+
+def fit_ordinal(rows: np.ndarray, columns: np.ndarray, grade: np.ndarray, features: int, grades: int = GRADES, steps: int = 400, rate: float = 0.05, decay: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
+    """(weights, thresholds) of maximum likelihood with L2 decay by Adam over all rows. rows, columns: the places of the ones, by row.
+
+    Grades that no row has keep thresholds apart from their neighbours.
     """
     n = len(grade)
     w, base, gaps = np.zeros(features), np.zeros(1), np.zeros(grades - 2)
@@ -93,49 +130,85 @@ def fit_ordinal(rows: np.ndarray, columns: np.ndarray, grade: np.ndarray, grades
             first[i] = 0.9 * first[i] + 0.1 * g
             second[i] = 0.999 * second[i] + 0.001 * g * g
             q -= rate * (first[i] / (1 - 0.9**step)) / (np.sqrt(second[i] / (1 - 0.999**step)) + 1e-9)
-    return OrdinalModel(w, np.concatenate([base, base + np.cumsum(np.exp(gaps))]))
-
-
-def grade_toxic(rows: np.ndarray, columns: np.ndarray, times: np.ndarray, toxic: np.ndarray, grades: int = GRADES, features: int = FEATURES) -> np.ndarray:
-    """0 where toxic is 0; else 1 .. grades - 1 by the share of words that tell toxic texts, cut at equal counts."""
-    n = len(toxic)
-    in_toxic = np.bincount(columns[toxic[rows] == 1], minlength=features)
-    in_clean = np.bincount(columns[toxic[rows] == 0], minlength=features)
-    odds = (in_toxic + 0.5) / max(1, (toxic == 1).sum()) / ((in_clean + 0.5) / max(1, (toxic == 0).sum()))
-    telling = (in_toxic >= 5) & (odds >= 20)
-    share = np.bincount(rows, weights=times * telling[columns], minlength=n) / np.maximum(1, np.bincount(rows, weights=times, minlength=n))
-    out = np.zeros(n, dtype=np.int64)
+    return w, np.concatenate([base, base + np.cumsum(np.exp(gaps))])
+
+
+def graded(toxic: np.ndarray, telling: np.ndarray, grades: int = GRADES) -> np.ndarray:
+    """0 where toxic is 0; else 1 .. grades - 1 by the number of telling words, cut at equal counts of toxic rows."""
+    out = np.zeros(len(toxic), dtype=np.int64)
     own = np.flatnonzero(toxic == 1)
     if len(own):
-        cuts = np.quantile(share[own], np.arange(1, grades - 1) / (grades - 1))
-        out[own] = 1 + np.searchsorted(cuts, share[own], side="left")
+        cuts = np.quantile(telling[own], np.arange(1, grades - 1) / (grades - 1))
+        out[own] = 1 + np.searchsorted(cuts, telling[own], side="left")
     return out
 
 
+def chosen_features(sample: DataFrame, rows: int, toxic: int) -> dict[int, bool]:
+    """The features that tell the labels apart, and whether they stand for toxic texts.
+
+    Counts are made in the tasks and summed by feature; only chosen features reach the driver.
+    """
+
+    def count(batches):
+        texts, of_toxic = Counter(), Counter()
+        known = _Known(features_of)
+        for batch in batches:
+            for label, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                held = {f for w in set(words_of(text)) for f in known[w]}
+                texts.update(held)
+                if label == 1:
+                    of_toxic.update(held)
+        names = list(texts)
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array([texts[f] for f in names], pa.int64()), pa.array([of_toxic[f] for f in names], pa.int64())], ["feature", "n", "t"])
+
+    counts = stored(sample.mapInArrow(count, "feature long, n long, t long").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("t").alias("t")), "features")
+    n, t = F.col("n").cast("double"), F.col("t").cast("double")
+    expected = n * (toxic / rows)
+    part = lambda seen, wanted: F.when(seen > 0, seen * F.log(seen / wanted)).otherwise(F.lit(0.0))
+    ratio = 2 * (part(t, expected) + part(n - t, n - expected))
+    least = 2 * math.log(max(2, counts.count()))
+    best = counts.select("feature", ratio.alias("ratio"), (t > expected).alias("up")).where(F.col("ratio") >= least).orderBy(F.desc("ratio"), "feature").limit(MOST_FEATURES)
+    return {r["feature"]: r["up"] for r in best.collect()}
+
+
 def learn(docs: DataFrame, labels: DataFrame) -> OrdinalModel:
-    """Fit on a bounded hash sample of labelled whole texts. Without labels every text gets severity near 0."""
-    ship(docs.sparkSession)
-    known = labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_id"), "toxic")
+    """Fit on a bounded hash sample of labelled whole texts. Without labels of both kinds every text gets severity near 0."""
+    spark = docs.sparkSession
+    ship(spark)
+    nothing = OrdinalModel({}, 20.0 + np.arange(GRADES - 1))
+    known = labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL").select(F.col("doc_id").alias("labelled_id"), "toxic")
     sizes = {r[0]: r[1] for r in known.groupBy("toxic").count().collect()}  # two rows
     if len(sizes) < 2:
-        return OrdinalModel(np.zeros(FEATURES), 20.0 + np.arange(GRADES - 1))
+        return nothing
     share = F.when(F.col("toxic") == 1, min(1.0, ROWS_A_LABEL / sizes[1])).otherwise(min(1.0, ROWS_A_LABEL / sizes[0]))
-    sample = known.where(F.pmod(F.xxhash64("_id", F.lit("toxicity sample")), F.lit(1_000_000)) < share * 1_000_000)
-
-    def features(batches):
-        for batch in batches:
-            found = [word_features(t) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.int64()), pa.array([[feature_of(w) for w in f] for f in found], pa.list_(pa.int32())), pa.array([list(f.values()) for f in found], pa.list_(pa.int32()))], ["doc_id", "toxic", "columns", "times"])
-
+    wanted = known.where(F.pmod(F.xxhash64("labelled_id", F.lit("toxicity sample")), F.lit(1_000_000)) < share * 1_000_000)
     # the sample has at most about 2 * ROWS_A_LABEL ids, so its broadcast is bounded
-    rows = docs.join(F.broadcast(sample), F.col("doc_id") == F.col("_id")).select(F.col("doc_id").cast("long"), "toxic", text_of().alias("text"))
-    got = rows.mapInArrow(features, "doc_id long, toxic long, columns array<int>, times array<int>").toPandas().sort_values("doc_id", kind="stable")
-    if got.empty:
-        return OrdinalModel(np.zeros(FEATURES), 20.0 + np.arange(GRADES - 1))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
+    sample = stored(texts.join(F.broadcast(wanted), F.col("doc_id") == F.col("labelled_id")).select("doc_id", F.col("toxic").cast("long").alias("toxic"), "text"), "sample")
+    rows, toxic = sample.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    if not 0 < toxic < rows:
+        return nothing
+    chosen = chosen_features(sample, rows, toxic)
+    if not chosen:
+        return nothing
+    place = {f: i for i, f in enumerate(sorted(chosen))}
+
+    def held(batches):
+        known = _Known(lambda word: tuple(f for f in features_of(word) if f in chosen))
+        for batch in batches:
+            columns, telling = [], []
+            for text in batch.column(2).to_pylist():
+                words = set(words_of(text))
+                own = {f for w in words for f in known[w]}
+                columns.append(sorted(place[f] for f in own))
+                telling.append(sum(any(chosen[f] for f in known[w]) for w in words))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(columns, pa.list_(pa.int32())), pa.array(telling, pa.int64())], ["doc_id", "toxic", "columns", "telling"])
+
+    got = sample.mapInArrow(held, "doc_id long, toxic long, columns array<int>, telling long").toPandas().sort_values(["doc_id", "telling"], kind="stable")
     r = np.repeat(np.arange(len(got)), got["columns"].map(len))
-    c, t = (np.concatenate([np.asarray(x, dtype=np.int64) for x in got[name]]) for name in ("columns", "times"))
-    grade = grade_toxic(r, c, t, got["toxic"].to_numpy())
-    return fit_ordinal(r, c, grade)
+    c = np.concatenate([np.asarray(x, dtype=np.int64) for x in got["columns"]])
+    weights, thresholds = fit_ordinal(r, c, graded(got["toxic"].to_numpy(), got["telling"].to_numpy()), len(place))
+    return OrdinalModel({f: float(weights[i]) for f, i in place.items()}, thresholds)
 
 
 def score(docs: DataFrame, model: OrdinalModel) -> DataFrame:
@@ -145,34 +218,20 @@ def score(docs: DataFrame, model: OrdinalModel) -> DataFrame:
     """
     spark = docs.sparkSession
     ship(spark)
-    sent = spark.sparkContext.broadcast(model)  # FEATURES weights, whatever the input
+    sent = spark.sparkContext.broadcast(model)  # MOST_FEATURES weights, whatever the input
 
     def run(batches):
-        m, memo = sent.value, {}
+        m = sent.value
+        scores = m.scorer()
         for batch in batches:
-            eta = np.array(totals(batch.column(1).to_pylist(), m.weights, memo), dtype=np.float64)
-            above = m.above(eta)
-            cdf = np.concatenate([np.ones((len(eta), 1)), above, np.zeros((len(eta), 1))], axis=1)
+            above = m.above(scores(batch.column(1).to_pylist()))
+            cdf = np.concatenate([np.ones((len(above), 1)), above, np.zeros((len(above), 1))], axis=1)
             grade = (cdf[:, :-1] - cdf[:, 1:]).argmax(axis=1)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(above.sum(axis=1)), pa.array(grade.astype(np.int32)), pa.array(above[:, 0]), pa.array(above[:, 0] >= REJECT)], ["doc_id", "severity", "grade", "p_toxic", "rejected"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(run, "doc_id long, severity double, grade int, p_toxic double, rejected boolean")
 
 
-def totals(texts: list[str], weights: np.ndarray, memo: dict[str, float]) -> list[float]:
-    """The sum of weights of each text's words, each word once."""
-    out = []
-    for text in texts:
-        words = set(_WORD.findall(text.lower()))
-        if len(memo) > MEMO:
-            memo.clear()
-        for w in words:
-            if w not in memo:
-                memo[w] = float(weights[feature_of(w)])
-        out.append(sum(sorted(memo[w] for w in words)))
-    return out
-
-
 def without_toxic(docs: DataFrame, model: OrdinalModel) -> DataFrame:
     """docs without the rows that the model rejects; columns unchanged."""
     ship(docs.sparkSession)
@@ -180,9 +239,10 @@ def without_toxic(docs: DataFrame, model: OrdinalModel) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches):
-        m, memo = sent.value, {}
+        m = sent.value
+        scores = m.scorer()
         for batch in batches:
-            eta = np.array(totals([t or "" for t in batch.column(at).to_pylist()], m.weights, memo), dtype=np.float64)
+            eta = scores([t or "" for t in batch.column(at).to_pylist()])
             yield batch.filter(pa.array(m.above(eta)[:, 0] < REJECT))
 
     return docs.mapInArrow(run, docs.schema)
