@@ -59,7 +59,8 @@ def prepare(texts: list[str]):
         while end < len(texts) and (end == at or size + len(texts[end]) < 1 << 18):
             size += len(texts[end]) + 2
             end += 1
-        joined = "\n\n\n\n".join(t.lower() for t in texts[at:end]) + "\n\n\n\n"
+        # breaks around each text: no n-gram with one place that is no letter reaches from a text into another
+        joined = "".join(f"\n{t.lower()}\n\n\n" for t in texts[at:end])
         points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype="<u4")
         letter = letters()[points]
         sizes = np.array([len(t.lower()) + 4 for t in texts[at:end]])
