@@ -53,8 +53,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def packed(df: DataFrame, **extra) -> DataFrame:
+    """Each whole row of df in one struct column, ``row``, beside further columns: names of df can't clash with theirs."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *[c.alias(name) for name, c in extra.items()])
+
+
+def unpacked(df: DataFrame, columns: list[str], **new) -> DataFrame:
+    """The columns of packed rows, some of them replaced."""
+    return df.select(*[new[c].alias(c) if c in new else F.col(f"row.`{c}`").alias(c) for c in columns])
 
 
 def text_of(name: str = "text"):

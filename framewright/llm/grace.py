@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ship, stored, text_of, with_class
+from .common import packed, ship, stored, text_of, unpacked, with_class
 
 #: Bytes of distinct content that one table may hold.
 TABLE_BYTES = 96 << 20
@@ -28,7 +28,7 @@ class ContentTable:
     """Open addressing with linear probing; keys are whole contents, values (largest id, number of rows)."""
 
     def __init__(self, limit: int):
-        self.limit, self.used, self.slots, self.mask = limit, 0, [-1] * 1024, 1023
+        self.limit, self.used, self.full, self.slots, self.mask = limit, 0, False, [-1] * 1024, 1023
         self.hashes: list[int] = []
         self.contents: list[bytes] = []
         self.best: list[int | None] = []
@@ -44,8 +44,8 @@ class ContentTable:
                 self.rows[i] += rows
                 return True
             at = (at + 1) & self.mask
-        if self.contents and self.used + len(content) > self.limit:
-            self.used = self.limit  # full from now on, for small contents too
+        if self.full or self.contents and self.used + len(content) > self.limit:
+            self.full = True  # from now on, for small contents too
             return False
         self.slots[at] = len(self.contents)
         self.used += len(content) + 1
@@ -157,11 +157,12 @@ def exact_groups(docs: DataFrame, **limits: int) -> DataFrame:
 
 def without_copies(docs: DataFrame, **limits: int) -> DataFrame:
     """docs with one row of each distinct text, columns unchanged. Rows repeated whole stay once."""
-    stay = exact_groups(docs, **limits).where("kept").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"))
-    marked = docs.withColumn("_d", F.unhex(F.sha2(text_of().cast("binary"), 256)))
-    met = marked.join(stay, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_d") == F.col("_digest")))
-    nth = F.row_number().over(Window.partitionBy("_digest", "_id").orderBy(F.xxhash64(*[c for c in docs.columns if c != "text"])))
-    return met.withColumn("_nth", nth).where("_nth = 1").select(*docs.columns)
+    stay = exact_groups(docs, **limits).where("kept").select(F.col("doc_id").alias("kept_id"), F.col("digest").alias("kept_digest"))
+    rest = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    marked = packed(docs, id=F.col("doc_id").cast("long"), digest=F.unhex(F.sha2(text_of().cast("binary"), 256)), tie=F.xxhash64(*rest))
+    met = marked.join(stay, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("digest") == F.col("kept_digest")))
+    nth = F.row_number().over(Window.partitionBy("kept_digest", "kept_id").orderBy("tie"))
+    return unpacked(met.withColumn("nth", nth).where("nth = 1"), docs.columns)
 
 
 def op5_exact_dedup(spark, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, text_of
+from .common import packed, stored, text_of, unpacked
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 LABELERS = ("pattern", "gazetteer", "context", "shape", "border")
@@ -276,11 +276,13 @@ def masked(text, spans):
 
 def without_personal_data(docs: DataFrame) -> DataFrame:
     """docs with personal data masked; where n_chars is among the columns it follows the text. Null texts stay null."""
-    spans = stored(candidates(docs), "spans")
-    out = decided(spans, classifier(spans)).withColumn("text", F.when(F.size("_spans") > 0, masked(F.col("text"), F.col("_spans"))).otherwise(F.col("text")))
+    spans = stored(candidates(packed(docs, text=F.col("text"))), "spans")
+    some = F.size("_spans") > 0
+    out = decided(spans, classifier(spans)).withColumn("text", F.when(some, masked(F.col("text"), F.col("_spans"))).otherwise(F.col("text")))
+    new = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("_spans") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        new["n_chars"] = F.when(some, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
+    return unpacked(out, docs.columns, **new)
 
 
 def op1_personal_data(spark, sf_dir: str) -> DataFrame:
