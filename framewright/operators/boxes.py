@@ -13,6 +13,7 @@ from ..functions.geometry import iou
 from ..shipping import ship
 
 BOX = ["x1", "y1", "x2", "y2"]
+FRAMES_A_BLOCK = 64
 
 
 def _overlap(box: np.ndarray, boxes: np.ndarray) -> np.ndarray:
@@ -41,15 +42,28 @@ def top(detections: DataFrame, k: int, by: Sequence[str] = ("id_videofile", "fra
     return detections.withColumn("_rank", rank).where(F.col("_rank") <= k).drop("_rank")
 
 
+def _blocks(detections: DataFrame, by: Sequence[str]):
+    """Rows by blocks of FRAMES_A_BLOCK neighbouring frames: few groups to start, each of a bounded size."""
+    ship(detections.sparkSession)
+    return detections.groupBy(*by[:-1], F.floor(F.col(by[-1]) / FRAMES_A_BLOCK).alias("_block"))
+
+
+def _frames(block: pd.DataFrame, by: Sequence[str]):
+    """Slices of a block sorted by frame, one a frame."""
+    keys = block[list(by)].to_numpy()
+    cut = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(axis=1), [True]]))
+    return [slice(int(i), int(j)) for i, j in zip(cut[:-1], cut[1:], strict=True)]
+
+
 def non_maximum(detections: DataFrame, threshold: float, by: Sequence[str] = ("id_videofile", "frame_number")) -> DataFrame:
     """Detections that stay, columns unchanged. A frame's boxes are a bounded group; cut it with ``top`` first."""
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("detection_id", kind="stable")
-        return frame[suppressed(frame[BOX].to_numpy(dtype=np.float64), frame["score"].to_numpy(dtype=np.float64), threshold)]
+    def run(block: pd.DataFrame) -> pd.DataFrame:
+        block = block.sort_values([*by, "detection_id"], kind="stable", ignore_index=True)
+        b, score = block[BOX].to_numpy(dtype=np.float64), block["score"].to_numpy(dtype=np.float64)
+        return block[np.concatenate([suppressed(b[f], score[f], threshold) for f in _frames(block, by)])]
 
-    ship(detections.sparkSession)
-    return detections.groupBy(*by).applyInPandas(run, detections.schema)
+    return _blocks(detections, by).applyInPandas(run, detections.schema)
 
 
 def detect(candidates: DataFrame, score_threshold: float, nms_threshold: float, k: int, scale_x: float = 1.0, scale_y: float = 1.0) -> DataFrame:
@@ -67,33 +81,37 @@ def detect(candidates: DataFrame, score_threshold: float, nms_threshold: float,
     return kept.where("x2 > x1 AND y2 > y1")
 
 
+def linked(boxes: np.ndarray, threshold: float) -> np.ndarray:
+    """The group of each box, numbered by first members: boxes that overlap by at least the threshold are linked."""
+    group = np.full(len(boxes), -1)
+    n = 0
+    for i in range(len(boxes)):
+        if group[i] >= 0:
+            continue
+        group[i], queue = n, [i]
+        while queue:
+            at = queue.pop()
+            free = np.flatnonzero(group < 0)
+            near = free[_overlap(boxes[at], boxes[free]) >= threshold]
+            group[near] = n
+            queue.extend(near.tolist())
+        n += 1
+    return group
+
+
 def regions(boxes: DataFrame, threshold: float, by: Sequence[str] = ("id_videofile", "frame_number")) -> DataFrame:
     """One row for each group of boxes of a frame linked by overlaps of at least the threshold: region, x1 .. y2, boxes."""
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("detection_id", kind="stable")
-        b = frame[BOX].to_numpy(dtype=np.float64)
-        group = np.full(len(b), -1)
-        for i in range(len(b)):
-            if group[i] >= 0:
-                continue
-            group[i], queue = i, [i]
-            while queue:
-                at = queue.pop()
-                free = np.flatnonzero(group < 0)
-                near = free[_overlap(b[at], b[free]) >= threshold]
-                group[near] = i
-                queue.extend(near.tolist())
-        own = frame.assign(_g=pd.factorize(group)[0])
-        out = own.groupby("_g").agg(x1=("x1", "min"), y1=("y1", "min"), x2=("x2", "max"), y2=("y2", "max"), boxes=("x1", "size")).reset_index(names="region")
-        for c in by:
-            out[c] = frame[c].iloc[0]
+    def run(block: pd.DataFrame) -> pd.DataFrame:
+        block = block.sort_values([*by, "detection_id"], kind="stable", ignore_index=True)
+        b = block[BOX].to_numpy(dtype=np.float64)
+        block["region"] = np.concatenate([linked(b[f], threshold) for f in _frames(block, by)])
+        out = block.groupby([*by, "region"], as_index=False).agg(x1=("x1", "min"), y1=("y1", "min"), x2=("x2", "max"), y2=("y2", "max"), boxes=("detection_id", "size"))
         return out[[*by, "region", *BOX, "boxes"]]
 
-    ship(boxes.sparkSession)
     kinds = dict(boxes.dtypes)
     schema = ", ".join([*[f"{c} {kinds[c]}" for c in by], "region long", *[f"{c} {kinds[c]}" for c in BOX], "boxes long"])
-    return boxes.groupBy(*by).applyInPandas(run, schema)
+    return _blocks(boxes, by).applyInPandas(run, schema)
 
 
 def overlaps(boxes: DataFrame, by: Sequence[str] = ("id_videofile", "frame_number")) -> DataFrame:
