@@ -93,7 +93,9 @@ def run_step(x: dict, salt: int) -> dict:
     at = np.flatnonzero(head)
     end = np.concatenate([at[1:], [n]])
     times = end - at
-    symbol = np.where(times > 1, mix(s[at] + np.uint64(salt) + times.astype(np.uint64) * _K1), s[at])
+    symbol = s[at]
+    many = np.flatnonzero(times > 1)
+    symbol[many] = mix(symbol[many] + np.uint64(salt) + times[many].astype(np.uint64) * _K1)
     before, after = np.maximum(at - 1, 0), np.minimum(end, n - 1)
     own = sep[at]
     low = np.where(own | (at == 0), x["low"][at], x["low"][before])
@@ -115,24 +117,31 @@ def pair_step(x: dict, salt: int) -> dict:
     at = np.flatnonzero(~taken)
     pair = joins[at]
     after, before = np.minimum(at + 1, len(s) - 1), np.maximum(at - 1, 0)
-    symbol = np.where(pair, mix(s[at] * _K1 + mix(s[after] + np.uint64(salt))), s[at])
+    symbol, joined = s[at], np.flatnonzero(pair)
+    symbol[joined] = mix(symbol[joined] * _K1 + mix(s[after[joined]] + np.uint64(salt)))
     low = np.where(right[at] & (at > 0), x["low"][before], x["low"][at])
     low = np.where(right[at] & (at == 0), x["low"][at] - 1, low)
     high = np.where(pair | left[at], x["high"][after], x["high"][at])
-    size = np.where(pair, x["size"][at] + x["size"][after], x["size"][at])
+    size = x["size"][at]
+    size[joined] += x["size"][after[joined]]
     return _level(symbol, size, low, high, sep[at])
 
 
 def levels(c: Chunk, rounds: int) -> list[dict]:
-    place = np.arange(len(c.word))
-    out = [_level(c.word, np.ones(len(c.word), dtype=np.int64), place, place + 1, c.separator)]
+    place = np.arange(len(c.word), dtype=np.int32)
+    out = [_level(c.word, np.ones(len(c.word), dtype=np.int32), place, place + 1, c.separator)]
     for r in range(rounds if len(place) else 0):
         out.append(pair_step(run_step(out[-1], 2 * r + 1), 2 * r + 2))
     return out
 
 
+def distinct(ordered: np.ndarray) -> np.ndarray:
+    return ordered[np.concatenate([[True], ordered[1:] != ordered[:-1]])] if len(ordered) else ordered
+
+
 def anchors(c: Chunk, start: np.ndarray, w: int, rounds: int) -> tuple[np.ndarray, np.ndarray]:
     """(the anchor of each window, names that occur at least twice in this chunk). An anchor's value holds its level and length."""
+    n = len(c.word)
     value = np.zeros(len(start), dtype=np.uint64)
     open_ = np.arange(len(start))
     twice = []
@@ -142,8 +151,10 @@ def anchors(c: Chunk, start: np.ndarray, w: int, rounds: int) -> tuple[np.ndarra
         key = (np.minimum(x["size"], 63).astype(np.uint64) << np.uint64(58)) | (mix(x["symbol"] + np.uint64(level)) >> np.uint64(6))
         key = np.where(x["separator"], np.uint64(0), key)
         p = start[open_]
-        # reaches are in order at both ends, so those within a window are neighbours
-        i, j = np.searchsorted(x["low"], p, side="left"), np.searchsorted(x["high"], p + w, side="right")
+        # reaches are in order at both ends, so those within a window are neighbours: from the first that begins at
+        # or after p to the last that ends at or before p + w, found by counting beginnings and ends by place
+        i = np.cumsum(np.bincount(np.maximum(x["low"], -1) + 1, minlength=n + 2))[p]
+        j = np.cumsum(np.bincount(x["high"], minlength=n + 1))[p + w]
         met = j > i
         own, i, j = open_[met], i[met], j[met]
         best, step, power = key, 1, 0
@@ -157,8 +168,8 @@ def anchors(c: Chunk, start: np.ndarray, w: int, rounds: int) -> tuple[np.ndarra
         open_ = open_[~met]
         if len(own):
             s = np.sort(key[~x["separator"]])
-            twice.append(np.unique(s[1:][s[1:] == s[:-1]]))
-    return value, np.unique(np.concatenate(twice)) if twice else np.zeros(0, dtype=np.uint64)
+            twice.append(distinct(s[1:][s[1:] == s[:-1]]))
+    return value, distinct(np.sort(np.concatenate(twice))) if twice else np.zeros(0, dtype=np.uint64)
 
 
 def member(x: np.ndarray, ordered: np.ndarray) -> np.ndarray:
@@ -190,14 +201,23 @@ def window_digests(c: Chunk, start: np.ndarray, w: int) -> tuple[np.ndarray, np.
     return out[0], out[1].astype(np.uint32)
 
 
+def order_of(high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """The order by (high, low). high nearly always tells values apart, so low is looked at only where it must be."""
+    order = np.argsort(high)
+    h, lo = high[order], low[order]
+    if ((h[1:] == h[:-1]) & (lo[1:] != lo[:-1])).any():
+        order = np.lexsort((low, high))
+    return order
+
+
 class Ask:
-    """A chunk's distinct values in the order in which they are sent: by bucket, then by value."""
+    """A chunk's distinct values in the order in which they are sent: by value, so by bucket, for buckets are ranges."""
 
     def __init__(self, high: np.ndarray, low: np.ndarray, buckets: int):
-        """high, low: value of each place."""
-        bucket = (high & np.uint64(0xFFFFFFFFFF)) % np.uint64(buckets)
-        order = np.lexsort((low, high, bucket))
-        h, lo, b = high[order], low[order], bucket[order]
+        """high, low: value of each place; high is spread evenly over 64 bits."""
+        order = order_of(high, low)
+        h, lo = high[order], low[order]
+        b = (h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
         new = np.ones(len(h), dtype=bool)
         new[1:] = (h[1:] != h[:-1]) | (lo[1:] != lo[:-1])
         at = np.flatnonzero(new)
@@ -239,7 +259,7 @@ def _answer(width: int):
         sizes = np.array([len(b) // width for b in body])
         high = np.concatenate([np.frombuffer(b, dtype=np.uint64, count=n) for b, n in zip(body, sizes, strict=True)])
         low = np.concatenate([np.frombuffer(b, dtype=np.uint32, offset=8 * n) for b, n in zip(body, sizes, strict=True)]) if width > 8 else np.zeros(len(high), dtype=np.uint32)
-        order = np.lexsort((low, high)) if width > 8 else np.argsort(high)
+        order = order_of(high, low)
         h, lo = high[order], low[order]
         same = (h[1:] == h[:-1]) & (lo[1:] == lo[:-1])  # a chunk sends a value once
         shared = np.zeros(len(h), dtype=bool)
@@ -268,12 +288,12 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS,
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     chunks = max(2 * parts, total // chunk_bytes + 1)
     ask_anchors, ask_windows = (max(parts, int(total * share) // bucket_bytes + 1) for share in (0.1, 0.6))
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(chunks))).repartition(max(parts, chunks // 4), "chunk")
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks))).repartition(max(parts, chunks // 2), "chunk")
 
     def asked(c: Chunk):
         start = c.windows(window)
         value, twice = anchors(c, start, window, rounds)
-        return start, Ask(value, np.zeros(len(value), dtype=np.uint32), ask_anchors), twice
+        return start, Ask(mix(value), np.zeros(len(value), dtype=np.uint32), ask_anchors), mix(twice)
 
     def first(table: pa.Table) -> pa.Table:
         chunk = table.column("chunk")[0].as_py()
@@ -286,7 +306,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS,
         chunk, c = table.column("chunk")[0].as_py(), Chunk(table)
         start, ask, twice = asked(c)
         heard = dict(zip(answers.column("bucket").to_pylist(), answers.column("body").to_pylist(), strict=True))
-        maybe = (ask.answered(heard) | member(ask.high, twice))[ask.of]
+        maybe = (ask.answered(heard) | member(ask.high, np.sort(twice)))[ask.of]
         again = Ask(*window_digests(c, start[maybe], window), ask_windows)
         return _message([(b, chunk, body) for b, body in again.blobs(True)] + [(-1 - chunk, chunk, np.packbits(maybe).tobytes())])
 
