@@ -2,34 +2,15 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
-import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_shipped: set[int] = set()
+from ..shipping import ship
 
-
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once per Spark application, so tasks can import it."""
-    sc = spark.sparkContext
-    mark = hash(sc.applicationId)
-    if mark in _shipped:
-        return
-    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    top = os.path.dirname(root)
-    to = os.path.join(tempfile.mkdtemp(prefix="ship-"), f"{os.path.basename(root)}.zip")
-    with zipfile.ZipFile(to, "w") as z:
-        for folder, _, names in os.walk(root):
-            for name in names:
-                if name.endswith(".py"):
-                    full = os.path.join(folder, name)
-                    z.write(full, os.path.relpath(full, top))
-    sc.addPyFile(to)
-    _shipped.add(mark)
+__all__ = ["components", "new_path", "packed", "shared_dir", "ship", "stored", "text_of", "unpacked", "with_class", "with_filter"]
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -53,9 +34,10 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def packed(df: DataFrame, **extra) -> DataFrame:
-    """Each whole row of df in one struct column, ``row``, beside further columns: names of df can't clash with theirs."""
-    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *[c.alias(name) for name, c in extra.items()])
+def packed(df: DataFrame, without: str | None = None, **extra) -> DataFrame:
+    """Each row of df in one struct column, ``row``, beside further columns: names of df can't clash with theirs."""
+    columns = [F.col(f"`{c}`") for c in df.columns if c != without] or [F.lit(0).alias("nothing")]
+    return df.select(F.struct(*columns).alias("row"), *[c.alias(name) for name, c in extra.items()])
 
 
 def unpacked(df: DataFrame, columns: list[str], **new) -> DataFrame:
@@ -67,6 +49,24 @@ def text_of(name: str = "text"):
     return F.coalesce(F.col(name), F.lit(""))
 
 
+#: Bits of a filter, whatever the input. Its table has a row for each 64 of them at most: 131 072 rows are broadcast.
+FILTER_BITS = 1 << 23
+
+
+def with_filter(df: DataFrame, value, ids: DataFrame, column: str, name: str) -> DataFrame:
+    """df with a boolean column: false only where no row of ids has the value (a long) in ``column``.
+
+    A hashed bitmap of a fixed size: as the input grows it errs more often on the side of true, never on that of false.
+    It spares rows a shuffle that an exact join then needn't see.
+    """
+    place = lambda c: F.pmod(F.xxhash64(c, F.lit("filter")), F.lit(FILTER_BITS))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("p") % 64).cast("int"))
+    words = stored(ids.select(place(F.col(column)).alias("p")).groupBy(F.shiftright("p", 6).alias("filter_word")).agg(F.bit_or(bit).alias("filter_bits")), "filter")
+    met = df.withColumn("filter_place", place(value)).join(F.broadcast(words), F.shiftright("filter_place", 6) == F.col("filter_word"), "left")
+    held = F.call_function("shiftright", F.col("filter_bits"), (F.col("filter_place") % 64).cast("int")).bitwiseAND(F.lit(1).cast("long")) != 0
+    return met.select(*df.columns, F.coalesce(held, F.lit(False)).alias(name))
+
+
 #: A class counts as hot from this share of all rows, so there are at most 1/HOT_SHARE hot classes to broadcast.
 HOT_SHARE = 0.001
 

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import packed, ship, stored, text_of, unpacked, with_class
+from .common import packed, ship, stored, text_of, unpacked, with_class, with_filter
 
 #: Bytes of distinct content that one table may hold.
 TABLE_BYTES = 96 << 20
@@ -156,13 +156,20 @@ def exact_groups(docs: DataFrame, **limits: int) -> DataFrame:
 
 
 def without_copies(docs: DataFrame, **limits: int) -> DataFrame:
-    """docs with one row of each distinct text, columns unchanged. Rows repeated whole stay once."""
-    stay = exact_groups(docs, **limits).where("kept").select(F.col("doc_id").alias("kept_id"), F.col("digest").alias("kept_digest"))
-    rest = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
-    marked = packed(docs, id=F.col("doc_id").cast("long"), digest=F.unhex(F.sha2(text_of().cast("binary"), 256)), tie=F.xxhash64(*rest))
-    met = marked.join(stay, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("digest") == F.col("kept_digest")))
+    """docs with one row of each distinct text, columns unchanged. Rows repeated whole stay once.
+
+    Rows whose text surely has no copy stay where they are; only the others are shuffled to meet the row that stays.
+    """
+    classes = content_classes(docs, **limits)
+    several = classes.where("group_size > 1").select(F.xxhash64("digest").alias("h"))
+    others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    marked = packed(docs, id=F.col("doc_id").cast("long"), digest=F.unhex(F.sha2(text_of().cast("binary"), 256)), tie=F.xxhash64(*others))
+    marked = with_filter(marked, F.xxhash64("digest"), several, "h", "copied")
+    stay = classes.select(F.col("keep_id").alias("kept_id"), F.col("digest").alias("kept_digest"))
+    met = marked.where("copied").join(stay, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("digest") == F.col("kept_digest")))
     nth = F.row_number().over(Window.partitionBy("kept_digest", "kept_id").orderBy("tie"))
-    return unpacked(met.withColumn("nth", nth).where("nth = 1"), docs.columns)
+    first = met.withColumn("nth", nth).where("nth = 1")
+    return unpacked(marked.where("NOT copied").select("row").union(first.select("row")), docs.columns)
 
 
 def op5_exact_dedup(spark, sf_dir: str) -> DataFrame:

@@ -276,7 +276,7 @@ def masked(text, spans):
 
 def without_personal_data(docs: DataFrame) -> DataFrame:
     """docs with personal data masked; where n_chars is among the columns it follows the text. Null texts stay null."""
-    spans = stored(candidates(packed(docs, text=F.col("text"))), "spans")
+    spans = stored(candidates(packed(docs, without="text", text=F.col("text"))), "spans")
     some = F.size("_spans") > 0
     out = decided(spans, classifier(spans)).withColumn("text", F.when(some, masked(F.col("text"), F.col("_spans"))).otherwise(F.col("text")))
     new = {"text": F.col("text")}

@@ -38,7 +38,8 @@ ROWS_A_LABEL = 5000
 REJECT = 0.5
 
 _WORD = re.compile(r"\w+")
-MEMO = 300_000
+#: Remembered words of a task.
+MEMO = 80_000
 
 
 def words_of(text: str) -> list[str]:
