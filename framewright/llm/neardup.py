@@ -11,10 +11,17 @@ similarity of their five-word shingles. In a bucket of many alike texts a text i
 the centre of its cluster (the text closest to the cluster's majority of bits, which is what copies were made from) and
 with a neighbour that is closer than the middle. Buckets of all families name a large cluster by its majority bits, so
 it has one centre however many buckets it fills.
+
+That is the first pass: it links the bulk of large groups cheaply, and may miss links. The second one misses none. Of two sets
+of shingles that are alike enough, the prefixes share a shingle, whatever the order (rarest first here, as far as a sample
+tells): so texts meet under each shingle of their prefix, and all pairs that the first pass left in different components
+are compared. Buckets with very many such pairs are dealt out by pairs of blocks.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -35,6 +42,13 @@ PLAIN_DISTANCE = 9
 SMALL_BUCKET = 12
 #: From this size a cluster is named, and has one centre in all buckets.
 NAMED_CLUSTER = 96
+#: Texts in the sample that tells common shingles, and how many of these are known. They only set the order of shingles.
+SAMPLE, COMMON = 12_500, 20_000
+#: Low bits of a prefix key: the logarithm of the number of shingles to the base SIZE_STEP. SIZE_REACH is that of 1 / SIMILARITY.
+SIZE_BITS, SIZE_STEP = 12, 1.02
+SIZE_REACH = math.ceil(-math.log(SIMILARITY) / math.log(SIZE_STEP))
+#: A bucket of more pairs than this is dealt out to several tasks.
+MOST_PAIRS = 4_000_000
 _BYTES = (FAMILIES * 46 + PLAIN_BITS + 7) // 8
 
 
@@ -152,18 +166,85 @@ def clusters(plain: np.ndarray):
         open_ = np.setdiff1d(open_, own)
 
 
+def prefix_keys(shingles: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The first shingles of a sorted set, rarest first, each with the size of the set in its low bits.
+
+    So many that sets with a similarity of SIMILARITY share one. common (sorted) and counts tell how often shingles occur.
+    """
+    n = len(shingles)
+    if not n:
+        return shingles
+    often = np.zeros(n, dtype=np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, shingles), len(common) - 1)
+        often = np.where(common[at] == shingles, counts[at], 0)
+    first = shingles[np.argsort(often, kind="stable")[: n - math.ceil(SIMILARITY * n - 1e-6) + 1]]
+    return first >> SIZE_BITS << SIZE_BITS | int(math.log(n) / math.log(SIZE_STEP))
+
+
+def prefix_pairs(packed: np.ndarray, node: np.ndarray, root: np.ndarray, most: int | None = MOST_PAIRS):
+    """Yields (a, b, None): pairs of nodes of different roots and like sizes that share a prefix key.
+
+    Of buckets with more than ``most`` pairs it yields (rows, None, blocks): their rows, and into how many blocks to deal them.
+    """
+    order = np.lexsort((node, packed))
+    order = order[np.concatenate([[True], (packed[order][1:] != packed[order][:-1]) | (node[order][1:] != node[order][:-1])])]
+    bucket = packed >> SIZE_BITS
+    order = order[np.lexsort((root[order], bucket[order]))]
+
+    def ends(*columns):
+        """For each row, the end and the length of its run of equal values."""
+        new = np.any([c[order][1:] != c[order][:-1] for c in columns], axis=0)
+        cut = np.concatenate([[0], np.flatnonzero(new) + 1, [len(order)]])
+        return np.repeat(cut[1:], np.diff(cut)), np.repeat(np.diff(cut), np.diff(cut))
+
+    # components of a bucket by size, so each row's partners are what stands behind its own component
+    order = order[np.lexsort((root[order], ends(bucket, root)[1], bucket[order]))]
+    partners = (last := ends(bucket)[0]) - (own := ends(bucket, root)[0])
+    if most is not None:
+        start = np.flatnonzero(np.concatenate([[True], last[1:] != last[:-1]]))
+        pairs = np.add.reduceat(partners, start)
+        for at in np.flatnonzero(pairs > most).tolist():
+            part = slice(start[at], last[start[at]])
+            yield order[part], None, math.ceil(math.sqrt(pairs[at] / most)) + 1
+            partners[part] = 0
+    total = np.cumsum(partners)
+    size = packed & ((1 << SIZE_BITS) - 1)
+    at = 0
+    while at < len(order):
+        to = max(at + 1, int(np.searchsorted(total, total[at] - partners[at] + 1_000_000, side="right")))
+        n = partners[at:to]
+        left = np.repeat(np.arange(at, to), n)
+        right = own[left] + np.arange(len(left)) - np.repeat(np.cumsum(n) - n, n)
+        left, right = order[left], order[right]
+        near = np.abs(size[left] - size[right]) <= SIZE_REACH
+        pairs = np.unique(np.sort(np.stack([node[left[near]], node[right[near]]], axis=1), axis=1), axis=0)
+        if len(pairs):
+            yield pairs[:, 0], pairs[:, 1], None
+        at = to
+
+
 def node_of():
     """A text's node: a digest of doc_id and text, so rows that share a doc_id stay apart."""
     return F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), text_of())
 
 
 def near_links(docs: DataFrame) -> DataFrame:
-    """(a, b): nodes of texts whose five-word shingles have a Jaccard similarity of SIMILARITY or more.
+    """(a, b): links between nodes of texts whose five-word shingles have a Jaccard similarity of SIMILARITY or more.
 
-    Shorter texts count as one shingle. Texts without words have no links.
+    All such texts are connected by links; not each pair of them has its own. Shorter texts count as one shingle. Texts
+    without words have no links.
     """
-    spark = docs.sparkSession
-    ship(spark)
+    ship(docs.sparkSession)
+    nodes = docs.select(node_of().alias("node"), text_of().alias("text"))
+    rows = nodes.count()
+    links = stored(alike(nodes, met_by_bits(nodes, rows)), "links")
+    return links.union(alike(nodes, met_by_prefix(nodes, rows, stored(components(links), "first-roots"))))
+
+
+def met_by_bits(nodes: DataFrame, rows: int) -> DataFrame:
+    """(a, b): candidates of the first pass."""
+    spark = nodes.sparkSession
 
     def keys(batches):
         for batch in batches:
@@ -184,23 +265,72 @@ def near_links(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1]), pa.nulls(len(found), pa.int64())], ["a", "b", "cluster"])
             yield pa.RecordBatch.from_arrays([pa.array(members[:, 1]), pa.array(members[:, 2]), pa.array(members[:, 0])], ["a", "b", "cluster"])
 
-    def shingles(batches):
-        for batch in batches:
-            sets = [np.unique(shingle_hashes(t, SHINGLE)).view(np.int64) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
-
-    nodes = docs.select(node_of().alias("node"), text_of().alias("text"))
-    rows = nodes.count()
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows * 130 // 1_500_000)
     met = nodes.mapInArrow(keys, "packed long, node long").repartition(n, F.shiftright("packed", KEY_SHIFT)).mapInArrow(pairs, "a long, b long, cluster long")
     met = stored(met.distinct(), "met")
     members = met.where("cluster IS NOT NULL").select("cluster", F.col("a").alias("member"), F.col("b").alias("distance"))
     centres = members.groupBy("cluster").agg(F.min(F.struct("distance", "member"))["member"].alias("centre"))
     spokes = members.join(centres, "cluster").select(F.least("member", "centre").alias("a"), F.greatest("member", "centre").alias("b")).where("a <> b")
-    candidates = stored(met.where("cluster IS NULL").select("a", "b").union(spokes).distinct(), "candidates")
+    return stored(met.where("cluster IS NULL").select("a", "b").union(spokes).distinct(), "candidates")
+
+
+def shingle_sets(batches):
+    """node and the sorted set of shingles of each text."""
+    for batch in batches:
+        sets = [np.unique(shingle_hashes(t, SHINGLE).view(np.int64)) for t in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
+
+
+def met_by_prefix(nodes: DataFrame, rows: int, roots: DataFrame) -> DataFrame:
+    """(a, b): all pairs of nodes with different roots that can be alike enough."""
+    spark = nodes.sparkSession
+    sample = nodes.where(F.pmod("node", F.lit(max(1, rows // SAMPLE))) == 0).mapInArrow(shingle_sets, "node long, shingles array<long>")
+    often = sample.select(F.explode("shingles").alias("s")).groupBy("s").count().where("count > 2").orderBy(F.desc("count"), "s").limit(COMMON).collect()
+    often = np.array(sorted((r[0], r[1]) for r in often), dtype=np.int64).reshape(-1, 2)
+
+    def keys(batches):
+        for batch in shingle_sets(batches):
+            ends = batch.column(1).offsets.to_numpy()
+            flat = batch.column(1).values.to_numpy()
+            found = [prefix_keys(flat[a:b], often[:, 0], often[:, 1]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["node", "keys"])
+
+    def pairs(most):
+        def run(batches):
+            parts = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches if b.num_rows]
+            if not parts:
+                return
+            packed, node, root = (np.concatenate(c) for c in zip(*parts, strict=True))
+            for a, b, blocks in prefix_pairs(packed, node, root, most):
+                if blocks:
+                    columns = [node[a], root[a], packed[a], np.full(len(a), blocks)]
+                else:
+                    columns = [a, b, None, None]
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.int64()) if c is None else pa.array(c, pa.int64()) for c in columns], ["a", "b", "packed", "blocks"])
+
+        return run
+
+    out = "a long, b long, packed long, blocks long"
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows * 80 // 1_500_000)
+    known = nodes.mapInArrow(keys, "node long, keys array<long>").join(roots, "node", "left")
+    each = known.select(F.explode("keys").alias("packed"), "node", F.coalesce("root", "node").alias("root"))
+    met = stored(each.repartition(n, F.shiftright("packed", SIZE_BITS)).mapInArrow(pairs(MOST_PAIRS), out).distinct(), "met")
+    large = met.where("blocks IS NOT NULL")
+    # each pair of blocks is a bucket of its own
+    block = F.pmod(F.xxhash64("a", F.lit("block")), F.col("blocks"))
+    dealt = large.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    name = F.xxhash64(F.shiftright("packed", SIZE_BITS), F.least("block", "other"), F.greatest("block", "other"))
+    low = F.lit((1 << SIZE_BITS) - 1).cast("long")
+    dealt = dealt.select(name.bitwiseAND(F.bitwise_not(low)).bitwiseOR(F.col("packed").bitwiseAND(low)).alias("packed"), F.col("a").alias("node"), F.col("b").alias("root"))
+    more = dealt.repartition(n, F.shiftright("packed", SIZE_BITS)).mapInArrow(pairs(None), out)
+    return stored(met.where("blocks IS NULL").union(more).select("a", "b").distinct(), "candidates")
+
+
+def alike(nodes: DataFrame, candidates: DataFrame) -> DataFrame:
+    """The candidates (a, b) whose Jaccard similarity is SIMILARITY or more."""
     asked = stored(candidates.select(F.col("a").alias("node")).union(candidates.select("b")).distinct(), "asked")
     some = with_filter(nodes, F.col("node"), asked, "node", "asked").where("asked").drop("asked")
-    sets = stored(some.join(asked, "node", "left_semi").mapInArrow(shingles, "node long, shingles array<long>").dropDuplicates(["node"]), "shingles")
+    sets = stored(some.join(asked, "node", "left_semi").mapInArrow(shingle_sets, "node long, shingles array<long>").dropDuplicates(["node"]), "shingles")
     both = candidates.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
     return both.where(common >= SIMILARITY * (F.size("x") + F.size("y") - common)).select("a", "b")

@@ -1,6 +1,8 @@
 import random
 import re
 
+import numpy as np
+
 from framewright.llm import neardup
 
 
@@ -55,6 +57,41 @@ def test_copies_with_edits(spark):
     assert wanted <= kept and len(kept - wanted) <= 0.03 * (len(texts) - len(wanted)) + 1
 
 
+def same_as_plain(spark, texts):
+    want = plain_groups(texts)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r["doc_id"] for r in neardup.without_near_copies(df).collect()} == {i for i, r in want.items() if i == r}
+
+
+def test_families_of_one_template(spark):
+    """Many texts of one long template: each is alike to one other, and all share about half of their words."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    template = [word() for _ in range(120)]
+    texts = {}
+    for n in range(0, 300, 2):
+        own = [word() for _ in range(60)]
+        texts[n] = " ".join(template + own)
+        texts[n + 1] = " ".join(template + own[:50] + [word() for _ in range(10)])
+    same_as_plain(spark, texts)
+
+
+def test_large_buckets_are_dealt_out():
+    rng = np.random.default_rng(6)
+    packed, node = np.repeat(np.arange(4) << neardup.SIZE_BITS, 50), np.tile(np.arange(50), 4)
+    root = np.where(node < 30, 0, node)
+    pairs = lambda most: {(a, b) for x, y, blocks in neardup.prefix_pairs(packed[o], node[o], root[o], most) if not blocks for a, b in zip(x.tolist(), y.tolist(), strict=True)}
+    o = rng.permutation(len(node))
+    assert pairs(None) == {(a, b) for b in range(30, 50) for a in range(b)}
+    found = list(neardup.prefix_pairs(packed[o], node[o], root[o], 100))
+    assert pairs(100) == set() and [len(rows) for rows, _, _ in found] == [50] * 4 and all(blocks > 2 for _, _, blocks in found)
+
+
+def test_dealt_out_as_whole(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "MOST_PAIRS", 3)
+    test_families_of_one_template(spark)
+
+
 def test_odd_rows(odd, empty):
     out = neardup.without_near_copies(odd)
     assert out.columns == odd.columns and neardup.without_near_copies(empty).count() == 0
