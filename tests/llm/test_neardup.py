@@ -76,6 +76,23 @@ def test_families_of_one_template(spark):
     same_as_plain(spark, texts)
 
 
+def test_copies_edited_in_blocks(spark):
+    """Appended, truncated and part-replaced copies between 0.8 and 0.9, and short texts: all of them are found."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    words = lambda n: [word() for _ in range(n)]
+    texts = {}
+    for n in range(240):
+        base = words(rng.randrange(20, 40) if n % 4 == 3 else rng.randrange(100, 300))
+        cut = int(len(base) * rng.uniform(0.1, 0.17))
+        middle = len(base) // 2
+        half = base[:middle] + words(cut // 2) + base[middle + cut // 2 :]
+        copy = [base + words(cut), base[:-cut], half, base[: -(cut // 2)]][n % 4]
+        texts[2 * n], texts[2 * n + 1] = " ".join(base), " ".join(copy)
+    assert sum(r < i for i, r in plain_groups(texts).items()) > 200
+    same_as_plain(spark, texts)
+
+
 def test_large_buckets_are_dealt_out():
     rng = np.random.default_rng(6)
     packed, node = np.repeat(np.arange(4) << neardup.SIZE_BITS, 50), np.tile(np.arange(50), 4)
