@@ -41,7 +41,7 @@ LOOSE = {
     "email": rf"(?:\G|(?<!{_LOCAL})){_LOCAL}{{1,64}}+ ?[\[(](?:at|AT)[\])] ?[A-Za-z0-9-]{{1,63}}(?: ?(?:\.|[\[(](?:dot|DOT)[\])]) ?[A-Za-z0-9-]{{1,63}}){{1,4}}",
     "card": r"(?<![0-9])(?:[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{13,19})(?![0-9])",
     "phone": r"(?<![0-9+])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])",
-    "secret": r"(?<=(?:[tT]oken|TOKEN|[pP]assword|PASSWORD|[pP]asswd|[sS]ecret|SECRET|[aA]pi_key|API_KEY)[ ]{0,2}[=:][ ]{0,2}\"{0,1})[0-9A-Za-z+/_-]{8,128}",
+    "secret": r"(?<=(?:[tT]oken|TOKEN|[pP]assword|PASSWORD|[pP]asswd|[sS]ecret|SECRET|[aA]pi_key|API_KEY)[ ]{0,2}[=:][ ]{0,2}\"{0,1})[0-9A-Za-z+/_-]{8,}+",
 }
 #: A text without this holds no candidate of the kind; spares the costlier patterns.
 GATE = {"email": r"@|[\[(](?:at|AT)[\])]", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][ -]?[0-9][ -]?[0-9][ -]?[0-9]", "phone": r"\+[0-9]|[0-9]{3}[ .-][0-9]{4}", "secret": r"(?i)(?:token|passw|secret|api_key)[a-z]{0,4} {0,2}[=:]"}

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 import pytest
@@ -58,6 +59,15 @@ def test_odd_rows(odd, empty):
     assert any("<email>" in (r["text"] or "") and "<phone>" in r["text"] for r in masked.collect())
 
 
+def test_long_secrets_are_masked_whole(spark):
+    rng = random.Random(7)
+    token = lambda n: "".join(rng.choice("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789") for _ in range(n))
+    long = token(300)
+    texts = [f"use token: {token(32)} here" for _ in range(20)] + [f"use token: {long} here"]
+    out = [r["text"] for r in pii.without_personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert out[-1] == "use token: <secret> here" and not any(long[i : i + 8] in out[-1] for i in range(len(long) - 7))
+
+
 def test_estimation_tells_reliable_votes():
     n = len(pii.LABELERS)
     code = lambda votes: sum(v * 3 ** (n - 1 - i) for i, v in enumerate(votes))
