@@ -32,6 +32,11 @@ def _drained(v: Views, stream: DataFrame, mode: str = "append") -> DataFrame:
     return queue.drained(stream, f"{place}/out", f"{place}/checkpoint", mode)
 
 
+def _judged(v: Views, stream: DataFrame, judge, after, state: str):
+    place = _place(v)
+    return queue.judged(stream, judge, after, state, f"{place}/out", f"{place}/checkpoint")
+
+
 @query("stream_queue_state", "SELECT kind, state, count(*) AS jobs FROM jobs GROUP BY 1, 2")
 def _(v: Views):
     states = F.array(*[F.lit(s) for s in ("WAITING", "CREATING", "WORKING", "DONE", "ERROR")])
@@ -65,11 +70,11 @@ def _(v: Views):
 SELECT job_id, seq, done FROM (SELECT *, coalesce(max(done) OVER (PARTITION BY job_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS peak FROM p) WHERE done > peak""")
 def _(v: Views):
     reports = _events(v).select(F.col("user_id").alias("job_id"), F.col("event_id").alias("seq"), F.floor("value").cast("long").alias("done"))
-    return _drained(v, queue.progress(reports))
+    return _judged(v, reports, queue.progress, queue.peaks, "job_id long, peak long")
 
 
 @query("stream_transitions")
 def _(v: Views):
     states = F.array(*[F.lit(s) for s in ("WAITING", "CREATING", "WORKING", "DONE", "ERROR")])
     steps = _events(v).select(F.col("user_id").alias("job_id"), F.col("event_id").alias("seq"), F.get(states, (F.col("event_id") % 5).cast("int")).alias("state"))
-    return _drained(v, queue.transitions(steps))
+    return _judged(v, steps, queue.transitions, queue.states, "job_id long, now string")

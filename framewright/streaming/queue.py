@@ -1,6 +1,7 @@
 """The queue and its clients as streams: states, progress, heartbeats, subscriptions, sinks.
 
-State is kept by key: a job's last state and progress, a client's last heartbeat. It ends with the job or the watermark.
+State is kept by key: a job's last state and progress, a client's last heartbeat. A client's ends with the watermark; those of
+jobs are tables that are written after each batch.
 """
 
 from __future__ import annotations
@@ -8,9 +9,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.jobs import ALLOWED
 
@@ -51,43 +51,51 @@ def last_subscription(events: DataFrame) -> DataFrame:
     return events.groupBy("tab").agg(F.max_by("subscription", F.struct("ts", "subscription")).alias("subscription"))
 
 
-def progress(reports: DataFrame) -> DataFrame:
-    """Reports (job_id, seq, done, total) that move a job on: done larger than any before. Others are dropped."""
+def progress(reports: DataFrame, before: DataFrame) -> DataFrame:
+    """Reports (job_id, seq, done, total) of a batch that move a job on: done larger than any before. Others are dropped.
+
+    before: job_id, peak of earlier batches. A batch is judged in the order of seq, in whatever order it comes.
+    """
+    earlier = Window.partitionBy("job_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    met = reports.join(before, "job_id", "left").withColumn("_best", F.coalesce(F.greatest(F.max("done").over(earlier), "peak"), F.lit(-1)))
+    return met.where("done > _best").select(*reports.columns)
 
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        (peak,) = state.get if state.exists else (-1,)
-        for pdf in batches:
-            pdf = pdf.sort_values("seq", kind="stable")
-            best = pdf["done"].cummax().shift(fill_value=-1).clip(lower=peak)
-            yield pdf[pdf["done"] > best]
-            peak = max(peak, int(pdf["done"].max()))
-        state.update((peak,))
 
-    return reports.groupBy("job_id").applyInPandasWithState(run, reports.schema, "peak long", "append", GroupStateTimeout.NoTimeout)
+def peaks(before: DataFrame, moved: DataFrame) -> DataFrame:
+    """job_id, peak after a batch, from those before it and the reports that moved jobs on."""
+    return before.union(moved.select("job_id", F.col("done").alias("peak"))).groupBy("job_id").agg(F.max("peak").alias("peak"))
 
 
-def transitions(steps: DataFrame) -> DataFrame:
-    """Steps (job_id, seq, state) with from_state and allowed, by the table of transitions. Refused steps change nothing.
+def transitions(steps: DataFrame, before: DataFrame) -> DataFrame:
+    """Steps (job_id, seq, state) of a batch with from_state and allowed, by the table of transitions. Refused steps change nothing.
 
-    A job begins with WAITING; its state is forgotten once it is final.
+    A job begins with WAITING. before: job_id, now: states after earlier batches. A batch is judged in the order of
+    seq, in whatever order it comes; Spark sorts it, so a task holds no more of a job than a piece.
     """
 
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        (now,) = state.get if state.exists else (None,)
-        for pdf in batches:
-            before, allowed = [], []
-            pdf = pdf.sort_values("seq", kind="stable")
-            for to in pdf["state"]:
+    def run(pieces: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        job, now, n = None, None, 0
+        for pdf in pieces:
+            froms, allowed = [], []
+            for own, to, stored in zip(pdf["job_id"], pdf["state"], pdf["now"], strict=True):
+                if not n or own != job:
+                    job, now = own, stored
                 ok = to == "WAITING" if now is None else to in ALLOWED.get(now, ())
-                before.append(now)
+                froms.append(now)
                 allowed.append(ok)
                 now = to if ok else now
-            yield pdf.assign(from_state=before, allowed=allowed)
-        if now is not None:
-            state.update((now,))
+                n += 1
+            yield pdf.drop(columns="now").assign(from_state=froms, allowed=allowed)
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in steps.schema.fields) + ", from_state string, allowed boolean"
-    return steps.groupBy("job_id").applyInPandasWithState(run, schema, "state string", "append", GroupStateTimeout.NoTimeout)
+    met = steps.join(before, "job_id", "left").select(*steps.columns, "now")
+    return met.repartition("job_id").sortWithinPartitions("job_id", "seq").mapInPandas(run, schema)
+
+
+def states(before: DataFrame, judged: DataFrame) -> DataFrame:
+    """job_id, now after a batch, from those before it and its judged steps: an allowed step is later than any it follows."""
+    last = judged.where("allowed").groupBy("job_id").agg(F.max_by("state", "seq").alias("_last"))
+    return before.join(last, "job_id", "full").select("job_id", F.coalesce("_last", "now").alias("now"))
 
 
 def push(df: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append", every: str | None = None):
@@ -96,8 +104,8 @@ def push(df: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str,
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
-def drained(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Run a stream over all there is now, and read what it wrote. In complete and update modes the last batch counts.
+def drained(df: DataFrame, path: str, checkpoint: str, mode: str = "append", key: list[str] | None = None) -> DataFrame:
+    """Run a stream over all there is now, and read what it wrote. In complete mode the last batch counts, in update mode the last row of each key.
 
     Each batch is written to a folder of its own, so a batch that is run again replaces itself.
     """
@@ -111,4 +119,26 @@ def drained(df: DataFrame, path: str, checkpoint: str, mode: str = "append") ->
     if mode == "complete":
         last = out.agg(F.max("_batch")).first()[0]
         out = out.where(F.col("_batch") == last)
+    if mode == "update":
+        rest = [c for c in df.columns if c not in key]
+        out = out.groupBy(*key).agg(F.max_by(F.struct(*rest), "_batch").alias("_row")).select(*[F.col(c) if c in key else F.col(f"_row.{c}") for c in df.columns])
     return out.drop("_batch", "batch")
+
+
+def judged(df: DataFrame, judge: Callable[[DataFrame, DataFrame], DataFrame], after: Callable[[DataFrame, DataFrame], DataFrame], state: str, path: str, checkpoint: str) -> DataFrame:
+    """Run a stream over all there is now, each batch whole by ``judge(batch, before)``, and read what it wrote.
+
+    The table of states (schema ``state``) is written after each batch by ``after(before, judged)``; a batch that is run
+    again finds the states before it as they were.
+    """
+    spark = df.sparkSession
+
+    def write(batch: DataFrame, number: int) -> None:
+        own = batch.sparkSession
+        before = own.read.schema(state).parquet(f"{path}/state={number - 1:06d}") if number else own.createDataFrame([], state)
+        judge(batch, before).write.mode("overwrite").parquet(f"{path}/batch={number:06d}")
+        done = own.read.parquet(f"{path}/batch={number:06d}")
+        after(before, done).write.mode("overwrite").parquet(f"{path}/state={number:06d}")
+
+    push(df, write, checkpoint).awaitTermination()
+    return spark.read.parquet(f"{path}/batch=*").drop("batch")
