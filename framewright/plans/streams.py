@@ -27,9 +27,9 @@ def _events(v: Views) -> DataFrame:
     return stream.withColumn("kind", kinds[F.col("event_type")]).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def _drained(v: Views, stream: DataFrame, mode: str = "append") -> DataFrame:
+def _drained(v: Views, stream: DataFrame, mode: str = "append", key: list[str] | None = None) -> DataFrame:
     place = _place(v)
-    return queue.drained(stream, f"{place}/out", f"{place}/checkpoint", mode)
+    return queue.drained(stream, f"{place}/out", f"{place}/checkpoint", mode, key)
 
 
 def _judged(v: Views, stream: DataFrame, judge, after, state: str):
@@ -47,12 +47,12 @@ def _(v: Views):
 @query("stream_sessions")
 def _(v: Views):
     beats = _events(v).withColumnRenamed("user_id", "client")
-    return _drained(v, queue.sessions(beats, "6 hours", "1 hour"))
+    return _drained(v, queue.sessions(beats, "6 hours", "1 hour"), "complete")  # with those still open
 
 
 @query("stream_windows")
 def _(v: Views):
-    return _drained(v, queue.windowed(_events(v), "1 day", None, "1 hour")).withColumn("total", F.round("total", 4))
+    return _drained(v, queue.windowed(_events(v), "1 day", None, "1 hour"), "update", ["window_start", "kind"]).withColumn("total", F.round("total", 4))
 
 
 @query("stream_without_repeats", "SELECT DISTINCT user_id, event_type FROM events")
