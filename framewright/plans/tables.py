@@ -339,7 +339,7 @@ def _(v: Views):
 @query("safe_paths", "SELECT page_id, CASE WHEN starts_with(url, 'https://') THEN substr(url, 9) END AS relative_path, coalesce(len(list_filter(string_split(substr(url, 9), '/'), lambda x: x IN ('', '.', '..'))) = 0, false) AS safe FROM pages")
 def _(v: Views):
     path = text.relative_path(F.col("url"), F.lit("https:/"))
-    return v.table("pages").select("page_id", path.alias("relative_path"), F.coalesce(text.safe_relative_path(F.substring("url", 9, 10000)), F.lit(False)).alias("safe"))
+    return v.table("pages").select("page_id", path.alias("relative_path"), F.coalesce(text.safe_relative_path(F.substr("url", F.lit(9))), F.lit(False)).alias("safe"))
 
 
 DQ_FACES = "SELECT face_id, x1, y1, CASE WHEN face_id % 40 = 0 THEN x1 ELSE x2 END AS x2, y2, CASE WHEN face_id % 30 = 0 THEN 'GUESS' ELSE origin END AS origin, CASE WHEN face_id % 50 = 0 THEN NULL WHEN face_id % 25 = 0 THEN 1.5 ELSE 0.5 END AS detect_confidence, frame_number % 20 AS frame_number, id_videofile, 0 AS face_index, person_id FROM faces"
