@@ -1,21 +1,27 @@
 """Near-duplicate texts by SimHash and Golay-code fuzzy keys.
 
-Words (A-Z lowered, each once) are the features of a SimHash of FAMILIES * 46 + PLAIN_BITS bits. Texts that share 0.8 of their
-five-word shingles differ in about one bit of fifteen, too many for one 64-bit fingerprint; so there are FAMILIES
-pairs of 23-bit segments, and a pair of segments gives a key where both differ in at most one bit: the indices of the
-Golay codewords near to them. One side of a pair of texts needs all near codewords, the other the nearest alone; a hash
-of text and family gives one text in four the first role.
-
-Texts that meet under a key and differ in few of the further PLAIN_BITS bits are candidates; what decides is the exact Jaccard
-similarity of their five-word shingles. In a bucket of many alike texts a text isn't compared with all others, but with
-the centre of its cluster (the text closest to the cluster's majority of bits, which is what copies were made from) and
-with a neighbour that is closer than the middle. Buckets of all families name a large cluster by its majority bits, so
-it has one centre however many buckets it fills.
-
-That is the first pass: it links the bulk of large groups cheaply, and may miss links. The second one misses none. Of two sets
-of shingles that are alike enough, the prefixes share a shingle, whatever the order (rarest first here, as far as a sample
-tells): so texts meet under each shingle of their prefix, and all pairs that the first pass left in different components
-are compared. Buckets with very many such pairs are dealt out by pairs of blocks.
+One pass over the texts makes a profile of each: a SimHash of FAMILIES * 46 + PLAIN_BITS bits over its words (A-Z
+lowered, each once), the number of its five-word shingles, their parities (below) and the prefix of their set.
+
+First search. Texts that share 0.8 of their five-word shingles differ in about one bit of fifteen, too many for one
+64-bit fingerprint; so there are FAMILIES pairs of 23-bit segments, and a pair of segments gives a key where both differ
+in at most one bit: the indices of the Golay codewords near to them. One side of a pair of texts needs all near
+codewords, the other the nearest alone; a hash of text and family gives one text in four the first role. Texts that
+meet under a key and differ in few of the further PLAIN_BITS bits are candidates. In a bucket of many alike texts a text
+is compared with the centre of its cluster (the text closest to the cluster's majority of bits, which is what copies
+were made from) and with a neighbour that is closer than the middle. Buckets of all families name a large cluster by its
+majority bits, so it has one centre however many buckets it fills. This links the bulk of large groups cheaply, and may
+miss links.
+
+Second search, which misses none. Of two sets of shingles that are alike enough, the prefixes share a shingle, whatever
+the order (rarest first here, as far as a sample tells): so texts meet under each shingle of their prefix, and all pairs
+that the first search left in different components are candidates. Where a bucket has many more pairs than rows, the
+parities are compared inside the bucket, each text gets the nearest of its possible partners first, and what that leaves
+in different components goes on to a round with more partners, until no partner is left out.
+
+Parities: bit i tells whether an odd number of a text's shingles falls to place i. Two texts' parities differ in no more
+bits than their sets differ in shingles, so candidates that differ in too many bits can't be alike enough and go. What
+decides on the others is the exact Jaccard similarity of their sets.
 """
 
 from __future__ import annotations
@@ -47,8 +53,12 @@ SAMPLE, COMMON = 12_500, 20_000
 #: Low bits of a prefix key: the logarithm of the number of shingles to the base SIZE_STEP. SIZE_REACH is that of 1 / SIMILARITY.
 SIZE_BITS, SIZE_STEP = 12, 1.02
 SIZE_REACH = math.ceil(-math.log(SIMILARITY) / math.log(SIZE_STEP))
+#: A bucket of more pairs than rows times this has its rows' parities compared before pairs are given out.
+PAIRS_A_ROW = 4
 #: A bucket of more pairs than this is dealt out to several tasks.
-MOST_PAIRS = 4_000_000
+MOST_PAIRS = 50_000_000
+#: Partners that a row of such a bucket is given in the first round; each further round gives MORE_PARTNERS times as many.
+FIRST_PARTNERS, MORE_PARTNERS = 4, 16
 _BYTES = (FAMILIES * 46 + PLAIN_BITS + 7) // 8
 
 
@@ -182,15 +192,44 @@ def prefix_keys(shingles: np.ndarray, common: np.ndarray, counts: np.ndarray) ->
     return first >> SIZE_BITS << SIZE_BITS | int(math.log(n) / math.log(SIZE_STEP))
 
 
-def prefix_pairs(packed: np.ndarray, node: np.ndarray, root: np.ndarray, most: int | None = MOST_PAIRS):
-    """Yields (a, b, None): pairs of nodes of different roots and like sizes that share a prefix key.
+def parities(shingles: np.ndarray) -> bytes:
+    """For each of 64 * 2 ** k places, at least as many as there are shingles: whether an odd number falls to it."""
+    bits = 64
+    while bits < len(shingles):
+        bits *= 2
+    place = (shingles.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20)) & np.uint64(bits - 1)
+    return np.packbits(np.bincount(place.astype(np.int64), minlength=bits) & 1, bitorder="little").tobytes()
+
+
+def folded(words: np.ndarray) -> np.ndarray:
+    """Parities over half as many places. words: 64-bit words of parities in the last axis."""
+    half = words.shape[-1] // 2
+    return words[..., :half] ^ words[..., half:]
+
+
+def may_be_alike(differ: np.ndarray, sizes: np.ndarray, size) -> np.ndarray:
+    """Whether sets of these sizes whose parities differ in so many bits can be alike enough."""
+    few = differ * (1 + SIMILARITY) <= (sizes + size) * (1 - SIMILARITY) + 1e-6
+    return few & (np.minimum(sizes, size) >= SIMILARITY * np.maximum(sizes, size) - 1e-6)
 
-    Of buckets with more than ``most`` pairs it yields (rows, None, blocks): their rows, and into how many blocks to deal them.
-    """
-    order = np.lexsort((node, packed))
-    order = order[np.concatenate([[True], (packed[order][1:] != packed[order][:-1]) | (node[order][1:] != node[order][:-1])])]
-    bucket = packed >> SIZE_BITS
-    order = order[np.lexsort((root[order], bucket[order]))]
+
+def alike_by_parity(x: list[bytes], n: np.ndarray, y: list[bytes], m: np.ndarray) -> np.ndarray:
+    """For pairs of texts with parities x, y and sizes n, m: whether they can be alike enough."""
+    out = np.zeros(len(x), dtype=bool)
+    widths = np.array([(len(a), len(b)) for a, b in zip(x, y, strict=True)], dtype=np.int64).reshape(-1, 2)
+    for wa, wb in np.unique(widths, axis=0).tolist():
+        at = np.flatnonzero((widths == (wa, wb)).all(axis=1))
+        if max(wa, wb) > 2 * min(wa, wb):
+            continue  # one set has over twice the shingles of the other
+        words = [np.frombuffer(b"".join(v[i] for i in at.tolist()), dtype=np.uint64).reshape(len(at), -1) for v in (x, y)]
+        words = [folded(v) if v.shape[1] * 8 > min(wa, wb) else v for v in words]
+        out[at] = may_be_alike(np.bitwise_count(words[0] ^ words[1]).sum(axis=1, dtype=np.int64), n[at], m[at])
+    return out
+
+
+def by_buckets(bucket: np.ndarray, node: np.ndarray, root: np.ndarray):
+    """(order, own, last): rows by bucket, components of a bucket from small to large; where each row's component and bucket end."""
+    order = np.lexsort((node, root, bucket))
 
     def ends(*columns):
         """For each row, the end and the length of its run of equal values."""
@@ -198,18 +237,29 @@ def prefix_pairs(packed: np.ndarray, node: np.ndarray, root: np.ndarray, most: i
         cut = np.concatenate([[0], np.flatnonzero(new) + 1, [len(order)]])
         return np.repeat(cut[1:], np.diff(cut)), np.repeat(np.diff(cut), np.diff(cut))
 
-    # components of a bucket by size, so each row's partners are what stands behind its own component
     order = order[np.lexsort((root[order], ends(bucket, root)[1], bucket[order]))]
-    partners = (last := ends(bucket)[0]) - (own := ends(bucket, root)[0])
-    if most is not None:
-        start = np.flatnonzero(np.concatenate([[True], last[1:] != last[:-1]]))
-        pairs = np.add.reduceat(partners, start)
-        for at in np.flatnonzero(pairs > most).tolist():
-            part = slice(start[at], last[start[at]])
-            yield order[part], None, math.ceil(math.sqrt(pairs[at] / most)) + 1
-            partners[part] = 0
+    return order, ends(bucket, root)[0], ends(bucket)[0]
+
+
+def prefix_pairs(packed: np.ndarray, node: np.ndarray, root: np.ndarray):
+    """Yields (a, b, None): pairs of nodes of different roots and like sizes that share a prefix key.
+
+    Of buckets with more than PAIRS_A_ROW pairs a row it yields (nodes, buckets, blocks): their rows, and into how many blocks
+    to deal each bucket.
+    """
+    bucket, size = packed >> SIZE_BITS, packed & ((1 << SIZE_BITS) - 1)
+    order, own, last = by_buckets(bucket, node, root)
+    partners = last - own  # a row's partners are what stands behind its own component
+    start = np.flatnonzero(np.concatenate([[True], last[1:] != last[:-1]]))
+    rows = np.diff(np.concatenate([start, [len(order)]]))
+    pairs = np.add.reduceat(partners, start)
+    many = pairs > PAIRS_A_ROW * rows
+    if many.any():
+        blocks = np.where(pairs > MOST_PAIRS, np.ceil(np.sqrt(pairs / MOST_PAIRS)).astype(np.int64) + 1, 1)
+        here = np.repeat(many, rows)
+        yield node[order[here]], bucket[order[here]] << SIZE_BITS, np.repeat(blocks[many], rows[many])
+        partners = np.where(here, 0, partners)
     total = np.cumsum(partners)
-    size = packed & ((1 << SIZE_BITS) - 1)
     at = 0
     while at < len(order):
         to = max(at + 1, int(np.searchsorted(total, total[at] - partners[at] + 1_000_000, side="right")))
@@ -218,12 +268,62 @@ def prefix_pairs(packed: np.ndarray, node: np.ndarray, root: np.ndarray, most: i
         right = own[left] + np.arange(len(left)) - np.repeat(np.cumsum(n) - n, n)
         left, right = order[left], order[right]
         near = np.abs(size[left] - size[right]) <= SIZE_REACH
-        pairs = np.unique(np.sort(np.stack([node[left[near]], node[right[near]]], axis=1), axis=1), axis=0)
-        if len(pairs):
-            yield pairs[:, 0], pairs[:, 1], None
+        found = np.unique(np.sort(np.stack([node[left[near]], node[right[near]]], axis=1), axis=1), axis=0)
+        if len(found):
+            yield found[:, 0], found[:, 1], None
         at = to
 
 
+def nearest_partners(bucket: np.ndarray, node: np.ndarray, root: np.ndarray, size: np.ndarray, parity: list[bytes], most: int):
+    """Yields (a, b, None): each row with the nearest ``most`` rows behind its component that can be alike enough.
+
+    Of buckets where a row has more such partners it yields (nodes, buckets, None) too, as the second kind: (a, b, True).
+    """
+    order, own, last = by_buckets(bucket, node, root)
+    width = np.array([len(p) for p in parity], dtype=np.int64)
+    at = 0
+    while at < len(order):
+        end = int(last[at])
+        rows = order[at:end]
+        place = {w: np.flatnonzero(width[rows] == w) for w in np.unique(width[rows]).tolist()}
+        whole = {w: np.frombuffer(b"".join(parity[i] for i in rows[p].tolist()), dtype=np.uint64).reshape(len(p), -1) for w, p in place.items()}
+        half = {w // 2: folded(m) for w, m in whole.items() if w > 8}
+        left, right, more = [], [], False
+        for i in range(end - at):
+            behind = int(own[at + i]) - at
+            if behind == end - at:
+                break
+            r = int(rows[i])
+            w, n = int(width[r]), int(size[r])
+            mine = np.frombuffer(parity[r], dtype=np.uint64)
+            near, far = [], []
+            for v, known, key in ((mine, whole, w), (mine, half, w), (folded(mine) if w > 8 else None, whole, w // 2)):
+                p = place.get(key if known is whole else 2 * key)
+                if v is None or p is None or key not in known:
+                    continue
+                first = int(np.searchsorted(p, behind))
+                if first == len(p):
+                    continue
+                differ = np.bitwise_count(known[key][first:] ^ v).sum(axis=1, dtype=np.int64)
+                ok = np.flatnonzero(may_be_alike(differ, size[rows[p[first:]]], n))
+                near.append(p[first:][ok])
+                far.append(differ[ok])
+            if not near or not sum(map(len, near)):
+                continue
+            near, far = np.concatenate(near), np.concatenate(far)
+            if len(near) > most:
+                more = True
+                near = near[np.argsort(far, kind="stable")[:most]]
+            left.append(np.full(len(near), r))
+            right.append(rows[near])
+        if left:
+            found = np.sort(np.stack([node[np.concatenate(left)], node[np.concatenate(right)]], axis=1), axis=1)
+            yield found[:, 0], found[:, 1], False
+        if more:
+            yield node[rows], bucket[rows], True
+        at = end
+
+
 def node_of():
     """A text's node: a digest of doc_id and text, so rows that share a doc_id stay apart."""
     return F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), text_of())
@@ -238,22 +338,31 @@ def near_links(docs: DataFrame) -> DataFrame:
     ship(docs.sparkSession)
     nodes = docs.select(node_of().alias("node"), text_of().alias("text"))
     rows = nodes.count()
-    links = stored(alike(nodes, met_by_bits(nodes, rows)), "links")
-    return links.union(alike(nodes, met_by_prefix(nodes, rows, stored(components(links), "first-roots"))))
-
-
-def met_by_bits(nodes: DataFrame, rows: int) -> DataFrame:
-    """(a, b): candidates of the first pass."""
-    spark = nodes.sparkSession
+    known = stored(profiles(nodes, common_shingles(nodes, rows)), "profiles")
+    links = stored(alike(nodes, possible(met_by_bits(known, rows), known)), "links")
+    roots = stored(components(links), "first-roots")
+    met = met_by_prefix(known, rows, roots)
+    more = stored(alike(nodes, possible(met.where("NOT whole").select("a", "b").distinct(), known)), "links")
+    links = links.union(more)
+    rest = met.where("whole").select(F.col("b").alias("bucket"), F.col("a").alias("node"), "blocks").distinct()
+    partners = FIRST_PARTNERS
+    while not rest.isEmpty():
+        roots = stored(components(links), "roots")
+        found = stored(met_by_parity(rest, known, roots, rows, partners), "met")
+        links = links.union(stored(alike(nodes, stored(found.where("NOT whole").select("a", "b").distinct(), "candidates")), "links"))
+        rest = found.where("whole").select(F.col("b").alias("bucket"), F.col("a").alias("node"), F.lit(1).cast("long").alias("blocks"))
+        partners *= MORE_PARTNERS
+    return links
+
+
+def met_by_bits(known: DataFrame, rows: int) -> DataFrame:
+    """(a, b): candidates of the first search over profiles."""
+    spark = known.sparkSession
 
     def keys(batches):
         for batch in batches:
-            prints = [word_simhash(t) for t in batch.column(1).to_pylist()]
-            known = np.array([p is not None for p in prints], dtype=bool)
-            node = batch.column(0).to_numpy()[known]
-            if not len(node):
-                continue
-            print_ = np.frombuffer(b"".join(p for p in prints if p is not None), dtype=np.uint8).reshape(-1, _BYTES)
+            node = batch.column(0).to_numpy()
+            print_ = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint8).reshape(-1, _BYTES)
             for at in range(0, len(node), 1500):
                 row, packed = family_keys(print_[at : at + 1500], node[at : at + 1500])
                 yield pa.RecordBatch.from_arrays([pa.array(packed), pa.array(node[at : at + 1500][row])], ["packed", "node"])
@@ -266,7 +375,7 @@ def met_by_bits(nodes: DataFrame, rows: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(members[:, 1]), pa.array(members[:, 2]), pa.array(members[:, 0])], ["a", "b", "cluster"])
 
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows * 130 // 1_500_000)
-    met = nodes.mapInArrow(keys, "packed long, node long").repartition(n, F.shiftright("packed", KEY_SHIFT)).mapInArrow(pairs, "a long, b long, cluster long")
+    met = known.select("node", "bits").mapInArrow(keys, "packed long, node long").repartition(n, F.shiftright("packed", KEY_SHIFT)).mapInArrow(pairs, "a long, b long, cluster long")
     met = stored(met.distinct(), "met")
     members = met.where("cluster IS NOT NULL").select("cluster", F.col("a").alias("member"), F.col("b").alias("distance"))
     centres = members.groupBy("cluster").agg(F.min(F.struct("distance", "member"))["member"].alias("centre"))
@@ -281,49 +390,92 @@ def shingle_sets(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
 
 
-def met_by_prefix(nodes: DataFrame, rows: int, roots: DataFrame) -> DataFrame:
-    """(a, b): all pairs of nodes with different roots that can be alike enough."""
-    spark = nodes.sparkSession
+def common_shingles(nodes: DataFrame, rows: int) -> np.ndarray:
+    """The commonest shingles of a sample, sorted, and how often they are in it, as rows. They set the order of prefixes only."""
     sample = nodes.where(F.pmod("node", F.lit(max(1, rows // SAMPLE))) == 0).mapInArrow(shingle_sets, "node long, shingles array<long>")
     often = sample.select(F.explode("shingles").alias("s")).groupBy("s").count().where("count > 2").orderBy(F.desc("count"), "s").limit(COMMON).collect()
-    often = np.array(sorted((r[0], r[1]) for r in often), dtype=np.int64).reshape(-1, 2)
+    return np.array(sorted((r[0], r[1]) for r in often), dtype=np.int64).reshape(-1, 2)
+
+
+def profiles(nodes: DataFrame, often: np.ndarray) -> DataFrame:
+    """node, bits (SimHash), size (number of shingles), parity, keys (prefix) of each text that has words."""
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for node, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                bits = word_simhash(text)
+                if bits is not None:
+                    set_ = np.unique(shingle_hashes(text, SHINGLE).view(np.int64))
+                    out.append((node, bits, len(set_), parities(set_), prefix_keys(set_, often[:, 0], often[:, 1])))
+            if out:
+                node, bits, size, parity, keys = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(bits, pa.binary()), pa.array(size, pa.int64()), pa.array(parity, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["node", "bits", "size", "parity", "keys"])
+
+    return nodes.mapInArrow(run, "node long, bits binary, size long, parity binary, keys array<long>")
+
+
+def with_roots(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """rows with the root of their node: itself where roots hasn't the node. Only rows that may have another are shuffled."""
+    marked = with_filter(rows, F.col("node"), roots, "node", "rooted")
+    some = marked.where("rooted").drop("rooted").join(roots, "node", "left").select(*rows.columns, F.coalesce("root", "node").alias("root"))
+    return marked.where("NOT rooted").select(*rows.columns, F.col("node").alias("root")).union(some)
+
+
+MET = "a long, b long, blocks long, whole boolean"
+
+
+def _met(a, b, blocks, whole: bool) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.nulls(len(a), pa.int64()) if blocks is None else pa.array(blocks, pa.int64()), pa.array(np.full(len(a), whole))], ["a", "b", "blocks", "whole"])
+
+
+def met_by_prefix(known: DataFrame, rows: int, roots: DataFrame) -> DataFrame:
+    """a, b, blocks, whole: candidates of nodes with different roots; where whole, node a is in bucket b, whose rows are yet to be compared."""
+    spark = known.sparkSession
+
+    def pairs(batches):
+        parts = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches if b.num_rows]
+        if parts:
+            for a, b, blocks in prefix_pairs(*(np.concatenate(c) for c in zip(*parts, strict=True))):
+                yield _met(a, b, blocks, blocks is not None)
 
-    def keys(batches):
-        for batch in shingle_sets(batches):
-            ends = batch.column(1).offsets.to_numpy()
-            flat = batch.column(1).values.to_numpy()
-            found = [prefix_keys(flat[a:b], often[:, 0], often[:, 1]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["node", "keys"])
-
-    def pairs(most):
-        def run(batches):
-            parts = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches if b.num_rows]
-            if not parts:
-                return
-            packed, node, root = (np.concatenate(c) for c in zip(*parts, strict=True))
-            for a, b, blocks in prefix_pairs(packed, node, root, most):
-                if blocks:
-                    columns = [node[a], root[a], packed[a], np.full(len(a), blocks)]
-                else:
-                    columns = [a, b, None, None]
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.int64()) if c is None else pa.array(c, pa.int64()) for c in columns], ["a", "b", "packed", "blocks"])
-
-        return run
-
-    out = "a long, b long, packed long, blocks long"
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows * 80 // 1_500_000)
-    known = nodes.mapInArrow(keys, "node long, keys array<long>").join(roots, "node", "left")
-    each = known.select(F.explode("keys").alias("packed"), "node", F.coalesce("root", "node").alias("root"))
-    met = stored(each.repartition(n, F.shiftright("packed", SIZE_BITS)).mapInArrow(pairs(MOST_PAIRS), out).distinct(), "met")
-    large = met.where("blocks IS NOT NULL")
-    # each pair of blocks is a bucket of its own
-    block = F.pmod(F.xxhash64("a", F.lit("block")), F.col("blocks"))
-    dealt = large.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    name = F.xxhash64(F.shiftright("packed", SIZE_BITS), F.least("block", "other"), F.greatest("block", "other"))
-    low = F.lit((1 << SIZE_BITS) - 1).cast("long")
-    dealt = dealt.select(name.bitwiseAND(F.bitwise_not(low)).bitwiseOR(F.col("packed").bitwiseAND(low)).alias("packed"), F.col("a").alias("node"), F.col("b").alias("root"))
-    more = dealt.repartition(n, F.shiftright("packed", SIZE_BITS)).mapInArrow(pairs(None), out)
-    return stored(met.where("blocks IS NULL").union(more).select("a", "b").distinct(), "candidates")
+    each = with_roots(known.select("node", "keys"), roots).select(F.explode("keys").alias("packed"), "node", "root")
+    return stored(each.repartition(n, F.shiftright("packed", SIZE_BITS)).mapInArrow(pairs, MET), "met")
+
+
+def met_by_parity(rest: DataFrame, known: DataFrame, roots: DataFrame, rows: int, partners: int) -> DataFrame:
+    """a, b, blocks, whole as above, from the rows of whole buckets. Each pair of blocks of a bucket becomes a bucket of its own."""
+    spark = known.sparkSession
+
+    def pairs(batches):
+        parts = [b for b in batches if b.num_rows]
+        if parts:
+            table = pa.Table.from_batches(parts)
+            bucket, node, root, size = (table.column(c).to_numpy() for c in ("bucket", "node", "root", "size"))
+            for a, b, whole in nearest_partners(bucket, node, root, size, table.column("parity").to_pylist(), partners):
+                yield _met(a, b, None, whole)
+
+    block = F.pmod(F.xxhash64("node", F.lit("block")), F.col("blocks"))
+    dealt = rest.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    name = F.when(F.col("blocks") == 1, F.col("bucket")).otherwise(F.xxhash64("bucket", F.least("block", "other"), F.greatest("block", "other")))
+    dealt = with_roots(dealt.select(name.alias("bucket"), "node"), roots).join(known.select("node", "size", "parity").dropDuplicates(["node"]), "node")
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rest.count() // 100_000)
+    return dealt.select("bucket", "node", "root", "size", "parity").repartition(n, "bucket").mapInArrow(pairs, MET)
+
+
+def possible(candidates: DataFrame, known: DataFrame) -> DataFrame:
+    """The candidates (a, b) that can be alike enough, as their sizes and parities tell."""
+
+    def run(batches):
+        for batch in batches:
+            n, m = batch.column(2).to_numpy(), batch.column(4).to_numpy()
+            ok = alike_by_parity(batch.column(3).to_pylist(), n, batch.column(5).to_pylist(), m)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(ok))
+
+    side = lambda c: known.select(F.col("node").alias(c), F.col("size").alias(f"size_{c}"), F.col("parity").alias(f"parity_{c}")).dropDuplicates([c])
+    both = candidates.join(side("a"), "a").join(side("b"), "b").select("a", "b", "size_a", "parity_a", "size_b", "parity_b")
+    return stored(both.mapInArrow(run, "a long, b long"), "candidates")
 
 
 def alike(nodes: DataFrame, candidates: DataFrame) -> DataFrame:

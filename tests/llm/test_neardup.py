@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from framewright.llm import neardup
 
@@ -93,20 +94,83 @@ def test_copies_edited_in_blocks(spark):
     same_as_plain(spark, texts)
 
 
-def test_large_buckets_are_dealt_out():
+def test_windows_over_one_text(spark):
+    """Each text is like the next one only, by a shift."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    words = [word() for _ in range(1200)]
+    texts = {n: " ".join(words[6 * n : 6 * n + 100]) for n in range(180)}
+    assert set(plain_groups(texts).values()) == {0}
+    same_as_plain(spark, texts)
+
+
+def template(n, changed, words=150):
+    rng = random.Random(10)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    base, texts = [word() for _ in range(words)], {}
+    for i in range(n):
+        copy = base[:]
+        for _ in range(changed):
+            copy[rng.randrange(words)] = word()
+        texts[i] = " ".join(copy)
+    return texts
+
+
+def test_template_at_the_threshold(spark):
+    """300 texts of one template with 3 changed words each: few pairs are alike, all share shingles."""
+    same_as_plain(spark, template(300, 3))
+
+
+def without_first_search(monkeypatch):
+    monkeypatch.setattr(neardup, "met_by_bits", lambda known, rows: known.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0))
+
+
+def test_large_group_by_the_second_search_alone(spark, monkeypatch):
+    """Buckets of alike texts take several rounds, whole or dealt out by blocks."""
+    without_first_search(monkeypatch)
+    monkeypatch.setattr(neardup, "FIRST_PARTNERS", 1)
+    monkeypatch.setattr(neardup, "PAIRS_A_ROW", 1)
+    same_as_plain(spark, template(150, 2, 100))
+    monkeypatch.setattr(neardup, "MOST_PAIRS", 400)
+    same_as_plain(spark, template(120, 3, 150))
+
+
+def test_parities_never_exclude_what_is_alike():
+    rng = np.random.default_rng(7)
+    for n in (1, 3, 60, 65, 130, 900):
+        for _ in range(40):
+            x = np.unique(rng.integers(-(2**63), 2**63, n, dtype=np.int64))
+            drop = int(rng.integers(0, max(1, n // 8) + 1))
+            y = np.unique(np.concatenate([x[drop:], rng.integers(-(2**63), 2**63, int(rng.integers(0, n // 9 + 1)), dtype=np.int64)]))
+            both = len(np.intersect1d(x, y))
+            alike = len(y) > 0 and both >= neardup.SIMILARITY * (len(x) + len(y) - both)
+            got = neardup.alike_by_parity([neardup.parities(x)], np.array([len(x)]), [neardup.parities(y)], np.array([len(y)]))
+            assert got[0] or not alike
+    far = [rng.integers(-(2**63), 2**63, 200, dtype=np.int64) for _ in range(2)]
+    assert not neardup.alike_by_parity([neardup.parities(far[0])], np.array([200]), [neardup.parities(far[1])], np.array([200]))[0]
+
+
+def test_prefix_pairs_give_each_pair_or_the_whole_bucket(monkeypatch):
     rng = np.random.default_rng(6)
     packed, node = np.repeat(np.arange(4) << neardup.SIZE_BITS, 50), np.tile(np.arange(50), 4)
     root = np.where(node < 30, 0, node)
-    pairs = lambda most: {(a, b) for x, y, blocks in neardup.prefix_pairs(packed[o], node[o], root[o], most) if not blocks for a, b in zip(x.tolist(), y.tolist(), strict=True)}
     o = rng.permutation(len(node))
-    assert pairs(None) == {(a, b) for b in range(30, 50) for a in range(b)}
-    found = list(neardup.prefix_pairs(packed[o], node[o], root[o], 100))
-    assert pairs(100) == set() and [len(rows) for rows, _, _ in found] == [50] * 4 and all(blocks > 2 for _, _, blocks in found)
-
-
-def test_dealt_out_as_whole(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "MOST_PAIRS", 3)
-    test_families_of_one_template(spark)
+    monkeypatch.setattr(neardup, "PAIRS_A_ROW", 100)
+    found = list(neardup.prefix_pairs(packed[o], node[o], root[o]))
+    assert {(a, b) for x, y, _ in found for a, b in zip(x.tolist(), y.tolist(), strict=True)} == {(a, b) for b in range(30, 50) for a in range(b)}
+    monkeypatch.setattr(neardup, "PAIRS_A_ROW", 2)
+    monkeypatch.setattr(neardup, "MOST_PAIRS", 100)
+    ((nodes, buckets, blocks),) = neardup.prefix_pairs(packed[o], node[o], root[o])
+    assert len(nodes) == 200 and len(set(buckets.tolist())) == 4 and (blocks > 2).all()
+
+
+def test_same_rows_whatever_the_order(spark):
+    """Extra columns with the names used inside, repeated rows, maps and structs."""
+    text = " ".join(f"w{i}" for i in range(50))
+    rows = [(1, text, "r", {"a": 1}, (1,)), (2, text + " more", "r", {}, (2,)), (2, text + " more", "r", {}, (2,)), (3, "other words", None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, row string, node map<string,int>, copied struct<root:int>")
+    out = neardup.without_near_copies(df)
+    assert out.schema == df.schema and sorted(r["doc_id"] for r in out.collect()) == [1, 3]
 
 
 def test_odd_rows(odd, empty):
