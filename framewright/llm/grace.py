@@ -4,12 +4,14 @@ Records are dealt to buckets by a hash of their content. A task fills an open-ad
 complete contents; copies are first combined inside each scan task, so a content shared by a third of all rows sends
 one record a table, not one a row. A bucket whose distinct contents outgrow the table's byte limit keeps what it
 holds and passes every record of other contents on to spill files (a table in the shared folder); these are dealt
-again by the next level's hash, and so on until no bucket spills.
+again by the next level's hash, into as many buckets as their bytes need, and so on until no bucket spills. Every bucket
+takes at least one content, so each level leaves fewer.
 """
 
 from __future__ import annotations
 
 import hashlib
+from itertools import count
 
 import pyarrow as pa
 import xxhash
@@ -18,8 +20,9 @@ from pyspark.sql import functions as F
 
 from .common import packed, ship, stored, text_of, unpacked, with_class, with_filter
 
-#: Bytes of distinct content that one table may hold.
+#: Bytes of distinct content that one table may hold, and what an entry takes besides.
 TABLE_BYTES = 96 << 20
+ENTRY_BYTES = 150
 #: Of the tables that combine copies in the scan tasks.
 COMBINE_BYTES = 24 << 20
 
@@ -44,11 +47,11 @@ class ContentTable:
                 self.rows[i] += rows
                 return True
             at = (at + 1) & self.mask
-        if self.full or self.contents and self.used + len(content) > self.limit:
+        if self.full or self.contents and self.used + len(content) + ENTRY_BYTES > self.limit:
             self.full = True  # from now on, for small contents too
             return False
         self.slots[at] = len(self.contents)
-        self.used += len(content) + 1
+        self.used += len(content) + ENTRY_BYTES
         self.hashes.append(h)
         self.contents.append(content)
         self.best.append(best)
@@ -119,23 +122,23 @@ def _bucket(limit: int):
     return run
 
 
-def content_classes(docs: DataFrame, table_bytes: int = TABLE_BYTES, combine_bytes: int = COMBINE_BYTES, most_levels: int = 40) -> DataFrame:
+def content_classes(docs: DataFrame, table_bytes: int = TABLE_BYTES, combine_bytes: int = COMBINE_BYTES) -> DataFrame:
     """(digest, keep_id, group_size): one row for each distinct text; keep_id is the largest doc_id among its rows."""
     spark = docs.sparkSession
     ship(spark)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     records = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().cast("binary").alias("content")).mapInArrow(_combine(combine_bytes), RECORD)
     found = None
-    for level in range(most_levels):
+    for level in count():
         dealt = records.repartition(n, F.xxhash64("h", F.lit(level)))
         done = stored(dealt.mapInArrow(_bucket(table_bytes), "digest binary, keep_id long, group_size long, " + RECORD), f"grace-{level}")
         kept = done.where(F.col("digest").isNotNull()).select("digest", "keep_id", "group_size")
         found = kept if found is None else found.union(kept)
         records = done.where(F.col("digest").isNull()).select("h", "content", "best", "n_rows")
-        if records.isEmpty():
+        spilled = records.agg(F.sum(F.octet_length("content") + ENTRY_BYTES)).first()[0]
+        if not spilled:
             break
-    else:
-        raise RuntimeError(f"buckets still spill after {most_levels} levels")
+        n = max(n, 2 * spilled // table_bytes + 1)
     if not found.groupBy("digest").count().where("count > 1").isEmpty():
         raise RuntimeError("two different texts share a SHA-256 digest")
     return found
@@ -155,14 +158,22 @@ def exact_groups(docs: DataFrame, **limits: int) -> DataFrame:
     return each.select("doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("nth") == 1)).alias("kept"), "digest")
 
 
+def _hashable(field):
+    """A column that xxhash64 takes: maps, and what holds maps, as JSON."""
+    column = F.col(f"`{field.name}`")
+    return F.to_json(F.struct(column)) if "map<" in field.dataType.simpleString() else column
+
+
 def without_copies(docs: DataFrame, **limits: int) -> DataFrame:
-    """docs with one row of each distinct text, columns unchanged. Rows repeated whole stay once.
+    """docs with one row of each distinct text, that with the largest doc_id, columns unchanged. Rows repeated whole stay once.
 
+    Null text counts as empty and stays null. Of rows that share doc_id and text and differ elsewhere one stays, chosen by a
+    hash of the other columns. An empty table gives an empty table; texts may have any length up to Spark's for a string.
     Rows whose text surely has no copy stay where they are; only the others are shuffled to meet the row that stays.
     """
     classes = content_classes(docs, **limits)
     several = classes.where("group_size > 1").select(F.xxhash64("digest").alias("h"))
-    others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    others = [_hashable(f) for f in docs.schema.fields if f.name != "text"]
     marked = packed(docs, id=F.col("doc_id").cast("long"), digest=F.unhex(F.sha2(text_of().cast("binary"), 256)), tie=F.xxhash64(*others))
     marked = with_filter(marked, F.xxhash64("digest"), several, "h", "copied")
     stay = classes.select(F.col("keep_id").alias("kept_id"), F.col("digest").alias("kept_digest"))
