@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import grace
+from . import grace, warc
 from .grace import op5_exact_dedup
 from .langid import op10_language
 from .packing import op4_packing
@@ -29,4 +29,5 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op5_exact_dedup": grace.OP5_SQL,
+    "op6_warc": warc.OP6_SQL,
 }

@@ -10,6 +10,7 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import io
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -17,8 +18,9 @@ from pyspark.sql import functions as F
 
 from .common import new_path, ship, stored, with_class
 
-#: Records of one archive file at most, so that a file fits a task.
+#: Records of one archive file at most, and about so many bytes of payload, so that a file fits a task.
 RECORDS_A_FILE = 6_000
+FILE_BYTES = 64 << 20
 
 RECORD = "record_id string, record_type string, concurrent_to string, refers_to string, target_uri string, warc_date string, payload_digest string, http_length long, content_length long, computed_digest string, payload_bytes long, fields map<string,string>"
 
@@ -41,31 +43,36 @@ def _id(name, *parts):
 
 
 def revisit_plan(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """page_id, nth, url, html, payload_bytes, payload_digest, first_page: pages with what their records need.
+    """page, nth, url, html, payload_bytes, payload_digest, first_page: pages with what their records need.
 
-    first_page is the smallest page_id among pages with an equal payload of at least ``least_bytes``; null where the
-    page itself is the response. nth counts rows with equal page_id and payload from 0: all but the first of them
-    revisit it. Null html counts as empty, null url as empty, a null page_id as the smallest.
+    page is struct<known, id>: known is false for a null page_id, which so is smaller than all others. first_page is the
+    smallest page among pages with an equal payload of at least ``least_bytes``; null where the page itself is the
+    response. nth counts rows with equal page and payload from 0: all but the first of them revisit it. Null html counts
+    as empty, null url as empty.
     """
-    low = -(1 << 63)
-    page = pages.select(F.coalesce(F.col("page_id").cast("long"), F.lit(low)).alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
+    id_ = F.col("page_id").cast("long")
+    page = pages.select(F.struct(id_.isNotNull().alias("known"), F.coalesce(id_, F.lit(0).cast("long")).alias("id")).alias("page"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
+    size = F.octet_length("html").cast("long")
     page = page.withColumn("content", F.unhex(F.sha2(F.col("html").cast("binary"), 256)))
     # ids and digests find the plan; the payloads are shuffled once, to meet it
-    ids = page.groupBy("page_id", "content").agg(F.count("*").alias("times"))
-    classes = stored(ids.groupBy("content").agg(F.min("page_id").alias("least_page"), F.sum("times").alias("size")), "payloads")
-    total = classes.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    own = page.join(with_class(ids.select("page_id", "content"), classes, "content", "size", total, F.col("page_id")), ["page_id", "content"])
-    nth = F.row_number().over(Window.partitionBy("page_id", "content").orderBy("url")) - 1
-    size = F.octet_length("html").cast("long")
-    first = (F.col("page_id") == F.col("least_page")) & (F.col("nth") == 0)
-    return own.withColumn("nth", nth).select("page_id", "nth", "url", "html", size.alias("payload_bytes"), base32_sha1(F.col("html").cast("binary")).alias("payload_digest"), F.when((size >= least_bytes) & ~first, F.col("least_page")).alias("first_page"), F.hex("content").alias("content"))
+    ids = page.groupBy("page", "content").agg(F.count("*").alias("times"), F.sum(size).alias("bytes"))
+    classes = stored(ids.groupBy("content").agg(F.min("page").alias("least_page"), F.sum("times").alias("size"), F.sum("bytes").alias("bytes")), "payloads")
+    total, bytes_ = classes.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    found = with_class(ids.select("page", "content"), classes.drop("bytes"), "content", "size", total, F.col("page"))
+    # each partition becomes a file: their number follows the bytes
+    n = max(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), bytes_ // FILE_BYTES + 1)
+    own = page.repartition(n, "page", "content").join(found.repartition(n, "page", "content"), ["page", "content"])
+    nth = F.row_number().over(Window.partitionBy("page", "content").orderBy("url")) - 1
+    first = (F.col("page") == F.col("least_page")) & (F.col("nth") == 0)
+    return own.withColumn("nth", nth).select("page", "nth", "url", "html", size.alias("payload_bytes"), base32_sha1(F.col("html").cast("binary")).alias("payload_digest"), F.when((size >= least_bytes) & ~first, F.col("least_page")).alias("first_page"), F.hex("content").alias("content"))
 
 
 def write_archives(plan: DataFrame, path: str) -> None:
     """Three records a page as gzip-compressed WARC/1.1 files. Each record ends with two line breaks, the files' line separator."""
     r, n = "\r\n", F.col
+    id_ = lambda page: F.when(n(f"{page}.known"), n(f"{page}.id").cast("string")).otherwise(F.lit(""))
     date = F.lit("2024-01-01T00:00:00Z")
-    main = _id("main", n("page_id"), n("nth"), n("content"))
+    main = _id("main", id_("page"), n("nth"), n("content"))
     uri = F.when(n("url") == "", F.lit("urn:none")).otherwise(F.regexp_replace("url", r"[\r\n]", "%0A"))
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{r}Content-Type: text/html; charset=utf-8{r}Content-Length: "), n("payload_bytes").cast("string"), F.lit(r + r))
     revisit = n("first_page").isNotNull()
@@ -77,32 +84,33 @@ def write_archives(plan: DataFrame, path: str) -> None:
 
     digest = F.concat(F.lit(f"{r}WARC-Payload-Digest: sha1:"), n("payload_digest"))
     # what a revisit refers to is the first row of the least page
-    refers = F.when(revisit, F.concat(F.lit(f"{r}WARC-Refers-To: "), _id("main", n("first_page"), F.lit(0), n("content")), F.lit(f"{r}WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))).otherwise(F.lit(""))
+    refers = F.when(revisit, F.concat(F.lit(f"{r}WARC-Refers-To: "), _id("main", id_("first_page"), F.lit(0), n("content")), F.lit(f"{r}WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))).otherwise(F.lit(""))
     to = F.concat(F.lit(f"{r}WARC-Concurrent-To: "), main)
     request = F.concat(F.lit("GET "), uri, F.lit(f" HTTP/1.1{r}User-Agent: archiver{r}{r}"))
-    fields = F.concat(F.lit("page-id: "), n("page_id").cast("string"), F.when(revisit, F.concat(F.lit(f"{r}refers-to-page: "), n("first_page").cast("string"))).otherwise(F.lit("")), F.lit(r))
+    fields = F.concat(F.lit("page-id: "), id_("page"), F.when(revisit, F.concat(F.lit(f"{r}refers-to-page: "), id_("first_page"))).otherwise(F.lit("")), F.lit(r))
     lines = F.array(
         record(F.when(revisit, F.lit("revisit")).otherwise(F.lit("response")), main, block, "application/http; msgtype=response", digest, refers),
-        record(F.lit("request"), _id("request", n("page_id"), n("nth"), n("content")), request, "application/http; msgtype=request", to),
-        record(F.lit("metadata"), _id("metadata", n("page_id"), n("nth"), n("content")), fields, "application/warc-fields", to),
+        record(F.lit("request"), _id("request", id_("page"), n("nth"), n("content")), request, "application/http; msgtype=request", to),
+        record(F.lit("metadata"), _id("metadata", id_("page"), n("nth"), n("content")), fields, "application/warc-fields", to),
     )
     plan.select(F.explode(lines).alias("value")).write.option("lineSep", r + r).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_A_FILE).text(path)
 
 
 def records_of(data: bytes):
-    """(headers, block) of each record of an archive file, decompressed or not. Header names are lower-cased."""
-    if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
-    at = 0
-    while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        lines = data[at:end].split(b"\r\n")
-        if not lines[0].startswith(b"WARC/"):
-            raise ValueError(f"no WARC record at byte {at}: {lines[0][:40]!r}")
-        headers = {k.strip().lower().decode("latin-1"): v.strip().decode("utf-8", "replace") for k, _, v in (x.partition(b":") for x in lines[1:])}
+    """(headers, block) of each record of an archive file, unpacked record by record. Header names are lower-cased."""
+    file = gzip.GzipFile(fileobj=io.BytesIO(data)) if data[:2] == b"\x1f\x8b" else io.BytesIO(data)
+    while first := file.readline():
+        if not first.startswith(b"WARC/"):
+            raise ValueError(f"no WARC record where one should begin: {first[:40]!r}")
+        headers = {}
+        while (line := file.readline().rstrip(b"\r\n")) != b"":
+            name, _, value = line.partition(b":")
+            headers[name.strip().lower().decode("latin-1")] = value.strip().decode("utf-8", "replace")
         size = int(headers["content-length"])
-        yield headers, data[end + 4 : end + 4 + size]
-        at = end + 4 + size + 4
+        block = file.read(size)
+        if len(block) < size or file.read(4) != b"\r\n\r\n":
+            raise ValueError(f"record {headers.get('warc-record-id')} is cut off")
+        yield headers, block
 
 
 def read_archives(spark, path: str) -> DataFrame:
@@ -165,7 +173,7 @@ def captures(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
 def op6_warc(spark, sf_dir: str) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to of every row of pages, from the assembled captures."""
     got = captures(spark.read.parquet(f"{sf_dir}/pages.parquet"))
-    page = lambda name: F.nullif(F.col("metadata.fields")[name].cast("long"), F.lit(-(1 << 63)))
+    page = lambda name: F.nullif(F.col("metadata.fields")[name], F.lit("")).cast("long")
     response = F.col("response.record_type") == "response"
     return got.select(
         page("page-id").alias("page_id"),
@@ -175,3 +183,18 @@ def op6_warc(spark, sf_dir: str) -> DataFrame:
         page("refers-to-page").alias("refers_to"),
         (~response | (F.col("response.computed_digest").eqNullSafe(F.col("response.payload_digest")) & F.col("response.payload_bytes").eqNullSafe(F.col("response.http_length")))).alias("intact"),
     )
+
+
+OP6_SQL = """
+WITH p AS (
+    SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS digest,
+           min(page_id) OVER (PARTITION BY coalesce(html, '')) AS least_page
+    FROM pages
+)
+SELECT page_id, octet_length(encode(payload)) AS payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           (((('0x' || substr(digest, 5 * (i // 4) + 1, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31) + 1)::INTEGER, 1)), '') AS payload_digest,
+       CASE WHEN page_id = least_page THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = least_page THEN NULL ELSE least_page END AS refers_to, true AS intact
+FROM p
+"""
