@@ -4,7 +4,9 @@ Patterns propose candidate spans. Five labelers (pattern with its checks, gazett
 vote on each candidate: for, against, or not at all. A candidate's votes and kind are one of at most
 KINDS * 3 ** LABELERS patterns of votes, so the corpus boils down to a bounded table of counts. On it
 expectation-maximisation estimates how reliable each labeler is and how likely each pattern is to be personal data;
-these likelihoods train the final classifier, a logistic regression on votes and kind, which decides on the spans.
+these likelihoods train the final classifier, a logistic regression on the votes and on what the span looks like (length,
+kinds of characters, the word before it, each by kind), which decides on the spans. Its rows are one of LOOKS looks for
+each pattern of votes, so they are bounded as well.
 
 Spans that match a base pattern and pass its checks always stay; the classifier adds spans that no base span of their
 kind overlaps. Positions are code points, the end is exclusive.
@@ -25,7 +27,11 @@ LABELERS = ("pattern", "gazetteer", "context", "shape", "border")
 #: Votes.
 NONE, AGAINST, FOR = 0, 1, 2
 #: Code points before and after a candidate that the context and border labelers see.
-BEFORE, AFTER = 40, 2
+BEFORE = 40
+#: Code points of a piece of text.
+PIECE = 16_384
+#: Numbers of looks of a candidate: 8 lengths, 4 kinds of characters, 16 groups of words before.
+LOOKS = 512
 
 # The base patterns, written so that Java's matcher neither backtracks nor recurses over long runs. They find what the
 # plain patterns find: a match never starts inside a run of its first class unless the match before ended there.
@@ -65,16 +71,46 @@ def found(text, pattern: str, gate):
     return F.when(gate, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 
+def let(value, body):
+    """body(value) with value evaluated once, for use where an inlined expression would be evaluated for each element."""
+    return F.transform(F.array(value), body)[0]
+
+
+def running(values, zero, op):
+    """For each place of an int array, op over all values before it. Blocks of about sqrt(n) values keep that far from quadratic."""
+    step = F.ceil(F.sqrt(F.size(values))).cast("int")
+    fold = lambda a: F.aggregate(a, zero, op)
+
+    def by_blocks(step):
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / step).cast("int")), lambda k: fold(F.slice(values, k * step + 1, step)))
+        before = let(blocks, lambda all_: F.transform(all_, lambda _, k: fold(F.slice(all_, F.lit(1), k))))
+
+        def place(before, i):
+            block = F.floor(i / step).cast("int")
+            return op(F.get(before, block), fold(F.slice(values, block * step + 1, i - block * step)))
+
+        return let(before, lambda before: F.transform(values, lambda _, i: place(before, i)))
+
+    return F.when(F.size(values) > 0, let(step, by_blocks)).otherwise(F.array().cast("array<int>"))
+
+
 def positions(text, pattern: str, matches):
     """array<struct<t, s, e>>: matches with their places. What stands between matches tells where they are."""
-    total = lambda a: F.aggregate(a, F.lit(0), lambda n, x: n + F.char_length(x))
-    gaps = F.when(F.size(matches) > 0, F.split(text, pattern, -1)).otherwise(F.array().cast("array<string>"))
 
-    def place(m, i):
-        start = total(F.slice(gaps, F.lit(1), i + 1)) + total(F.slice(matches, F.lit(1), i))
-        return F.struct(m.alias("t"), start.alias("s"), (start + F.char_length(m)).alias("e"))
+    def placed(matches, gaps, lengths):
+        before = running(lengths, F.lit(0), lambda n, x: n + x)
 
-    return F.transform(matches, place)
+        def place(before, m, i):
+            return let(F.get(before, i) + F.char_length(F.get(gaps, i)), lambda s: F.struct(m.alias("t"), s.alias("s"), (s + F.char_length(m)).alias("e")))
+
+        return let(before, lambda before: F.transform(matches, lambda m, i: place(before, m, i)))
+
+    def with_gaps(matches):
+        gaps = F.when(F.size(matches) > 0, F.split(text, pattern, -1)).otherwise(F.array().cast("array<string>"))
+        lengths = lambda gaps: F.transform(matches, lambda m, i: F.char_length(m) + F.char_length(F.get(gaps, i)))
+        return let(gaps, lambda gaps: let(lengths(gaps), lambda own: placed(matches, gaps, own)))
+
+    return let(matches, with_gaps)
 
 
 def luhn(digits):
@@ -105,12 +141,28 @@ def passes(kind: str, t):
     return F.lit(True)
 
 
-def votes(kind: str, text, c, pattern_vote):
-    """The pattern of votes on candidate c (struct t, s, e) as one number."""
-    t, d = c["t"], digits_of(c["t"])
-    start = F.greatest(F.lit(0), c["s"] - BEFORE)
-    before = text.substr(start + 1, c["s"] - start)
-    last, next_ = text.substr(c["s"], F.lit(1)), text.substr(c["e"] + 1, F.lit(1))
+def pieces_of(text):
+    """A text cut into pieces of PIECE code points, each with the first BEFORE of the next: places in it are found without reading all of it."""
+    return F.transform(F.sequence(F.lit(0), F.floor(F.char_length(text) / PIECE).cast("int")), lambda i: text.substr(i * PIECE + 1, F.lit(PIECE + BEFORE)))
+
+
+def cut(pieces, start, size):
+    """size (at most BEFORE) code points from start on."""
+    return F.get(pieces, F.floor(start / PIECE).cast("int")).substr(start % PIECE + 1, size)
+
+
+def look(c, before):
+    """What a candidate looks like, as one number below LOOKS: length, kinds of characters, and the word before it."""
+    t = c["t"]
+    size = F.least(F.lit(7), F.floor(F.log2(F.char_length(t) + 1)).cast("int"))
+    made = F.when(t.rlike("[0-9]"), F.when(t.rlike("[A-Za-z]"), 0).otherwise(1)).otherwise(F.when(t.rlike("[A-Z]"), 2).otherwise(3))
+    word = F.crc32(F.lower(F.regexp_extract(before, r"(\p{L}+)[^\p{L}]*$", 1))) % 16
+    return ((size * 4 + made) * 16 + word).cast("int")
+
+
+def votes(kind: str, c, d, before, next_, pattern_vote):
+    """The pattern of votes on candidate c (struct t, s, e) with digits d as one number."""
+    t, last = c["t"], F.right(before, F.lit(1))
     vote = lambda yes, no: F.when(yes, FOR).when(no, AGAINST).otherwise(NONE)
     distinct = F.size(F.array_distinct(F.filter(F.split(d, ""), lambda x: x != "")))
     if kind == "email":
@@ -142,23 +194,29 @@ def _checked(kind: str):
     return F.transform(f"_pb_{kind}", lambda c: F.struct(c["t"].alias("t"), c["s"].alias("s"), c["e"].alias("e"), passes(kind, c["t"]).alias("ok")))
 
 
-def _judged(kind: str, text, c, how, vote):
-    return F.struct(F.lit(KINDS.index(kind)).alias("k"), c["s"].alias("s"), c["e"].alias("e"), how.alias("how"), votes(kind, text, c, vote).alias("votes"))
+def _judged(kind: str, pieces, c, how, vote):
+    start = F.greatest(F.lit(0), c["s"] - BEFORE)
+
+    def judged(before, d):
+        code = votes(kind, c, d, before, cut(pieces, c["e"], F.lit(1)), vote)
+        return F.struct(F.lit(KINDS.index(kind)).alias("k"), c["s"].alias("s"), c["e"].alias("e"), how.alias("how"), code.alias("votes"), look(c, before).alias("look"))
+
+    return let(cut(pieces, start, c["s"] - start), lambda before: let(digits_of(c["t"]), lambda d: judged(before, d)))
 
 
-def _judged_base(kind: str, text):
-    return F.transform(f"_c_{kind}", lambda c: _judged(kind, text, c, F.when(c["ok"], 0).otherwise(1), F.when(c["ok"], FOR).otherwise(AGAINST)))
+def _judged_base(kind: str, pieces):
+    return F.transform(f"_c_{kind}", lambda c: _judged(kind, pieces, c, F.when(c["ok"], 0).otherwise(1), F.when(c["ok"], FOR).otherwise(AGAINST)))
 
 
-def _judged_loose(kind: str, text):
+def _judged_loose(kind: str, pieces):
     free = F.col(f"_pl_{kind}")
     if kind in BASE:
         free = F.filter(free, lambda c: ~F.exists(f"_c_{kind}", lambda b: b["ok"] & (b["s"] < c["e"]) & (c["s"] < b["e"])))
-    return F.transform(free, lambda c: _judged(kind, text, c, F.lit(2), F.lit(NONE)))
+    return F.transform(free, lambda c: _judged(kind, pieces, c, F.lit(2), F.lit(NONE)))
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """docs with _spans: array<struct<k, s, e, how, votes>> of all candidates, by kind and start.
+    """docs with _spans: array<struct<k, s, e, how, votes, look>> of all candidates, by kind and start.
 
     how: 0 base, 1 a base match that fails its check, 2 loose (overlapping no base span of its kind).
     """
@@ -172,14 +230,20 @@ def candidates(docs: DataFrame) -> DataFrame:
     for name, patterns in (("b", BASE), ("l", LOOSE)):
         for kind, pattern in patterns.items():
             df = df.withColumn(f"_p{name}_{kind}", positions(text, pattern, F.col(f"_m{name}_{kind}")))
-    parts = []
+    for kind in BASE:
+        df = df.withColumn(f"_c_{kind}", _checked(kind))
+    any_ = F.lit(False)
     for kind in KINDS:
-        if kind in BASE:
-            df = df.withColumn(f"_c_{kind}", _checked(kind))
-            parts.append(_judged_base(kind, text))
-        if kind in LOOSE:
-            parts.append(_judged_loose(kind, text))
-    return df.select(*docs.columns, F.array_sort(F.concat(*parts)).alias("_spans"))
+        any_ = any_ | (F.size(f"_c_{kind}") > 0 if kind in BASE else F.lit(False)) | (F.size(f"_pl_{kind}") > 0 if kind in LOOSE else F.lit(False))
+
+    def judged(pieces):
+        parts = []
+        for kind in KINDS:
+            parts += [_judged_base(kind, pieces)] * (kind in BASE) + [_judged_loose(kind, pieces)] * (kind in LOOSE)
+        return F.array_sort(F.concat(*parts))
+
+    none = F.array().cast("array<struct<k:int,s:int,e:int,how:int,votes:int,look:int>>")
+    return df.select(*docs.columns, F.when(any_, let(pieces_of(text), judged)).otherwise(none).alias("_spans"))
 
 
 def estimate(counts: dict[int, int], rounds: int = 100) -> dict[int, float]:
@@ -206,41 +270,58 @@ def estimate(counts: dict[int, int], rounds: int = 100) -> dict[int, float]:
     return dict(zip(keys, q.tolist(), strict=True))
 
 
-def train(counts: dict[int, int], likelihood: dict[int, float], steps: int = 600, rate: float = 0.5) -> list[float]:
-    """Logistic regression on kind and votes with the likelihoods as targets: a probability for every pattern."""
-    n = len(LABELERS)
-    total = len(KINDS) * 3**n
+def _features(keys: np.ndarray) -> np.ndarray:
+    """For each key (votes * LOOKS + look): the places of its features, kind, votes, and kind with length, characters, word before."""
+    n, kinds = len(LABELERS), len(KINDS)
+    code, seen = keys // LOOKS, keys % LOOKS
+    kind = code // 3**n
+    out = [kind, *(kinds + 3 * i + code // 3 ** (n - 1 - i) % 3 for i in range(n))]
+    at = kinds + 3 * n
+    for part, many in ((seen // 64, 8), (seen // 16 % 4, 4), (seen % 16, 16)):
+        out.append(at + kind * many + part)
+        at += kinds * many
+    return np.stack(out, axis=1)
 
-    def features(k: int) -> list[int]:
-        return [k // 3**n, *(len(KINDS) + 3 * i + k // 3 ** (n - 1 - i) % 3 for i in range(n))]
 
-    size = len(KINDS) + 3 * n
-    x = np.zeros((total, size))
-    for k in range(total):
-        x[k, features(k)] = 1
-    w = np.zeros(size)
-    keys = sorted(counts)
-    if keys:
-        own, target = x[keys], np.array([likelihood[k] for k in keys])
-        share = np.log1p([counts[k] for k in keys])
+def train(counts: dict[int, int], likelihood: dict[int, float], steps: int = 600, rate: float = 0.5) -> tuple[list[float], list[float]]:
+    """Logistic regression on votes and looks with the likelihoods of the votes as targets.
+
+    counts are by votes * LOOKS + look. Gives what each pattern of votes, and each kind * LOOKS + look, adds to the score; a
+    candidate counts as personal data from a sum of 0 on.
+    """
+    n = len(LABELERS)
+    every = np.arange(len(KINDS) * 3**n, dtype=np.int64)
+    w = np.zeros(len(KINDS) * (1 + 8 + 4 + 16) + 3 * n)
+    if counts:
+        keys = np.array(sorted(counts), dtype=np.int64)
+        own, target = _features(keys), np.array([likelihood[k // LOOKS] for k in keys.tolist()])
+        share = np.log1p([counts[k] for k in keys.tolist()])
         share = share / share.sum()
         for _ in range(steps):
-            p = 1 / (1 + np.exp(-own @ w))
-            w -= rate * size * (own.T @ (share * (p - target)) + 1e-4 * w)
-    return [1 / (1 + math.exp(-max(-50.0, min(50.0, z)))) for z in (x @ w).tolist()]
-
-
-def classifier(spans: DataFrame) -> list[float]:
-    """A probability for each pattern of votes, learned from all candidates in _spans."""
-    rows = spans.select(F.explode("_spans").alias("c")).groupBy("c.votes").count().collect()  # a bounded number of patterns
+            p = 1 / (1 + np.exp(-np.clip(w[own].sum(axis=1), -50, 50)))
+            pull = np.repeat(share * (p - target), own.shape[1])
+            w -= rate * own.shape[1] * (np.bincount(own.ravel(), weights=pull, minlength=len(w)) + 1e-4 * w)
+    by_votes = w[_features(every * LOOKS)[:, : 1 + n]].sum(axis=1)
+    looks = (np.arange(len(KINDS))[:, None] * 3**n * LOOKS + np.arange(LOOKS)[None, :]).ravel()
+    return by_votes.tolist(), w[_features(looks)[:, 1 + n :]].sum(axis=1).tolist()
+
+
+def classifier(spans: DataFrame) -> tuple[list[float], list[float]]:
+    """What votes and looks add to a candidate's score, learned from all candidates in _spans."""
+    # at most len(KINDS) * 3 ** len(LABELERS) * LOOKS rows, whatever the input
+    rows = spans.select(F.explode("_spans").alias("c")).groupBy((F.col("c.votes").cast("long") * LOOKS + F.col("c.look")).alias("key")).count().collect()
     counts = {r[0]: r[1] for r in rows}
-    return train(counts, estimate(counts))
+    by_votes: dict[int, int] = {}
+    for k, n in counts.items():
+        by_votes[k // LOOKS] = by_votes.get(k // LOOKS, 0) + n
+    return train(counts, estimate(by_votes))
 
 
-def decided(spans: DataFrame, probability: list[float], least: float = 0.5) -> DataFrame:
+def decided(spans: DataFrame, scores: tuple[list[float], list[float]]) -> DataFrame:
     """_spans cut down to base spans and those the classifier adds."""
-    table = F.array(*[F.lit(round(p, 9)) for p in probability])
-    return spans.withColumn("_spans", F.filter("_spans", lambda c: (c["how"] == 0) | ((c["how"] == 2) & (F.get(table, c["votes"]) >= least))))
+    by_votes, by_look = (F.split(F.lit(",".join(f"{x:.6f}" for x in table)), ",").cast("array<double>") for table in scores)
+    score = lambda c: F.get(by_votes, c["votes"]) + F.get(by_look, c["k"] * LOOKS + c["look"])
+    return spans.withColumn("_spans", F.filter("_spans", lambda c: (c["how"] == 0) | ((c["how"] == 2) & (score(c) >= 0))))
 
 
 def as_text(spans):
@@ -251,7 +332,8 @@ def as_text(spans):
 def find_personal_data(docs: DataFrame) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans, n_added of every row.
 
-    Null text counts as empty: no spans, and the digest of the empty string. Repeated rows each give their row.
+    Null text counts as empty: no spans, and the digest of the empty string. Repeated rows each give their row. Texts of any
+    length are read whole; an empty table gives no rows, and a classifier that adds nothing it has no reason to.
     """
     spans = stored(candidates(docs.select("doc_id", "text")).select("doc_id", "_spans"), "spans")
     out = decided(spans, classifier(spans))
@@ -264,14 +346,16 @@ def masked(text, spans):
     """The text with each span replaced by its kind in angle brackets; of overlapping spans the first to start names what they cover."""
     names = F.array(*[F.lit(f"<{k}>") for k in KINDS])
     ordered = F.array_sort(F.transform(spans, lambda c: F.struct(c["s"].alias("s"), c["e"].alias("e"), c["k"].alias("k"))))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
-    def step(acc, c):
-        fresh = c["s"] >= acc["at"]
-        out = F.when(fresh, F.concat(acc["out"], text.substr(acc["at"] + 1, c["s"] - acc["at"]), F.get(names, c["k"]))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], c["e"]).alias("at"), out.alias("out"))
+    def joined(ordered, done):
+        # done: where the spans before each one end
+        part = lambda c, at: F.when(c["s"] >= at, F.concat(text.substr(at + 1, c["s"] - at), F.get(names, c["k"]))).otherwise(F.lit(""))
+        end = F.array_max(F.transform(ordered, lambda c: c["e"]))
+        return F.concat(F.array_join(F.zip_with(ordered, done, part), ""), text.substr(end + 1, F.char_length(text)))
 
-    return F.aggregate(ordered, start, step, lambda acc: F.concat(acc["out"], text.substr(acc["at"] + 1, F.char_length(text))))
+    ends = lambda ordered: F.transform(ordered, lambda c: c["e"])
+    before = lambda ordered: let(ends(ordered), lambda own: running(own, F.lit(0), lambda a, b: F.greatest(a, b)))
+    return let(ordered, lambda ordered: let(before(ordered), lambda done: joined(ordered, done)))
 
 
 def without_personal_data(docs: DataFrame) -> DataFrame:

@@ -74,9 +74,42 @@ def test_estimation_tells_reliable_votes():
     good, bad = code([2] * n), code([1] * n)
     p = pii.estimate({good: 100, bad: 100})
     assert p[good] > 0.9 and p[bad] < 0.1
-    table = pii.train({good: 100, bad: 100}, p)
-    assert table[good] > 0.7 and table[bad] < 0.3 and len(table) == len(pii.KINDS) * 3**n
-    assert pii.estimate({}) == {}
+    by_votes, by_look = pii.train({good * pii.LOOKS + 5: 100, bad * pii.LOOKS + 70: 100}, p)
+    assert by_votes[good] + by_look[5] > 1 and by_votes[bad] + by_look[70] < -1
+    assert by_look[5] > 0 > by_look[70], "looks tell as well"
+    assert len(by_votes) == len(pii.KINDS) * 3**n and len(by_look) == len(pii.KINDS) * pii.LOOKS
+    assert pii.estimate({}) == {} and not any(pii.train({}, {})[0])
+
+
+def test_dense_text(spark):
+    """Very many spans in one text, over several pieces: places and masking are those of the plain version."""
+    parts = [f"mail user{i}@example.org or call +49 30 {1000000 + i} ünd 😀 {'x' * (i % 50)}" for i in range(4000)]
+    text = ", ".join(parts)
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    want = brute(text)
+    r = pii.find_personal_data(df).first()
+    assert len(text) > 10 * pii.PIECE and r["base_sha256"] == hashlib.sha256(",".join(f"{k}:{s}:{e}" for k in PATTERNS for s, e in want[k]).encode()).hexdigest()
+    plain = "".join(re.sub(r"user[0-9]+@example.org", "<email>", re.sub(r"\+49 30 [0-9]{7}", "<phone>", p)) + ", " for p in parts)[:-2]
+    assert pii.without_personal_data(df).first()["text"] == plain
+
+
+def test_added_spans(spark):
+    """Planted spans that no base pattern finds, among decoys: precision and recall."""
+    rng = random.Random(3)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    rows, planted = [], {}
+    for i in range(300):
+        token = "".join(rng.choice("abcdefghjkmnpqrstuvwxyz23456789ABCDEFGH") for _ in range(32))
+        kind, span = [("secret", token), ("phone", f"({digits(3)}) {digits(3)}-{digits(4)}"), ("none", digits(4)), ("none", "plainwordsonly")][i % 4]
+        cue = {"secret": "token: ", "phone": "please call ", "none": ["order number ", "the secret: "][i % 2]}[kind]
+        text = f"some words here {cue}{span} and some more words"
+        rows.append((i, text))
+        if kind != "none":
+            planted[i] = f"{kind}:{text.index(span)}:{text.index(span) + len(span)}"
+    got = {r["doc_id"]: r["spans"] for r in pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    added = {i: s for i, s in got.items() if s}
+    right = sum(added.get(i) == s for i, s in planted.items())
+    assert right >= 0.95 * len(planted) and right >= 0.95 * len(added)
 
 
 def test_no_python_in_the_plan(spark, sf_dir):
