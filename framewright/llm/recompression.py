@@ -334,8 +334,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS,
         return pa.table([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
 
     by_chunk = lambda df: df.groupBy("chunk")
-    anchors_heard = by_chunk(base).applyInArrow(first, MESSAGE).groupBy("bucket").applyInArrow(_answer(8), MESSAGE)
-    windows_heard = by_chunk(base).cogroup(by_chunk(anchors_heard)).applyInArrow(second, MESSAGE).groupBy("bucket").applyInArrow(_answer(12), MESSAGE)
+    # a task answers about a bucket or two, however many there are
+    by_bucket = lambda df, buckets: df.repartition(max(parts, buckets), "bucket").groupBy("bucket")
+    anchors_heard = by_bucket(by_chunk(base).applyInArrow(first, MESSAGE), ask_anchors).applyInArrow(_answer(8), MESSAGE)
+    windows_heard = by_bucket(by_chunk(base).cogroup(by_chunk(anchors_heard)).applyInArrow(second, MESSAGE), ask_windows).applyInArrow(_answer(12), MESSAGE)
     return by_chunk(base).cogroup(by_chunk(windows_heard)).applyInArrow(third, REMOVED)
 
 
