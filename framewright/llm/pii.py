@@ -56,6 +56,7 @@ GATE = {"email": r"@|[\[(](?:at|AT)[\])]", "ip": r"[0-9]\.[0-9]", "card": r"[0-9
 TOP_DOMAINS = ("com", "org", "net", "edu", "gov", "int", "info", "io", "de", "fr", "es", "it", "uk", "eu", "us", "ca", "ch", "at", "nl", "be", "pt", "pl", "ru", "jp", "cn", "in", "br", "mx", "au")
 DIALLING_CODES = r"\+ ?(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])"
 CARD_ISSUERS = r"^(?:4|5[1-5]|2[2-7]|3[47]|6011|65)"
+KEY_STARTS = r"^(?:sk|pk|gh[pousr]_|glpat|xox[abp]|AKIA|AIza|eyJ)"
 CUES = {
     "email": r"(?i)\b(?:e-?mail|mail|contact|write|address|kontakt|correo|courriel)\b",
     "ip": r"(?i)\b(?:ip|host|server|address|addr|client|from)\b",
@@ -180,7 +181,7 @@ def votes(kind: str, c, d, before, next_, pattern_vote):
         gazetteer = vote(t.rlike("^" + DIALLING_CODES), t.rlike(r"^\+ ?0"))
         shape = vote(F.char_length(d).between(9, 15) & (distinct > 2), ~F.char_length(d).between(7, 15) | (distinct < 3))
     else:
-        gazetteer = vote(F.lower(before).rlike("(?:token|password|passwd|secret|api_key)[^a-z]*$"), F.lit(False))
+        gazetteer = vote(t.rlike(KEY_STARTS), t.rlike("^[A-Za-z][a-z]*(?:[-_/][a-z]+)*$"))
         shape = vote(t.rlike("[0-9]") & t.rlike("[A-Za-z]"), t.rlike("^[A-Za-z]+$"))
     context = vote(before.rlike(CUES[kind]), before.rlike(COUNTER_CUES))
     border = vote(~last.rlike(r"[\p{L}\p{N}]") & ~next_.rlike(r"[\p{L}\p{N}]"), last.rlike(r"[\p{L}\p{N}]") | next_.rlike(r"[\p{L}\p{N}]"))
