@@ -54,3 +54,11 @@ def build(frames: DataFrame, sizes: DataFrame, key: str = "id_videofile", frame:
     out = bytes_.groupBy(key).agg(F.unhex(hexed).alias("keyframe_bitmap"), F.max("_count").alias("_count"), F.max("_frame").alias("_last"))
     good = F.when(F.col("_last") >= F.col("_count"), F.raise_error(F.lit("a frame lies beyond the frame count"))).otherwise(F.col("keyframe_bitmap"))
     return out.where(F.col("_count").isNotNull()).select(key, good.alias("keyframe_bitmap"))
+
+
+def from_flags(flags: DataFrame, sizes: DataFrame, key: str = "id_videofile", frame: str = "frame_number", flag: str = "is_key", count: str = "frame_count") -> DataFrame:
+    """key and keyframe_bitmap from one flag a frame. A key whose flags aren't just as many as its frames is an error."""
+    seen = flags.groupBy(key).agg(F.count("*").alias("_seen"), F.count_distinct(frame).alias("_frames"))
+    met = build(flags.where(F.col(flag)).select(key, frame), sizes, key, frame, count).join(sizes.select(key, F.col(count).alias("_want")), key).join(seen, key, "left")
+    whole = (F.coalesce("_seen", F.lit(0)) == F.col("_want")) & (F.coalesce("_frames", F.lit(0)) == F.col("_want"))
+    return met.select(key, F.when(whole, F.col("keyframe_bitmap")).otherwise(F.raise_error(F.lit("flags and frames differ in number"))).alias("keyframe_bitmap"))

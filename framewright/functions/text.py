@@ -69,8 +69,9 @@ def canonical_object(*fields: tuple[str, Column]) -> Column:
 
 
 def utc_second(ts: Column) -> Column:
-    """ISO-8601 in UTC, cut to the second (the session's time zone must be UTC)."""
-    return F.date_format(F.date_trunc("SECOND", ts), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    """ISO-8601 in UTC, cut to the second, whatever the session's time zone."""
+    utc = F.convert_timezone(F.current_timezone(), F.lit("UTC"), ts.cast("timestamp_ntz"))
+    return F.date_format(F.date_trunc("SECOND", utc), "yyyy-MM-dd'T'HH:mm:ss'Z'")
 
 
 def tolerant_timestamp(text: Column) -> Column:
@@ -113,6 +114,29 @@ def human_duration(ms: Column) -> Column:
     return F.format_string("%d:%02d:%02d", F.floor(s / 3600).cast("long"), F.floor(s / 60).cast("long") % 60, s % 60)
 
 
+def plural(n: Column, one: str, few: str, many: str) -> Column:
+    """The form of a word that a number takes in Slavic languages: 1, 21; 2-4, 22-24; 0, 5-20, 25."""
+    last, two = F.abs(n) % 10, F.abs(n) % 100
+    return F.when((last == 1) & (two != 11), one).when(last.between(2, 4) & ~two.between(12, 14), few).otherwise(many)
+
+
+def one_of(c: Column, values: tuple[str, ...], what: str) -> Column:
+    """c where it is null or one of the values; anything else is an error that names it."""
+    unknown = F.raise_error(F.concat(F.lit(f"unknown {what}: "), c))
+    return F.when(c.isNull() | c.isin(*values), c).otherwise(unknown)
+
+
+def other_than(c: Column, excluded: Column) -> Column:
+    """Whether c differs from what is excluded; where nothing is, everything does."""
+    return excluded.isNull() | (c != excluded)
+
+
+def titled(c: Column, titles: dict[str, str]) -> Column:
+    """The title of a literal; literals without one stay as they are."""
+    pairs = F.create_map(*[F.lit(x) for kv in titles.items() for x in kv])
+    return F.coalesce(F.try_element_at(pairs, c), c)
+
+
 def pem(der: Column, label: str = "PUBLIC KEY") -> Column:
     """Binary as PEM: base64 in lines of 64."""
     lines = F.regexp_replace(F.regexp_replace(F.base64(der), r"\s", ""), "(.{64})(?=.)", "$1\n")

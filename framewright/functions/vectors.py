@@ -40,3 +40,8 @@ def mean_by(df: DataFrame, key: str, vector: str, name: str = "mean") -> DataFra
 def dimensions(df: DataFrame, vector: str) -> DataFrame:
     """One row: how many different sizes the vectors have, and whether they all have one."""
     return df.agg(F.count_distinct(F.size(vector)).alias("sizes")).withColumn("uniform", F.col("sizes") <= 1)
+
+
+def grey(red: Column, green: Column, blue: Column) -> Column:
+    """Luma of a pixel. The weights of BT.601."""
+    return red * 0.299 + green * 0.587 + blue * 0.114

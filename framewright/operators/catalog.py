@@ -93,15 +93,34 @@ def find_artifacts(keys: DataFrame, artifacts: DataFrame, old_prefix: str, new_p
     return met.select("object_key", F.coalesce("artifact_id", "_old_id").alias("artifact_id"))
 
 
-def indicators(videofiles: DataFrame, sheets_ready: DataFrame, scenes: DataFrame, faces: DataFrame, persons: DataFrame) -> DataFrame:
-    """id_videofile and yes or no for PW (previews complete), AF (frames), CS (scenes), DF (faces), RF (named faces)."""
+def indicators(videofiles: DataFrame, sheets_ready: DataFrame | None, scenes: DataFrame | None, faces: DataFrame | None, persons: DataFrame | None, absent: tuple[str, ...] = ()) -> DataFrame:
+    """id_videofile and yes or no for PW (previews complete), AF (frames), CS (scenes), DF (faces), RF (named faces).
+
+    Where a table is None its answers are unknown; ``absent`` names indicators that no subsystem stands behind.
+    """
     n = lambda df, name: df.groupBy("id_videofile").agg(F.count("*").alias(name))
-    real = persons.where("kind = 'PERSON'").select("person_id")
     met = videofiles.select("id_videofile", "frame_count", geometry.sheet_count(F.col("frame_count")).alias("_want"))
-    for part in (n(sheets_ready, "_pw"), n(scenes.where("NOT is_stale"), "_cs"), n(faces, "_df"), n(faces.join(real, "person_id", "left_semi"), "_rf")):
-        met = met.join(part, "id_videofile", "left")
-    yes = lambda c: F.when(F.coalesce(c, F.lit(False)), "yes").otherwise("no")
-    return met.select("id_videofile", yes(F.col("_pw") >= F.col("_want")).alias("PW"), yes(F.col("frame_count") > 0).alias("AF"), yes(F.col("_cs") > 0).alias("CS"), yes(F.col("_df") > 0).alias("DF"), yes(F.col("_rf") > 0).alias("RF"))
+    known = {"AF": F.col("frame_count") > 0}
+    if sheets_ready is not None:
+        met, known["PW"] = met.join(n(sheets_ready, "_pw"), "id_videofile", "left"), F.col("_pw") >= F.col("_want")
+    if scenes is not None:
+        met, known["CS"] = met.join(n(scenes.where("NOT is_stale"), "_cs"), "id_videofile", "left"), F.col("_cs") > 0
+    if faces is not None:
+        met, known["DF"] = met.join(n(faces, "_df"), "id_videofile", "left"), F.col("_df") > 0
+    if faces is not None and persons is not None:
+        real = persons.where("kind = 'PERSON'").select("person_id")
+        met, known["RF"] = met.join(n(faces.join(real, "person_id", "left_semi"), "_rf"), "id_videofile", "left"), F.col("_rf") > 0
+    state = lambda c: F.when(F.coalesce(known[c], F.lit(False)), "yes").otherwise("no") if c in known else F.lit("unknown")
+    return met.select("id_videofile", *[state(c).alias(c) for c in ("PW", "AF", "CS", "DF", "RF")], *[F.lit("absent").alias(c) for c in absent])
+
+
+def in_order(df: DataFrame, order: list, within: list[str] | None = None) -> DataFrame:
+    """df with place: the rank of each row in a list, of the whole table or within rows that share columns.
+
+    A list of the whole table is numbered by one task: it is for catalogues, not for frames.
+    """
+    w = Window.partitionBy(*(within or [F.lit(0)])).orderBy(*order)
+    return df.withColumn("place", F.row_number().over(w))
 
 
 def events_from_shots(selection: DataFrame, shots: DataFrame) -> DataFrame:

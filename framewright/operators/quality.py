@@ -186,7 +186,7 @@ RULES: dict[str, tuple[Check | Unique | Reference, ...]] = {
         Check("digest_hex", f"source_sha256 RLIKE '{_HEX}'"),
         Check("range", "first_frame >= 0 AND last_frame >= first_frame"),
         Check("cut_range", "cut_first_frame >= 0 AND cut_last_frame >= cut_first_frame AND cut_first_frame <= first_frame AND cut_last_frame >= last_frame"),
-        Check("persons_array", "person_names LIKE '[%]'"),
+        Check("persons_array", "person_names IS NULL OR (left(trim(person_names), 1) = '[' AND json_array_length(person_names) IS NOT NULL)"),
         Unique("ordinal_unique", ("recipe_id", "ordinal")),
     ),
     "settings": (Check("key_not_blank", _filled("key")), Unique("key_unique", ("id_project", "key"))),
@@ -241,7 +241,7 @@ def _has(df: DataFrame, predicate: str) -> bool:
     import re
 
     words = set(re.findall(r"[a-z_][a-z_0-9]*", re.sub(r"'[^']*'", "", predicate)))
-    functions = {"trim", "length", "size", "coalesce", "octet_length", "div", "true", "false"}
+    functions = {"trim", "length", "size", "coalesce", "octet_length", "div", "true", "false", "left", "json_array_length"}
     return words - functions <= set(df.columns)
 
 

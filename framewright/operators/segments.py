@@ -118,3 +118,12 @@ def structure(scenes: DataFrame, shots: DataFrame, locations: DataFrame) -> Data
     nested = inside.groupBy("scene_id").agg(F.array_sort(F.collect_list("first_frame")).alias("shot_starts"), F.count("*").alias("shots"))
     out = live_scenes.join(nested, "scene_id", "left").join(locations.select("location_id", F.col("name").alias("location_name")), "location_id", "left")
     return out.select("scene_id", "id_videofile", "first_frame", "last_frame", "title", "location_name", F.coalesce("shots", F.lit(0).cast("long")).alias("shots"), "shot_starts")
+
+
+def structure_page(scenes: DataFrame, shots: DataFrame, locations: DataFrame, states: DataFrame, page: int, size: int) -> DataFrame:
+    """A page of each videofile's structure: so many live scenes from page * size on, how many there are, and the state (id_videofile, state) of their run."""
+    whole = structure(scenes, shots, locations)
+    w = Window.partitionBy("id_videofile")
+    nth = F.row_number().over(w.orderBy("first_frame", "scene_id")) - 1
+    met = whole.withColumn("nth", nth).withColumn("scenes_total", F.count("*").over(w)).where(F.col("nth").between(page * size, page * size + size - 1))
+    return met.join(states.select("id_videofile", "state"), "id_videofile", "left").select("id_videofile", "nth", "scenes_total", "scene_id", "first_frame", "last_frame", "location_name", "shots", "state")

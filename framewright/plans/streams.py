@@ -14,8 +14,12 @@ from .views import JOB_KINDS, Views
 
 
 def _place(v: Views) -> str:
-    """A folder of our own in the shared one; where that is unset (tests), in a temporary one."""
-    base = v.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="streams-")
+    """A folder of our own in the shared one; only a local session, whose executors are the driver, may do without."""
+    base = v.spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not v.spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="streams-")
     return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
@@ -44,15 +48,28 @@ def _(v: Views):
     return _drained(v, queue.state_counts(jobs), "complete")
 
 
-@query("stream_sessions")
+_KIND = "CASE event_type " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in JOB_KINDS.items()) + " END"
+
+
+def _moment(name: str):
+    return F.date_format(name, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(name)
+
+
+@query("stream_sessions", """
+, e AS (SELECT user_id, ts, CASE WHEN ts <= lag(ts) OVER w + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run FROM e)
+SELECT user_id AS client, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS first_beat, strftime(max(ts) + INTERVAL 6 HOUR, '%Y-%m-%d %H:%M:%S.%f') AS "end", count(*) AS beats FROM s GROUP BY user_id, run""")
 def _(v: Views):
     beats = _events(v).withColumnRenamed("user_id", "client")
-    return _drained(v, queue.sessions(beats, "6 hours", "1 hour"), "complete")  # with those still open
+    out = _drained(v, queue.sessions(beats, "6 hours", "1 hour"), "complete")  # with those still open
+    return out.select("client", _moment("first_beat"), _moment("end"), "beats")
 
 
-@query("stream_windows")
+@query("stream_windows", f"""
+SELECT strftime(date_trunc('day', ts)::TIMESTAMP, '%Y-%m-%d %H:%M:%S.%f') AS window_start, {_KIND} AS kind, count(*) AS events, round(sum(value), 2) AS total FROM events GROUP BY 1, 2""")
 def _(v: Views):
-    return _drained(v, queue.windowed(_events(v), "1 day", None, "1 hour"), "update", ["window_start", "kind"]).withColumn("total", F.round("total", 4))
+    out = _drained(v, queue.windowed(_events(v), "1 day", None, "1 hour"), "update", ["window_start", "kind"])
+    return out.select(_moment("window_start"), "kind", "events", F.round("total", 2).alias("total"))
 
 
 @query("stream_without_repeats", "SELECT DISTINCT user_id, event_type FROM events")
@@ -73,7 +90,11 @@ def _(v: Views):
     return _judged(v, reports, queue.progress, queue.peaks, "job_id long, peak long")
 
 
-@query("stream_transitions")
+@query("stream_transitions", """
+, e AS (SELECT event_id AS seq, user_id AS job_id, ['WAITING', 'CREATING', 'WORKING', 'DONE', 'ERROR'][event_id % 5 + 1] AS state FROM events),
+h AS (SELECT *, coalesce(list(state) OVER (PARTITION BY job_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), []) AS before FROM e),
+n AS (SELECT job_id, seq, state, list_reduce(list_prepend('', before), lambda a, b: CASE WHEN (a = '' AND b = 'WAITING') OR (a = 'WAITING' AND b IN ('CREATING', 'ERROR')) OR (a = 'CREATING' AND b IN ('WORKING', 'ERROR')) OR (a = 'WORKING' AND b IN ('DONE', 'ERROR')) THEN b ELSE a END) AS a FROM h)
+SELECT job_id, seq, state, nullif(a, '') AS from_state, (a = '' AND state = 'WAITING') OR (a = 'WAITING' AND state IN ('CREATING', 'ERROR')) OR (a = 'CREATING' AND state IN ('WORKING', 'ERROR')) OR (a = 'WORKING' AND state IN ('DONE', 'ERROR')) AS allowed FROM n""")
 def _(v: Views):
     states = F.array(*[F.lit(s) for s in ("WAITING", "CREATING", "WORKING", "DONE", "ERROR")])
     steps = _events(v).select(F.col("user_id").alias("job_id"), F.col("event_id").alias("seq"), F.get(states, (F.col("event_id") % 5).cast("int")).alias("state"))

@@ -373,3 +373,30 @@ def test_transitions(spark):
 def test_checksums_supersede(spark):
     df = spark.createDataFrame([(1, 1, "DONE", False), (2, 1, "DONE", False), (3, 1, "ERROR", False)], "checksum_id long, id_videofile long, state string, is_stale boolean")
     assert rows(staleness.supersede(df), "checksum_id", "is_stale") == [(1, True), (2, False), (3, False)]
+
+
+def test_flags_and_frames_must_agree(spark):
+    flags = spark.createDataFrame([(1, 0, True), (1, 1, False), (1, 2, True)], "id_videofile long, frame_number int, is_key boolean")
+    sizes = lambda n: spark.createDataFrame([(1, n)], "id_videofile long, frame_count int")
+    assert bytes(bitmaps.from_flags(flags, sizes(3)).first()["keyframe_bitmap"]) == bytes([0b10100000])
+    for broken in (bitmaps.from_flags(flags, sizes(4)), bitmaps.from_flags(flags.union(flags), sizes(3))):
+        with pytest.raises(Exception, match="differ in number"):
+            broken.collect()
+
+
+def test_unknown_literals_are_errors(spark):
+    df = spark.createDataFrame([("DONE",), (None,)], "state string")
+    assert [r[0] for r in df.select(text.one_of(F.col("state"), ("DONE",), "state")).collect()] == ["DONE", None]
+    with pytest.raises(Exception, match="unknown state: DONE"):
+        df.select(text.one_of(F.col("state"), ("WAITING",), "state")).collect()
+
+
+def test_utc_seconds_in_any_zone(spark):
+    moment = F.to_timestamp(F.lit("2024-07-01T10:20:30.9+02:00"))
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for zone in ("UTC", "America/New_York", "Asia/Kolkata"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            assert spark.range(1).select(text.utc_second(moment)).first()[0] == "2024-07-01T08:20:30Z"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
