@@ -14,10 +14,15 @@ __all__ = ["components", "new_path", "packed", "shared_dir", "ship", "stored", "
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``, which driver and executors share; where it is unset (tests) a folder of our own."""
+    """The folder of ``spark.checkpoint.dir``, which driver and executors share.
+
+    Only a local session, whose executors are the driver, may do without: it gets a folder of our own.
+    """
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not base:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="checkpoints-")
         sc.setCheckpointDir(base)
     return base.rstrip("/")

@@ -25,7 +25,7 @@ HASHES = 2
 SLOT_BITS = 21
 LEAST_RATE = 2e-5
 SHARE = 0.3
-#: Of each language's rows that may be learned from, about so many at most are (chosen by a hash of doc_id).
+#: Of each language's rows that may be learned from, about so many at most are (chosen by a hash of doc_id and text, so rows without an id are bounded as well).
 ROWS_A_LANGUAGE = 2500
 
 _FACTORS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
@@ -131,7 +131,7 @@ def fit(docs: DataFrame) -> LanguageFilter:
         return LanguageFilter([], np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64))
     place = F.create_map(*[x for i, name in enumerate(languages) for x in (F.lit(name), F.lit(i))])
     share = F.create_map(*[x for name in languages for x in (F.lit(name), F.lit(min(1.0, ROWS_A_LANGUAGE / sizes[name])))])
-    sample = known.where(F.pmod(F.xxhash64("doc_id", F.lit("language sample")), F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000)
+    sample = known.where(F.pmod(F.xxhash64("doc_id", "text", F.lit("language sample")), F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000)
 
     def count(batches):
         for batch in batches:
@@ -164,7 +164,11 @@ def fit(docs: DataFrame) -> LanguageFilter:
 
 
 def identify(docs: DataFrame, model: LanguageFilter) -> DataFrame:
-    """doc_id, lang_pred, score of every row. Only the text is read. und: text is null or has no letter."""
+    """doc_id, lang_pred, score of every row. Only the text is read. und: text is null or has no letter.
+
+    Texts are read whole, whatever their length (some 80 bytes a code point in a task); equal texts get equal answers; of
+    languages with equal counts the first in alphabetical order counts. An empty table gives no rows.
+    """
     spark = docs.sparkSession
     ship(spark)
     # the filter's size is fixed: 2 ** SLOT_BITS bytes for each eight languages

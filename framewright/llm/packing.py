@@ -72,7 +72,8 @@ def pack(docs: DataFrame, most_words: int = MOST_WORDS, buckets: int = BUCKETS,
     """doc_id, piece, first_word, n_words, bucket_words, batch, slot: a place for every piece of every row.
 
     batch counts from 0 in a bucket; slot from 0 in a batch of budget // bucket_words slots (1 at least). Repeated
-    rows and null doc_ids get places of their own.
+    rows and null doc_ids get places of their own. Null texts count as empty, empty ones are a piece of no words, very long
+    ones are cut into as many pieces as they need. An empty table gives no rows.
     """
     cut = stored(pieces(docs, most_words), "pieces")
     histogram = cut.groupBy("n_words").count().toPandas()  # most_words + 1 rows at most

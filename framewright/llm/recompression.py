@@ -280,7 +280,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS,
     """doc_id, n_words, n_removed, kept_sha256, kept (words joined by a space; null unless keep_text) of every row.
 
     A word goes if a window that covers it has the words of a window that starts elsewhere, in any row or the same.
-    Null text counts as empty. Repeated rows repeat each other's windows. Texts shorter than a window stay whole.
+    Null text counts as empty. Repeated rows repeat each other's windows. Texts shorter than a window stay whole. A text is
+    never cut, so the longest one must fit a task (some 60 bytes a word). An empty table gives no rows.
     """
     spark = docs.sparkSession
     ship(spark)

@@ -8,7 +8,8 @@ Most words are rare and tell nothing, so features are chosen first: those whose
 large that fewer than one in all features would reach it by chance.
 
 The tables label texts as toxic or not. Grades are made from that label: 0 where it is 0; a toxic text's grade is 1
-to GRADES - 1 by how many different words it holds whose features stand for toxic texts.
+to GRADES - 1 by how many different words it holds that stand for toxic texts. Which words do is learned from other
+texts than those graded: the sample has two halves (copies in the same one), and each is graded by what the other tells.
 """
 
 from __future__ import annotations
@@ -144,36 +145,59 @@ def graded(toxic: np.ndarray, telling: np.ndarray, grades: int = GRADES) -> np.n
     return out
 
 
-def chosen_features(sample: DataFrame, rows: int, toxic: int) -> dict[int, bool]:
-    """The features that tell the labels apart, and whether they stand for toxic texts.
+def half_of(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"), seed=2) & 1
+
+
+def chosen_features(sample: DataFrame) -> tuple[set[int], tuple[set[int], set[int]]]:
+    """(the features that tell the labels apart, those that each half of the sample says stand for toxic texts).
 
     Counts are made in the tasks and summed by feature; only chosen features reach the driver.
     """
 
     def count(batches):
-        texts, of_toxic = Counter(), Counter()
+        counts = [Counter() for _ in range(4)]  # texts and toxic texts of either half
         known = _Known(features_of)
+        sizes = [0] * 4
         for batch in batches:
             for label, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 held = {f for w in set(words_of(text)) for f in known[w]}
-                texts.update(held)
-                if label == 1:
-                    of_toxic.update(held)
-        names = list(texts)
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array([texts[f] for f in names], pa.int64()), pa.array([of_toxic[f] for f in names], pa.int64())], ["feature", "n", "t"])
-
-    counts = stored(sample.mapInArrow(count, "feature long, n long, t long").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("t").alias("t")), "features")
-    n, t = F.col("n").cast("double"), F.col("t").cast("double")
-    expected = n * (toxic / rows)
+                half = 2 * half_of(text)
+                for i in (half, half + 1)[: 1 + (label == 1)]:
+                    counts[i].update(held)
+                    sizes[i] += 1
+        names = list(counts[0].keys() | counts[2].keys())
+        rows = [pa.array([*[c[f] for f in names], size], pa.int64()) for c, size in zip(counts, sizes, strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array([*names, None], pa.int64()), *rows], ["feature", "n0", "t0", "n1", "t1"])
+
+    parts = ("n0", "t0", "n1", "t1")
+    counts = stored(sample.mapInArrow(count, "feature long, n0 long, t0 long, n1 long, t1 long").groupBy("feature").agg(*[F.sum(c).alias(c) for c in parts]), "features")
+    known = counts.where("feature IS NOT NULL")
+    totals = counts.where("feature IS NULL").first()  # the row without a feature counts texts
+    least = F.lit(2 * math.log(max(2, known.count())))
     part = lambda seen, wanted: F.when(seen > 0, seen * F.log(seen / wanted)).otherwise(F.lit(0.0))
-    ratio = 2 * (part(t, expected) + part(n - t, n - expected))
-    least = 2 * math.log(max(2, counts.count()))
-    best = counts.select("feature", ratio.alias("ratio"), (t > expected).alias("up")).where(F.col("ratio") >= least).orderBy(F.desc("ratio"), "feature").limit(MOST_FEATURES)
-    return {r["feature"]: r["up"] for r in best.collect()}
+
+    def ratio(n, t, rows, toxic):
+        """The likelihood ratio of a feature, 0 where there is only one label; and whether it leans to toxic texts."""
+        n, t = n.cast("double"), t.cast("double")
+        expected = n * (toxic / max(1, rows))
+        return (2 * (part(t, expected) + part(n - t, n - expected)) if 0 < toxic < rows else F.lit(0.0)), t > expected
+
+    best = lambda value: known.where(value >= least).orderBy(F.desc(value), "feature").limit(MOST_FEATURES)
+    whole, _ = ratio(F.col("n0") + F.col("n1"), F.col("t0") + F.col("t1"), totals["n0"] + totals["n1"], totals["t0"] + totals["t1"])
+    telling = []
+    for half in ("0", "1"):
+        value, up = ratio(F.col(f"n{half}"), F.col(f"t{half}"), totals[f"n{half}"], totals[f"t{half}"])
+        telling.append({r[0] for r in best(value).where(up).select("feature").collect()})
+    return {r[0] for r in best(whole).select("feature").collect()}, (telling[0], telling[1])
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> OrdinalModel:
-    """Fit on a bounded hash sample of labelled whole texts. Without labels of both kinds every text gets severity near 0."""
+    """Fit on a bounded hash sample of labelled whole texts. Without labels of both kinds every text gets severity near 0.
+
+    Null texts count as empty; repeated rows and repeated labels count as often as they come; an empty table gives the
+    model that rejects nothing.
+    """
     spark = docs.sparkSession
     ship(spark)
     nothing = OrdinalModel({}, 20.0 + np.arange(GRADES - 1))
@@ -189,20 +213,22 @@ def learn(docs: DataFrame, labels: DataFrame) -> OrdinalModel:
     rows, toxic = sample.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if not 0 < toxic < rows:
         return nothing
-    chosen = chosen_features(sample, rows, toxic)
+    chosen, telling_of = chosen_features(sample)
     if not chosen:
         return nothing
     place = {f: i for i, f in enumerate(sorted(chosen))}
 
     def held(batches):
         known = _Known(lambda word: tuple(f for f in features_of(word) if f in chosen))
+        tells = [_Known(lambda word, other=other: any(f in other for f in features_of(word))) for other in telling_of[::-1]]
         for batch in batches:
             columns, telling = [], []
             for text in batch.column(2).to_pylist():
                 words = set(words_of(text))
                 own = {f for w in words for f in known[w]}
                 columns.append(sorted(place[f] for f in own))
-                telling.append(sum(any(chosen[f] for f in known[w]) for w in words))
+                other = tells[half_of(text)]
+                telling.append(sum(other[w] for w in words))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(columns, pa.list_(pa.int32())), pa.array(telling, pa.int64())], ["doc_id", "toxic", "columns", "telling"])
 
     got = sample.mapInArrow(held, "doc_id long, toxic long, columns array<int>, telling long").toPandas().sort_values(["doc_id", "telling"], kind="stable")
@@ -215,7 +241,8 @@ def learn(docs: DataFrame, labels: DataFrame) -> OrdinalModel:
 def score(docs: DataFrame, model: OrdinalModel) -> DataFrame:
     """doc_id, severity (0 to GRADES - 1), grade (the likeliest), p_toxic = P(grade > 0), rejected; one row for each row.
 
-    Null text counts as empty; a text without words has the severity of no feature at all.
+    Null text counts as empty; a text without words has the severity of no feature at all. Texts of any length are read
+    whole; equal texts get equal scores; of equally likely grades the lowest counts. An empty table gives no rows.
     """
     spark = docs.sparkSession
     ship(spark)

@@ -46,3 +46,35 @@ def test_odd_rows(odd, empty):
     assert langid.identify(empty, model).count() == 0
     none = langid.fit(empty)
     assert {r["lang_pred"] for r in langid.identify(odd, none).collect()} == {"und"}
+
+
+def plain_grams(text):
+    """n-grams of a text as (n, code points with 0 for what is no letter), repeats included."""
+    points = [ord(c) if c.isalpha() else 0 for c in f"\n{text.lower()}\n\n\n"]
+    for n in langid.LENGTHS:
+        for i in range(len(points) - n + 1):
+            own = tuple(points[i : i + n])
+            if sum(p > 0 for p in own) >= max(1, n - 1):
+                yield n, own
+
+
+def plain_hash(n, own):
+    h = own[0] + 1
+    for at, p in enumerate(own[1:], 2):
+        h = (h * 0x2545F4914F6CDD1D + p) % (1 << 64)
+    return h
+
+
+def test_counts_are_those_of_a_plain_counter(texts):
+    some = [t for _, t in sorted(texts.items())][:60] + ["", "a", "no. it, is; ünd 😀 x1y"]
+    known = [set(plain_grams(" ".join(some[i::3]))) for i in range(3)]
+    pairs = sorted({(plain_hash(*g), i) for i, own in enumerate(known) for g in own})
+    model = langid.LanguageFilter(["a", "b", "c"], np.array([h for h, _ in pairs], dtype=np.uint64), np.array([i for _, i in pairs], dtype=np.int64))
+    total, by = model.counts(some)
+    for row, text in enumerate(some):
+        own = list(plain_grams(text))
+        assert total[row] == len(own)
+        for i in range(3):
+            exact = sum(g in known[i] for g in own)
+            accidents = (len(own) - exact) * model.accident[i]
+            assert abs(by[row, i] - exact) <= 5 * accidents**0.5 + 1 + 0.02 * len(own)

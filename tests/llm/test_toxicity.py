@@ -1,4 +1,8 @@
+import math
+import re
+
 import numpy as np
+import xxhash
 
 from framewright.llm import toxicity
 
@@ -31,6 +35,42 @@ def test_held_out_labels(spark, documents, sf_dir):
     assert all(0 <= r["severity"] <= toxicity.GRADES - 1 and 0 <= r["p_toxic"] <= 1 for r in got)
 
 
+def test_scores_are_those_of_the_plain_formula(spark, documents, sf_dir, texts):
+    """Every text's severity from its words and word beginnings, the weights and the thresholds."""
+    m = toxicity.learn(documents, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    assert m.weights
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    got = {r["doc_id"]: r for r in toxicity.score(documents, m).collect()}
+    for i, text in texts.items():
+        words = set(re.findall(r"\w+", text.lower()))
+        names = {(w, 0) for w in words} | {(w[:n], 1) for w in words for n in (4, 5, 6) if len(w) > n}
+        eta = sum(m.weights.get(signed(xxhash.xxh3_64_intdigest(w.encode(), seed=s)), 0.0) for w, s in names)
+        above = [1 / (1 + math.exp(t - eta)) for t in m.thresholds]
+        grades = [a - b for a, b in zip([1.0, *above], [*above, 0.0], strict=True)]
+        assert abs(got[i]["severity"] - sum(above)) < 1e-9 and got[i]["grade"] == grades.index(max(grades)) and got[i]["rejected"] == (above[0] >= 0.5)
+
+
+def test_grades_come_from_the_other_half(spark):
+    """Halves by text: a word that only one half holds tells nothing about that half."""
+    half = {0: [], 1: []}
+    for i in range(400):
+        text = f"filler{i} common words"
+        half[toxicity.half_of(text)].append(text)
+    rows = [(n, int(n % 2), f"{t}") for n, t in enumerate(half[0][:150] + half[1][:150])]
+    marked = [(n, label, t) for n, label, t in rows]
+    sample = spark.createDataFrame(marked, "doc_id long, toxic long, text string")
+    whole, (zero, one) = toxicity.chosen_features(sample)
+    assert not whole and not zero and not one  # nothing tells the labels apart
+    bad = []
+    for i in range(4000):
+        text = f"nasty filler{i}"
+        if toxicity.half_of(text) == 0 and len(bad) < 100:
+            bad.append((1000 + i, 1, text))
+    whole, (zero, one) = toxicity.chosen_features(sample.union(spark.createDataFrame(bad, sample.schema)))
+    nasty = toxicity.features_of("nasty")[0]
+    assert nasty in whole and nasty in zero and nasty not in one
+
+
 def test_odd_rows(spark, odd, empty):
     labels = spark.createDataFrame([(3, 1), (4, 0), (None, 1), (5, None), (6, 0)], "doc_id long, toxic int")
     m = toxicity.learn(odd, labels)
