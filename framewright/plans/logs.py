@@ -17,9 +17,9 @@ def _seconds(v: Views, rows):
     return met.withColumn("seconds", F.format_string("%.6f", F.col("frame_number").cast("double") * F.col("time_base_num") / F.col("time_base_den")))
 
 
-@query("score_log", "SELECT id_videofile, frame_number, score FROM scores WHERE score >= 0.01 AND score < 100000")
+@query("score_log", "SELECT id_videofile, frame_number, score FROM scores")
 def _(v: Views):
-    lines = _seconds(v, v.scores.where("score >= 0.01 AND score < 100000")).select("id_videofile", F.concat(F.lit("[info] lavfi.scd.score: "), F.col("score").cast("string"), F.lit(", lavfi.scd.time: "), "seconds").alias("value"))
+    lines = _seconds(v, v.scores).select("id_videofile", F.concat(F.lit("[info] lavfi.scd.score: "), F.col("score").cast("string"), F.lit(", lavfi.scd.time: "), "seconds").alias("value"))
     noise = v.videofiles.select("id_videofile", F.lit("frame dropped").alias("value"))
     return logs.scores(lines.unionByName(noise), v.videofiles)
 

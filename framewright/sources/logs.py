@@ -9,7 +9,7 @@ from ..functions.text import tolerant_timestamp
 from ..functions.timebase import frame_of_nanos, nanos_of_seconds
 
 # The forms of the lines.
-SCORE = r"lavfi\.scd\.score: *([0-9.]+), *lavfi\.scd\.time: *([0-9.]+)"
+SCORE = r"lavfi\.scd\.score: *([0-9.]+(?:[eE][-+]?[0-9]+)?), *lavfi\.scd\.time: *([0-9.]+)"
 PROGRESS = r"frame=\s*(\d+)\s*/\s*(\d+)(?:[^\n]*?speed=\s*([\d.]+x))?"
 CHECKSUM = r"^([0-9a-f]{64}) [ *](.+)$"
 
