@@ -199,7 +199,9 @@ def near_groups(fps: DataFrame, distance: int = 3) -> DataFrame:
     known = stored(classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first_id", "size", F.coalesce("root", "fp").alias("root")), "roots")
     least = known.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = known.join(least, "root").select("fp", "size", "component_id")
-    return with_class(fps, named, "fp", "size", total, F.col("doc_id")).select("doc_id", "fp", "component_id")
+    # rows without an id are dealt by a seeded draw, the same whenever a task reads the stored rows again
+    spread = F.coalesce(F.col("doc_id").cast("long"), (F.rand(7) * (1 << 40)).cast("long"))
+    return with_class(fps, named, "fp", "size", total, spread).select("doc_id", "fp", "component_id")
 
 
 def op7_simhash(spark, sf_dir: str) -> DataFrame:
