@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -42,28 +42,45 @@ def top(detections: DataFrame, k: int, by: Sequence[str] = ("id_videofile", "fra
     return detections.withColumn("_rank", rank).where(F.col("_rank") <= k).drop("_rank")
 
 
-def _blocks(detections: DataFrame, by: Sequence[str]):
-    """Rows by blocks of FRAMES_A_BLOCK neighbouring frames: few groups to start, each of a bounded size."""
+def _sorted(detections: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Rows dealt by blocks of FRAMES_A_BLOCK frames, so that a long file is spread, and sorted by frame inside a task."""
     ship(detections.sparkSession)
-    return detections.groupBy(*by[:-1], F.floor(F.col(by[-1]) / FRAMES_A_BLOCK).alias("_block"))
+    return detections.repartition(*by[:-1], F.floor(F.col(by[-1]) / FRAMES_A_BLOCK)).sortWithinPartitions(*by, "detection_id")
 
 
-def _frames(block: pd.DataFrame, by: Sequence[str]):
-    """Slices of a block sorted by frame, one a frame."""
-    keys = block[list(by)].to_numpy()
-    cut = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(axis=1), [True]]))
-    return [slice(int(i), int(j)) for i, j in zip(cut[:-1], cut[1:], strict=True)]
+def _cuts(piece: pd.DataFrame, by: Sequence[str]) -> np.ndarray:
+    """Where frames begin in rows sorted by frame, and the end. Null is a frame of its own."""
+    new = np.zeros(len(piece) - 1, dtype=bool)
+    for c in by:
+        values, null = piece[c].to_numpy(), piece[c].isna().to_numpy()
+        new |= (values[1:] != values[:-1]) & ~(null[1:] & null[:-1])
+    return np.flatnonzero(np.concatenate([[True], new, [True]]))
+
+
+def _whole_frames(pieces: Iterator[pd.DataFrame], by: Sequence[str]) -> Iterator[tuple[pd.DataFrame, list[slice]]]:
+    """Pieces of a sorted partition cut between frames, with a slice for each frame: a frame that a piece ends in waits for the next."""
+    rest = None
+    for piece in pieces:
+        block = piece if rest is None else pd.concat([rest, piece], ignore_index=True)
+        if not len(block):
+            continue
+        cut = _cuts(block, by)
+        rest = block.iloc[cut[-2] :].reset_index(drop=True)
+        if len(cut) > 2:
+            yield block.iloc[: cut[-2]], [slice(i, j) for i, j in zip(cut[:-2], cut[1:-1], strict=True)]
+    if rest is not None:
+        yield rest, [slice(0, len(rest))]
 
 
 def non_maximum(detections: DataFrame, threshold: float, by: Sequence[str] = ("id_videofile", "frame_number")) -> DataFrame:
     """Detections that stay, columns unchanged. A frame's boxes are a bounded group; cut it with ``top`` first."""
 
-    def run(block: pd.DataFrame) -> pd.DataFrame:
-        block = block.sort_values([*by, "detection_id"], kind="stable", ignore_index=True)
-        b, score = block[BOX].to_numpy(dtype=np.float64), block["score"].to_numpy(dtype=np.float64)
-        return block[np.concatenate([suppressed(b[f], score[f], threshold) for f in _frames(block, by)])]
+    def run(pieces: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for block, frames in _whole_frames(pieces, by):
+            b, score = block[BOX].to_numpy(dtype=np.float64), block["score"].to_numpy(dtype=np.float64)
+            yield block[np.concatenate([suppressed(b[f], score[f], threshold) for f in frames])]
 
-    return _blocks(detections, by).applyInPandas(run, detections.schema)
+    return _sorted(detections, by).mapInPandas(run, detections.schema)
 
 
 def detect(candidates: DataFrame, score_threshold: float, nms_threshold: float, k: int, scale_x: float = 1.0, scale_y: float = 1.0) -> DataFrame:
@@ -102,20 +119,20 @@ def linked(boxes: np.ndarray, threshold: float) -> np.ndarray:
 def regions(boxes: DataFrame, threshold: float, by: Sequence[str] = ("id_videofile", "frame_number")) -> DataFrame:
     """One row for each group of boxes of a frame linked by overlaps of at least the threshold: region, x1 .. y2, boxes."""
 
-    def run(block: pd.DataFrame) -> pd.DataFrame:
-        block = block.sort_values([*by, "detection_id"], kind="stable", ignore_index=True)
-        b = block[BOX].to_numpy(dtype=np.float64)
-        block["region"] = np.concatenate([linked(b[f], threshold) for f in _frames(block, by)])
-        out = block.groupby([*by, "region"], as_index=False).agg(x1=("x1", "min"), y1=("y1", "min"), x2=("x2", "max"), y2=("y2", "max"), boxes=("detection_id", "size"))
-        return out[[*by, "region", *BOX, "boxes"]]
+    def run(pieces: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for block, frames in _whole_frames(pieces, by):
+            b = block[BOX].to_numpy(dtype=np.float64)
+            numbered = block.assign(region=np.concatenate([linked(b[f], threshold) for f in frames]))
+            out = numbered.groupby([*by, "region"], as_index=False, dropna=False).agg(x1=("x1", "min"), y1=("y1", "min"), x2=("x2", "max"), y2=("y2", "max"), boxes=("detection_id", "size"))
+            yield out[[*by, "region", *BOX, "boxes"]]
 
     kinds = dict(boxes.dtypes)
     schema = ", ".join([*[f"{c} {kinds[c]}" for c in by], "region long", *[f"{c} {kinds[c]}" for c in BOX], "boxes long"])
-    return _blocks(boxes, by).applyInPandas(run, schema)
+    return _sorted(boxes, by).mapInPandas(run, schema)
 
 
 def overlaps(boxes: DataFrame, by: Sequence[str] = ("id_videofile", "frame_number")) -> DataFrame:
-    """a, b, iou of the boxes of each frame that overlap; a < b. A frame's boxes are few."""
+    """a, b, iou of the boxes of each frame that overlap; a < b. Compares all pairs of a frame: bound its boxes with ``top`` first."""
     left, right = boxes.select(*by, F.col("detection_id").alias("a"), *[F.col(c).alias(f"a_{c}") for c in BOX]), boxes.select(*by, F.col("detection_id").alias("b"), *[F.col(c).alias(f"b_{c}") for c in BOX])
     met = left.join(right, list(by)).where("a < b AND a_x1 < b_x2 AND b_x1 < a_x2 AND a_y1 < b_y2 AND b_y1 < a_y2")
     return met.select("a", "b", iou([F.col(f"a_{c}") for c in BOX], [F.col(f"b_{c}") for c in BOX]).alias("iou"))

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,32 +16,31 @@ from ..shipping import ship
 from .faces import keys_of
 
 COUNT, THRESHOLD, ROUNDS = 256, 0.65, 64
+MOST_RANGES = 4096
 
 
-def seeds(points: DataFrame, count: int) -> DataFrame:
-    """seed, vector: every (n div k)-th point by face_id, k = min(count, n).
+def seeds(points: DataFrame, count: int, rows_a_range: int = 200_000) -> DataFrame:
+    """seed, face_id, vector: every (n div k)-th point by face_id, k = min(count, n).
 
-    Ranks are dealt by ranges of face_id: a rank in its range plus the sizes of the ranges before.
+    Sizes of ranges of face_id tell which of them hold a seed, ``count`` ranges at most; only their points are sorted.
     """
     n = points.count()
     k = min(count, n)
     if not k:
         return points.select(F.lit(0).cast("long").alias("seed"), "face_id", "vector").limit(0)
-    parts = max(1, n // 200_000)
-    if parts == 1:
-        ranked = points.withColumn("_rank", F.row_number().over(Window.orderBy("face_id")) - 1)
-    else:
-        cuts = points.agg(F.percentile_approx("face_id", [i / parts for i in range(1, parts)], 10_000)).first()[0]
-        part = F.lit(0)
-        for c in cuts:
-            part = part + (F.col("face_id") > c).cast("int")
-        cut = points.withColumn("_part", part)
-        sizes = {r[0]: r[1] for r in cut.groupBy("_part").count().collect()}  # a row a part
-        before = F.lit(0).cast("long")
-        for p in sorted(sizes):
-            before = F.when(F.col("_part") > p, before + sizes[p]).otherwise(before)
-        ranked = cut.withColumn("_rank", F.row_number().over(Window.partitionBy("_part").orderBy("face_id")) - 1 + before)
     step = n // k
+    parts = min(MOST_RANGES, n // rows_a_range + 1)
+    cuts = points.agg(F.percentile_approx(F.col("face_id").cast("double"), [i / parts for i in range(1, parts)] or [0.5], 10 * MOST_RANGES)).first()[0] or [0.0]
+    # nulls go to a range after all others
+    ranges = Bucketizer(splits=[-np.inf, *sorted(set(cuts)), np.inf], inputCol="_at", outputCol="_range", handleInvalid="keep")
+    cut = ranges.transform(points.withColumn("_at", F.col("face_id").cast("double")))
+    held, before = [], 0
+    for number, size in cut.groupBy("_range").count().orderBy("_range").collect():  # a row a range
+        if -(-before // step) * step < min(before + size, step * k):
+            held.append((number, before))
+        before += size
+    some = cut.join(F.broadcast(points.sparkSession.createDataFrame(held, "_range double, _before long")), "_range")
+    ranked = some.withColumn("_rank", F.row_number().over(Window.partitionBy("_range").orderBy(F.asc_nulls_last("face_id"))) - 1 + F.col("_before"))
     return ranked.where((F.col("_rank") % step == 0) & (F.col("_rank") < step * k)).select((F.col("_rank") / step).cast("long").alias("seed"), "face_id", "vector")
 
 

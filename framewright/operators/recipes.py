@@ -34,14 +34,19 @@ def compatibility(files: DataFrame, group: str = "recipe_id", order: str = "ordi
 
     A null profile equals an empty one; other nulls equal nulls only. The first file itself differs in nothing.
     """
+    return _compared(files, group, order).select(group, order, "id_videofile", "differing")
+
+
+def _compared(files: DataFrame, group: str, order: str) -> DataFrame:
+    """files with differing. Rows without a videofile are never the first."""
     needed = [c for cs in _COLUMNS.values() for c in cs]
     value = lambda c: F.coalesce(F.col(c), F.lit("")) if c == "video_profile" else F.col(c)
     # the first of each group is one small row; its attributes come back by the window's own partitioning
-    w = Window.partitionBy(group).orderBy(order, "id_videofile").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    w = Window.partitionBy(group).orderBy(F.col("id_videofile").isNull(), order, "id_videofile").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     met = files.withColumn("_first", F.first(F.struct(*[value(c).alias(c) for c in needed])).over(w))
     differs = lambda cs: ~F.expr("true") if not cs else _any([~value(c).eqNullSafe(F.col(f"_first.{c}")) for c in cs])
     found = F.array_compact(F.array(*[F.when(differs(_COLUMNS[a]), F.lit(a)) for a in ATTRIBUTES]))
-    return met.select(group, order, "id_videofile", found.alias("differing"))
+    return met.withColumn("differing", found).drop("_first")
 
 
 def _any(conditions):
@@ -58,9 +63,13 @@ def differing_attributes(report: DataFrame, group: str = "recipe_id") -> DataFra
 
 def totals(items: DataFrame, group: str = "recipe_id") -> DataFrame:
     """group, items, frames, duration_ms: frames are cut_last - cut_first; a frame lasts whole nanoseconds."""
+    return items.groupBy(group).agg(*_totals())
+
+
+def _totals():
     frames = (F.col("cut_last") - F.col("cut_first")).cast("long")
     nanos = F.sum(frames * timebase.frame_nanos(F.col("time_base_num"), F.col("time_base_den")))
-    return items.groupBy(group).agg(F.count("*").alias("items"), F.sum(frames).alias("frames"), timebase.millis_of_nanos(nanos).alias("duration_ms"))
+    return F.count("*").alias("items"), F.sum(frames).alias("frames"), timebase.millis_of_nanos(nanos).alias("duration_ms")
 
 
 def refusals(selection: DataFrame, scenes: DataFrame, videofiles: DataFrame, checksums: DataFrame, projects: DataFrame, recipes: DataFrame | None = None) -> DataFrame:
@@ -74,18 +83,17 @@ def refusals(selection: DataFrame, scenes: DataFrame, videofiles: DataFrame, che
     # selection and scenes meet by a shuffle; what is joined next is a row a videofile or a project
     met = selection.join(own, "scene_id", "left").join(live, "id_videofile", "left").join(ready, "id_videofile", "left").join(videofiles, "id_videofile", "left").join(projects.select("id_project", "source_root"), "id_project", "left")
     path = relative_path(F.col("source_path"), F.col("source_root"))
-    checks = met.groupBy("recipe_id").agg(
+    # comparison and checks share one shuffle on the recipe
+    both = _compared(met.withColumn("_path", path), "recipe_id", "ordinal").groupBy("recipe_id").agg(
         F.count_if(F.col("id_videofile").isNull()).alias("NOT_FOUND"),
         F.count_if("is_stale").alias("STALE_RESULT"),
         (F.count_distinct("id_project") - 1).alias("SEVERAL_PROJECTS"),
         F.count_if(F.col("id_videofile").isNotNull() & F.col("_analyzed").isNull()).alias("EPISODE_NOT_ANALYZED"),
         F.count_if(F.col("id_videofile").isNotNull() & F.col("_digest").isNull()).alias("CHECKSUM_NOT_READY"),
-        F.count_if(F.col("id_videofile").isNotNull() & (path.isNull() | F.col("keyframe_count").isNull())).alias("SOURCE_UNREADABLE"),
-        F.count_if(~safe_relative_path(path)).alias("BAD_PATH"),
-    )
-    report = compatibility(met.where("id_videofile IS NOT NULL"))
-    differs = report.groupBy("recipe_id").agg(F.count_if(F.size("differing") > 0).alias("INCOMPATIBLE_EPISODE"))
-    both = checks.join(differs, "recipe_id", "left").withColumn("EMPTY_SELECTION", F.lit(0))
+        F.count_if(F.col("id_videofile").isNotNull() & (F.col("_path").isNull() | F.col("keyframe_count").isNull())).alias("SOURCE_UNREADABLE"),
+        F.count_if(~safe_relative_path(F.col("_path"))).alias("BAD_PATH"),
+        F.count_if(F.col("id_videofile").isNotNull() & (F.size("differing") > 0)).alias("INCOMPATIBLE_EPISODE"),
+    ).withColumn("EMPTY_SELECTION", F.lit(0))
     if recipes is not None:
         both = recipes.select("recipe_id").join(both, "recipe_id", "left").withColumn("EMPTY_SELECTION", F.col("NOT_FOUND").isNull().cast("int"))
     code = F.coalesce(*[F.when(F.col(c) > 0, F.lit(c)) for c in REFUSALS])
@@ -148,9 +156,9 @@ def documents(items_: DataFrame, recipes: DataFrame) -> DataFrame:
     recipes: recipe_id, project_id, project_name, recipe_name, signing_key_id, created_at, audio_track_count. A recipe's
     items meet in one row, as they do in its file. Recipes without items give no document.
     """
-    each = items_.select("recipe_id", "ordinal", item_document().alias("_doc"))
-    listed = each.groupBy("recipe_id").agg(canonical_list(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "_doc"))), lambda x: x["_doc"])).alias("_items"))
-    met = listed.join(totals(items_), "recipe_id").join(recipes, "recipe_id")
+    each = F.collect_list(F.struct("ordinal", item_document().alias("_doc")))
+    listed = items_.groupBy("recipe_id").agg(canonical_list(F.transform(F.array_sort(each), lambda x: x["_doc"])).alias("_items"), *_totals())
+    met = listed.join(recipes, "recipe_id")
     number = lambda c: F.col(c).cast("string")
     document = canonical_object(
         ("schemaVersion", F.lit(str(SCHEMA_VERSION))),

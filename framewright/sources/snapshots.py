@@ -1,7 +1,8 @@
 """Tables as snapshots in folders: parameterised scans, atomic publication, replacement of partitions, digests of files.
 
-Nothing is changed in place. A new snapshot is written beside the old one and becomes visible by a rename; readers see
-one or the other. Paths may be in any store that Spark reaches.
+Nothing is changed in place. A snapshot is a folder of versions and a small file that names the current one. A new
+version is written beside the old one and becomes visible when that file is replaced, so readers see one or the other, after
+a crash at any moment too. Paths may be in any store that Spark reaches.
 """
 
 from __future__ import annotations
@@ -11,6 +12,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: The file of a snapshot that names its current version, then the one before.
+CURRENT = "_current"
+STATE = "_state"
+
 
 def scan(spark: SparkSession, sql: str, args: dict | None = None, **tables: DataFrame) -> DataFrame:
     """A parameterised statement over named tables: parameters by :name, tables by {name}."""
@@ -46,24 +51,63 @@ def delete(spark: SparkSession, path: str) -> bool:
 
 
 def move(spark: SparkSession, source: str, target: str) -> None:
-    """Rename; the target mustn't exist."""
-    fs, p, jvm = _fs(spark, source)
-    if not fs.rename(p, jvm.org.apache.hadoop.fs.Path(target)):
-        raise OSError(f"can't move {source} to {target}")
+    """Rename; a file at the target is replaced at once."""
+    _, p, jvm = _fs(spark, source)
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(p.toUri(), spark.sparkContext._jsc.hadoopConfiguration()) if p.toUri().getScheme() else jvm.org.apache.hadoop.fs.FileContext.getFileContext(spark.sparkContext._jsc.hadoopConfiguration())
+    kind = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    how = spark.sparkContext._gateway.new_array(kind, 1)
+    how[0] = kind.OVERWRITE
+    context.rename(p, jvm.org.apache.hadoop.fs.Path(target), how)
+
+
+def note(spark: SparkSession, path: str, text: str) -> None:
+    """Make text the content of a small file, at once: readers see the old content or the new one."""
+    temporary = f"{path}.{uuid.uuid4().hex}"
+    fs, p, _ = _fs(spark, temporary)
+    out = fs.create(p)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    move(spark, temporary, path)
+
 
+def noted(spark: SparkSession, path: str) -> str | None:
+    """The content of a small file, null without one."""
+    fs, p, jvm = _fs(spark, path)
+    if not fs.exists(p):
+        return None
+    stream = fs.open(p)
+    try:
+        return jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
 
-def publish(df: DataFrame, path: str) -> None:
-    """Write df as the snapshot at path: complete or not at all. The old snapshot goes once the new one is written."""
+
+def publish(df: DataFrame, path: str, text_column: str | None = None) -> None:
+    """Write df as the snapshot at path, complete or not at all: parquet, or the lines of one column.
+
+    The version that was current stays until the next one is published, for readers who have begun with it; the one
+    before it goes.
+    """
     spark = df.sparkSession
-    temporary = f"{path}.writing-{uuid.uuid4().hex}"
-    df.write.parquet(temporary)
-    old = f"{path}.old-{uuid.uuid4().hex}"
-    had = exists(spark, path)
-    if had:
-        move(spark, path, old)
-    move(spark, temporary, path)
-    if had:
-        delete(spark, old)
+    names = (noted(spark, f"{path}/{CURRENT}") or "").split()
+    fresh = f"version-{uuid.uuid4().hex}"
+    if text_column is None:
+        df.write.parquet(f"{path}/{fresh}")
+    else:
+        df.select(text_column).write.text(f"{path}/{fresh}")
+    note(spark, f"{path}/{CURRENT}", " ".join([fresh, *names[:1]]))
+    for old in names[1:]:
+        delete(spark, f"{path}/{old}")
+
+
+def current(spark: SparkSession, path: str) -> str:
+    """The folder of the snapshot's current version."""
+    names = (noted(spark, f"{path}/{CURRENT}") or "").split()
+    if not names:
+        raise FileNotFoundError(f"no snapshot at {path}")
+    return f"{path}/{names[0]}"
 
 
 def append(df: DataFrame, path: str) -> None:
@@ -91,33 +135,39 @@ def observed(df: DataFrame, changed, name: str = "update"):
 
 
 class Artifacts:
-    """Two-phase publication: begin (WRITING), write, then ready or failed. States are a table; files are moved whole."""
+    """Two-phase publication: begin (WRITING), write, then ready or failed. The state is kept in a file beside the versions."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
     def write(self, df: DataFrame, kind: str, key: str, text_column: str | None = None) -> dict:
-        """Write df under kind and key; the row that says how it went. What stood there before is replaced at the end."""
+        """Write df under kind and key; the row that says how it went. While it is written, ``state`` says WRITING to others.
+
+        What stood there before is replaced at the end, and stays if the write fails.
+        """
         final = f"{self.root}/{kind}/{key}"
-        row = {"kind": kind, "object_key": key, "state": "WRITING"}
+        row = {"kind": kind, "object_key": key}
+        note(self.spark, f"{final}/{STATE}", "WRITING")
         try:
-            if text_column is None:
-                publish(df, final)
-            else:
-                temporary = f"{final}.writing-{uuid.uuid4().hex}"
-                df.select(text_column).write.text(temporary)
-                if exists(self.spark, final):
-                    delete(self.spark, final)
-                move(self.spark, temporary, final)
+            publish(df, final, text_column)
         except Exception as e:
+            note(self.spark, f"{final}/{STATE}", "FAILED")
             return row | {"state": "FAILED", "error_text": str(e)[:500]}
+        note(self.spark, f"{final}/{STATE}", "READY")
         return row | {"state": "READY"}
 
+    def state(self, kind: str, key: str) -> str | None:
+        """WRITING, READY or FAILED as last stored; null if nothing was ever written."""
+        return noted(self.spark, f"{self.root}/{kind}/{key}/{STATE}")
+
     def read(self, kind: str, key: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/{kind}/{key}")
+        return self.spark.read.parquet(self.path(kind, key))
+
+    def path(self, kind: str, key: str) -> str:
+        return current(self.spark, f"{self.root}/{kind}/{key}")
 
     def exists(self, kind: str, key: str) -> bool:
-        return exists(self.spark, f"{self.root}/{kind}/{key}")
+        return exists(self.spark, f"{self.root}/{kind}/{key}/{CURRENT}")
 
     def delete(self, kind: str, key: str) -> bool:
         return delete(self.spark, f"{self.root}/{kind}/{key}")

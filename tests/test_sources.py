@@ -56,9 +56,20 @@ def test_snapshots(spark, tmp_path):
     path = f"{tmp_path}/t"
     snapshots.publish(spark.range(3), path)
     snapshots.publish(spark.range(5), path)
-    assert spark.read.parquet(path).count() == 5 and sorted(p.name for p in tmp_path.iterdir()) == ["t"]
-    snapshots.append(spark.range(2), path)
-    assert spark.read.parquet(path).count() == 7
+    assert spark.read.parquet(snapshots.current(spark, path)).count() == 5
+    first = snapshots.current(spark, path)
+    bad = spark.range(1).select(F.raise_error(F.lit("broken")).cast("long").alias("id"))
+    with pytest.raises(Exception, match="broken"):
+        snapshots.publish(bad, path)
+    assert snapshots.current(spark, path) == first
+    snapshots.publish(spark.range(6), path)
+    assert spark.read.parquet(snapshots.current(spark, path)).count() == 6 and snapshots.exists(spark, first)
+    with pytest.raises(FileNotFoundError):
+        snapshots.current(spark, f"{tmp_path}/none")
+    log = f"{tmp_path}/log"
+    snapshots.append(spark.range(5), log)
+    snapshots.append(spark.range(2), log)
+    assert spark.read.parquet(log).count() == 7
     parts = f"{tmp_path}/p"
     both = spark.range(4).withColumn("part", F.col("id") % 2)
     snapshots.replace_partitions(both, parts, "part")
@@ -86,7 +97,8 @@ def test_artifacts(spark, tmp_path):
     assert store.write(spark.range(3), "RECIPE", "k")["state"] == "READY" and store.read("RECIPE", "k").count() == 3
     bad = spark.range(1).select(F.raise_error(F.lit("broken")).cast("string").alias("x"))
     assert store.write(bad, "RECIPE", "bad")["state"] == "FAILED" and not store.exists("RECIPE", "bad")
-    assert store.write(spark.range(2).select(F.col("id").cast("string").alias("t")), "RECIPE", "text", "t")["state"] == "READY" and spark.read.text(f"{tmp_path}/RECIPE/text").count() == 2
+    assert (store.state("RECIPE", "k"), store.state("RECIPE", "bad"), store.state("RECIPE", "none")) == ("READY", "FAILED", None)
+    assert store.write(spark.range(2).select(F.col("id").cast("string").alias("t")), "RECIPE", "text", "t")["state"] == "READY" and spark.read.text(store.path("RECIPE", "text")).count() == 2
     assert store.delete("RECIPE", "k") and not store.exists("RECIPE", "k")
 
 
