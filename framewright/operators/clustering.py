@@ -132,14 +132,19 @@ def merged(total: np.ndarray, size: np.ndarray, threshold: float, rounds: int =
 
 
 def clusters(points: DataFrame, count: int = COUNT, threshold: float = THRESHOLD) -> DataFrame:
-    """cluster_id, size, face_ids of points (face_id, vector). No points, no clusters; vectors must have one width."""
+    """cluster_id, size of points (face_id, vector). No points, no clusters; vectors must have one width."""
+    return keys_of(grouped(points, count, threshold))
+
+
+def grouped(points: DataFrame, count: int = COUNT, threshold: float = THRESHOLD) -> DataFrame:
+    """group, face_id: each point with the number of its cluster's centre."""
     if count <= 0 or not -1 <= threshold <= 1:
         raise ValueError(f"count must be positive and threshold within -1 .. 1: {count}, {threshold}")
     first = seeds(points, count).orderBy("seed").collect()  # count rows at most
     if not first:
-        return points.select(F.lit("").alias("cluster_id"), F.lit(0).cast("long").alias("size"), F.array("face_id").alias("face_ids")).limit(0)
+        return points.select(F.lit(0).cast("long").alias("group"), "face_id").limit(0)
     centres = merged(*sums(points, np.array([r["vector"] for r in first], dtype=np.float64)), threshold)
-    return keys_of(assigned(points, centres).select(F.col("centre").alias("group"), "face_id"))
+    return assigned(points, centres).select(F.col("centre").alias("group"), "face_id")
 
 
 def listed(found: DataFrame) -> DataFrame:

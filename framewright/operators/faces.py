@@ -60,15 +60,15 @@ def with_person(faces: DataFrame, persons: DataFrame) -> DataFrame:
 
 
 def name_clusters(requests: DataFrame, clusters: DataFrame, first_person: int) -> DataFrame:
-    """person_id, name, recognizer_key, face_ids of requests (cluster_id, name, recognizer_key): the persons they make.
+    """person_id, name, recognizer_key, size of requests (cluster_id, name, recognizer_key): the persons they make.
 
-    clusters: cluster_id, face_ids. The key is the cluster's unless the request has a non-blank one. Requests for
-    clusters that don't exist have null faces.
+    clusters: cluster_id, size. The key is the cluster's unless the request has a non-blank one. Requests for clusters
+    that don't exist have a null size. Faces follow by joining ``members`` on cluster_id.
     """
-    met = requests.join(clusters.select("cluster_id", "face_ids"), "cluster_id", "left")
+    met = requests.join(clusters.select("cluster_id", "size"), "cluster_id", "left")
     key = F.when(F.trim("recognizer_key") != "", F.col("recognizer_key")).otherwise(F.col("cluster_id"))
     number = F.row_number().over(Window.orderBy("cluster_id")) - 1 + first_person
-    return met.select(number.cast("long").alias("person_id"), "cluster_id", "name", key.alias("recognizer_key"), "face_ids")
+    return met.select(number.cast("long").alias("person_id"), "cluster_id", "name", key.alias("recognizer_key"), "size")
 
 
 def unnamed_clusters(clusters: DataFrame, persons: DataFrame) -> DataFrame:
@@ -84,9 +84,18 @@ def named_faces(clusters: DataFrame, persons: DataFrame) -> DataFrame:
 
 
 def keys_of(groups: DataFrame) -> DataFrame:
-    """cluster_id, size, face_ids of groups (group, face_id): a cluster's key comes from its least face."""
-    out = groups.groupBy("group").agg(F.min("face_id").alias("_least"), F.count("*").alias("size"), F.array_sort(F.collect_list("face_id")).alias("face_ids"))
-    return out.select(cluster_key(F.col("_least")).alias("cluster_id"), "size", "face_ids")
+    """cluster_id, size of groups (group, face_id): a cluster's key comes from its least face."""
+    return _keyed(groups).select("cluster_id", "size")
+
+
+def _keyed(groups: DataFrame) -> DataFrame:
+    out = groups.groupBy("group").agg(F.min("face_id").alias("_least"), F.count("*").alias("size"))
+    return out.select("group", cluster_key(F.col("_least")).alias("cluster_id"), "size")
+
+
+def members(groups: DataFrame) -> DataFrame:
+    """cluster_id, size, face_id: a row a face, so a cluster of any size is spread. Few groups are broadcast by Spark at run time."""
+    return groups.join(_keyed(groups), "group").select("cluster_id", "size", "face_id")
 
 
 def scan_summary(frames: DataFrame) -> DataFrame:

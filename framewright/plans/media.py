@@ -160,7 +160,7 @@ def _(v: Views):
 
 @query("clusters")
 def _(v: Views):
-    return clustering.listed(clustering.clusters(v.points, 64, 0.65)).select("cluster_id", "size", F.array_join("face_ids", ",").alias("face_ids"))
+    return faces.members(clustering.grouped(v.points, 64, 0.65))
 
 
 LABELS = ", c AS (SELECT 'cl-' || min(face_id) AS cluster_id, count(*) AS size FROM points GROUP BY id_videofile), q AS (SELECT 'cl-' || face_id AS recognizer_key FROM points WHERE face_id % 2 = 0)\n"
@@ -188,4 +188,4 @@ def _(v: Views):
 def _(v: Views):
     groups = _groups(v)
     wanted = groups.select("cluster_id", F.concat(F.lit("N"), "cluster_id").alias("name"), F.lit(" ").alias("recognizer_key"))
-    return faces.name_clusters(wanted, groups, 100).select("person_id", "cluster_id", "name", "recognizer_key", F.size("face_ids").cast("long").alias("faces"))
+    return faces.name_clusters(wanted, groups, 100).select("person_id", "cluster_id", "name", "recognizer_key", F.col("size").alias("faces"))

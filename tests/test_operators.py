@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from framewright.functions import bitmaps, geometry, text, timebase, vectors
-from framewright.operators import boxes, catalog, clustering, edits, filters, intervals, jobs, keyframes, paging, quality, recipes, segments, settings, staleness, upserts
+from framewright.operators import boxes, catalog, clustering, edits, faces, filters, intervals, jobs, keyframes, paging, quality, recipes, segments, settings, staleness, upserts
 from framewright.operators.filters import Condition, Group
 
 
@@ -222,8 +222,32 @@ def test_clusters(spark, pairs, k, t, wanted):
 def test_each_point_is_in_one_cluster(spark):
     rng = np.random.default_rng(3)
     points = spark.createDataFrame([(i, rng.normal(size=128).tolist()) for i in range(600)], "face_id long, vector array<double>")
-    got = [f for r in clustering.clusters(points, 16, 0.9).collect() for f in r["face_ids"]]
-    assert sorted(got) == list(range(600))
+    got = faces.members(clustering.grouped(points, 16, 0.9)).collect()
+    assert sorted(r["face_id"] for r in got) == list(range(600))
+    assert all(n == len([1 for r in got if r["cluster_id"] == k]) for k, n in {(r["cluster_id"], r["size"]) for r in got})
+
+
+@pytest.mark.parametrize("rows_a_range", [7, 200_000])
+def test_seeds_by_ranges(spark, rows_a_range):
+    rng = np.random.default_rng(5)
+    ids = sorted(int(i) for i in rng.choice(10**6, 103, replace=False))
+    points = spark.createDataFrame([(i, [1.0]) for i in ids], "face_id long, vector array<double>")
+    assert rows(clustering.seeds(points, 10, rows_a_range).select("seed", "face_id")) == [(s, ids[s * 10]) for s in range(10)]
+
+
+def test_frames_over_several_pieces(spark):
+    """Boxes of a frame meet however Arrow cuts the rows; null is a frame of its own."""
+    made = [(d, f, n, 0.9 - n / 100, 10 * (n // 2), 0, 10 * (n // 2) + 8, 8) for d, f in [(1, 0), (1, 1), (1, 200), (2, 0), (None, 0)] for n in range(8)]
+    frame = spark.createDataFrame([(v, f, (i, s, a, b, c, d)) for i, (v, f, _, s, a, b, c, d) in enumerate(made)], "id_videofile long, frame_number long, r struct<detection_id: long, score: double, x1: int, y1: int, x2: int, y2: int>").select("id_videofile", "frame_number", "r.*")
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        kept = [r[0] for r in boxes.non_maximum(frame, 0.4).select("detection_id").collect()]
+        found = boxes.regions(frame, 0.4).select("boxes").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    assert sorted(kept) == [i for i in range(40) if i % 2 == 0]
+    assert [r[0] for r in found] == [2] * 20
 
 
 def test_vectors(spark):
