@@ -89,3 +89,30 @@ def test_odd_rows(odd, empty):
     assert got.count() == odd.count() and simhash.near_groups(simhash.fingerprints(empty)).count() == 0
     zero = {r["component_id"] for r in got.where("fp = 0").collect()}
     assert zero == {1}
+
+
+def test_components_with_hubs(spark):
+    """A hub of a third of all edges that is its component's least node, one that is its largest, chains and pairs."""
+    edges = [(0, i) for i in range(1, 900)] + [(100_000, i) for i in range(2_000, 2_900)] + [(i, i + 1) for i in range(5_000, 5_040)] + [(2_899, 899), (7, 7), (9_001, 9_000)]
+    parent = {n: n for e in edges for n in e if e[0] != e[1]}
+
+    def top(n):
+        while parent[n] != n:
+            parent[n] = parent[parent[n]]
+            n = parent[n]
+        return n
+
+    for a, b in edges:
+        if a != b:
+            low, high = sorted((top(a), top(b)))
+            parent[high] = low
+    found = common.components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert sorted((r["node"], r["root"]) for r in found) == sorted((n, top(n)) for n in parent)
+
+
+def test_many_equal_rows_without_ids(spark):
+    fps = spark.createDataFrame([(None, 5)] * 3000 + [(8, 5), (9, 4), (10, -1)], "doc_id long, fp long")
+    got = {}
+    for r in simhash.near_groups(fps, 3).collect():
+        got[r["doc_id"], r["fp"], r["component_id"]] = got.get((r["doc_id"], r["fp"], r["component_id"]), 0) + 1
+    assert got == {(None, 5, 8): 3000, (8, 5, 8): 1, (9, 4, 8): 1, (10, -1, 10): 1}
