@@ -97,8 +97,8 @@ def with_class(rows: DataFrame, classes: DataFrame, key: str, size: str, total:
 def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
     """(node, root) of every node in ``edges``; root is the smallest node of its connected component.
 
-    Large-star / small-star rounds; each round is a stored table. Minima are combined before the shuffle, and the edges of
-    hubs take them from a broadcast (``with_class``), so no task gathers a hub.
+    Large-star / small-star rounds. Minima are combined before the shuffle. Each step is a stored table, so plans stay
+    small, and edges meet their minima in plain joins of two scans, whose skewed partitions (hubs) Spark splits at runtime.
     """
     e = stored(edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a <> b").distinct(), "edges")
     sign = lambda t: t.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
@@ -107,12 +107,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
         if not last[0]:
             break
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("edges")).select("a", F.least("a", "m").alias("m"), "edges")
-        met = with_class(both.where("b > a"), low, "a", "edges", 2 * last[0], F.col("b"))
-        large = met.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("edges"))
-        small = with_class(large, least, "a", "edges", last[0], F.col("b")).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).distinct()
-        e = stored(small, "edges")
+        low = stored(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "minima")
+        up = e.select(F.col("b").alias("a"), F.col("a").alias("b"))  # the greater neighbours of each node
+        large = stored(up.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), "large-star")
+        least = stored(large.groupBy("a").agg(F.min("b").alias("m")), "minima")
+        small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
+        e = stored(small.distinct(), "edges")
         now = sign(e)
         if now == last:
             break
