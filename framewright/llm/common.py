@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship
 
-__all__ = ["components", "new_path", "packed", "shared_dir", "ship", "stored", "text_of", "unpacked", "with_class", "with_filter"]
+__all__ = ["components", "forget", "new_path", "packed", "shared_dir", "ship", "stored", "text_of", "unpacked", "with_class", "with_filter"]
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,11 +33,26 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Where the tables that ``stored`` returned lie, while somebody holds them.
+_places: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: cuts the lineage, survives lost executors."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _places[out] = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete stored tables. Only for those that no DataFrame still to be run reads."""
+    for table in tables:
+        if path := _places.pop(table, None):
+            spark = table.sparkSession
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def packed(df: DataFrame, without: str | None = None, **extra) -> DataFrame:
