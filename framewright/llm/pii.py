@@ -162,12 +162,15 @@ def look(c, before):
 
 
 def votes(kind: str, c, d, before, next_, pattern_vote):
-    """The pattern of votes on candidate c (struct t, s, e) with digits d as one number."""
+    """The pattern of votes on candidate c (struct t, s, e) with digits d as one number.
+
+    Candidates have any length, so patterns over them neither try every start of a run nor repeat a group but possessively.
+    """
     t, last = c["t"], F.right(before, F.lit(1))
     vote = lambda yes, no: F.when(yes, FOR).when(no, AGAINST).otherwise(NONE)
     distinct = F.size(F.array_distinct(F.filter(F.split(d, ""), lambda x: x != "")))
     if kind == "email":
-        top = F.lower(F.regexp_extract(t, r"([A-Za-z0-9-]+)$", 1))
+        top = F.lower(F.regexp_extract(t, r"(?<![A-Za-z0-9-])([A-Za-z0-9-]++)$", 1))
         gazetteer = vote(top.isin(*TOP_DOMAINS), top.rlike("[0-9]"))
         shape = vote(F.char_length(t).between(6, 80), F.char_length(t) > 254)
     elif kind == "ip":
@@ -181,7 +184,7 @@ def votes(kind: str, c, d, before, next_, pattern_vote):
         gazetteer = vote(t.rlike("^" + DIALLING_CODES), t.rlike(r"^\+ ?0"))
         shape = vote(F.char_length(d).between(9, 15) & (distinct > 2), ~F.char_length(d).between(7, 15) | (distinct < 3))
     else:
-        gazetteer = vote(t.rlike(KEY_STARTS), t.rlike("^[A-Za-z][a-z]*(?:[-_/][a-z]+)*$"))
+        gazetteer = vote(t.rlike(KEY_STARTS), t.rlike("^[A-Za-z][a-z]*+(?:[-_/][a-z]++)*+$"))
         shape = vote(t.rlike("[0-9]") & t.rlike("[A-Za-z]"), t.rlike("^[A-Za-z]+$"))
     context = vote(before.rlike(CUES[kind]), before.rlike(COUNTER_CUES))
     border = vote(~last.rlike(r"[\p{L}\p{N}]") & ~next_.rlike(r"[\p{L}\p{N}]"), last.rlike(r"[\p{L}\p{N}]") | next_.rlike(r"[\p{L}\p{N}]"))

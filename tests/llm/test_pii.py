@@ -1,8 +1,10 @@
 import hashlib
 import random
 import re
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from framewright.llm import pii
 
@@ -93,6 +95,30 @@ def test_dense_text(spark):
     assert pii.without_personal_data(df).first()["text"] == plain
 
 
+#: A text and its base spans.
+LONG = {
+    "local part": ("mail " + "a" * 300_000 + "@b.cc now", "email:5:300010"),
+    "secret of pieces": ("token=" + "a-" * 20_000 + " x", ""),
+    "labels": ("x@" + "b." * 20_000 + "com y", "email:0:40005"),
+    "digits": ("card " + "4" * 300_000, ""),
+    "phone without an end": ("+1" + "(" * 300_000, ""),
+    "address part": ("1.2.3." + "9" * 300_000, ""),
+    "many at signs": ("a@" * 100_000, ""),
+}
+
+
+@pytest.mark.parametrize("name", LONG)
+def test_one_long_span(spark, name):
+    """One span of a great length takes no longer than its text, and is found whole."""
+    text, base = LONG[name]
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    pii.find_personal_data(df.withColumn("text", F.lit("mail a@b.cc"))).collect()  # compiled, so that what is measured is the text
+    began = time.monotonic()
+    r = pii.find_personal_data(df).first()
+    assert time.monotonic() - began < 15, "a quadratic pattern takes minutes"
+    assert r["base_sha256"] == hashlib.sha256(base.encode()).hexdigest()
+
+
 def test_added_spans(spark):
     """Planted spans that no base pattern finds, among decoys: precision and recall."""
     rng = random.Random(3)
