@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry
 from ..functions.text import relative_path, stem
+from .ordinals import numbered
 
 
 def register(new: DataFrame, projects: DataFrame, videofiles: DataFrame) -> DataFrame:
@@ -117,10 +118,11 @@ def indicators(videofiles: DataFrame, sheets_ready: DataFrame | None, scenes: Da
 def in_order(df: DataFrame, order: list, within: list[str] | None = None) -> DataFrame:
     """df with place: the rank of each row in a list, of the whole table or within rows that share columns.
 
-    A list of the whole table is numbered by one task: it is for catalogues, not for frames.
+    A list of the whole table is numbered by ranges (see ordinals), so its order is of columns, ascending.
     """
-    w = Window.partitionBy(*(within or [F.lit(0)])).orderBy(*order)
-    return df.withColumn("place", F.row_number().over(w))
+    if not within:
+        return numbered(df, order, "place").withColumn("place", F.col("place").cast("int"))
+    return df.withColumn("place", F.row_number().over(Window.partitionBy(*within).orderBy(*order)))
 
 
 def events_from_shots(selection: DataFrame, shots: DataFrame) -> DataFrame:

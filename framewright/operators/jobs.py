@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import framed_hash
 from ..functions.timebase import percent
+from .ordinals import numbered
 
 # Fixed values.
 STATES = ("WAITING", "CREATING", "WORKING", "DONE", "ERROR")
@@ -20,12 +21,11 @@ TITLES = {"WAITING": "waiting", "CREATING": "starting", "WORKING": "running", "D
 def enqueue(jobs: DataFrame, wanted: DataFrame, now) -> DataFrame:
     """jobs with the wanted ones (kind, subject_id, params_hash) as WAITING rows of their own, numbered on by kind and subject.
 
-    Columns that wanted lacks are null. Numbers follow the largest job_id there is; wanted are few beside jobs.
+    Columns that wanted lacks are null. Numbers follow the largest job_id there is.
     """
     last = jobs.agg(F.coalesce(F.max("job_id"), F.lit(0)).alias("_last"))
-    nth = F.row_number().over(Window.orderBy("kind", "subject_id", "params_hash"))
-    new = {"job_id": (F.col("_last") + nth).cast("long"), "state": F.lit("WAITING"), "created_at": now}
-    fresh = wanted.crossJoin(F.broadcast(last))  # one row
+    new = {"job_id": (F.col("_last") + F.col("_nth")).cast("long"), "state": F.lit("WAITING"), "created_at": now}
+    fresh = numbered(wanted, ["kind", "subject_id", "params_hash"], "_nth").crossJoin(F.broadcast(last))  # one row
     return jobs.unionByName(fresh.select(*[new[c].alias(c) if c in new else F.col(c) if c in wanted.columns else F.lit(None).alias(c) for c in jobs.columns]))
 
 

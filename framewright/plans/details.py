@@ -101,7 +101,7 @@ def _(v: Views):
 @query("clusters_in_order", "SELECT 'cl-' || min(face_id) AS cluster_id, count(*) AS size, CAST(row_number() OVER (ORDER BY count(*) DESC, 'cl-' || min(face_id)) AS INT) AS place FROM points GROUP BY id_videofile")
 def _(v: Views):
     found = faces.keys_of(v.points.select(F.col("id_videofile").alias("group"), "face_id"))
-    return catalog.in_order(clustering.listed(found), [F.desc("size"), "cluster_id"]).select("cluster_id", "size", "place")
+    return catalog.in_order(clustering.listed(found), [-F.col("size"), "cluster_id"]).select("cluster_id", "size", "place")
 
 
 @query("forms_of_numbers", r"""

@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..streaming import queue
+from ..streaming import heartbeats, queue
 from .registry import query
 from .views import JOB_KINDS, Views
 
@@ -99,3 +99,19 @@ def _(v: Views):
     states = F.array(*[F.lit(s) for s in ("WAITING", "CREATING", "WORKING", "DONE", "ERROR")])
     steps = _events(v).select(F.col("user_id").alias("job_id"), F.col("event_id").alias("seq"), F.get(states, (F.col("event_id") % 5).cast("int")).alias("state"))
     return _judged(v, steps, queue.transitions, queue.states, "job_id long, now string")
+
+
+@query("stream_heartbeats", """
+, w AS (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 1 HOUR AS w FROM events),
+e AS (SELECT user_id AS client, ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts) AS back FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
+p(hours, event, attempt) AS (VALUES (6, 'lost', 0), (7, 'retry', 1), (9, 'retry', 2), (13, 'retry', 3), (17, 'given_up', 3)),
+told AS (
+    SELECT client, ts + to_hours(hours) AS moment, event, attempt FROM e, p WHERE back IS NULL OR (back > ts + INTERVAL 6 HOUR AND ts + to_hours(hours) < back)
+    UNION ALL
+    SELECT client, back, 'back', CASE WHEN back > ts + INTERVAL 13 HOUR THEN 3 WHEN back > ts + INTERVAL 9 HOUR THEN 2 WHEN back > ts + INTERVAL 7 HOUR THEN 1 ELSE 0 END
+    FROM e WHERE back > ts + INTERVAL 6 HOUR AND back <= ts + INTERVAL 17 HOUR)
+SELECT client, strftime(moment, '%Y-%m-%d %H:%M:%S.%f') AS "at", event, attempt::INTEGER AS attempt FROM told, w WHERE moment <= w""")
+def _(v: Views):
+    beats = _events(v).select(F.col("user_id").alias("client"), "ts")
+    patience = heartbeats.Patience(silence=6 * 3600, first_pause=3600, longest_pause=4 * 3600, attempts=3)
+    return _drained(v, heartbeats.watched(beats, patience, "1 hour")).select("client", _moment("at"), "event", "attempt")

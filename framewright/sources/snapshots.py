@@ -7,7 +7,9 @@ a crash at any moment too. Paths may be in any store that Spark reaches.
 
 from __future__ import annotations
 
+import json
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +17,8 @@ from pyspark.sql import functions as F
 #: The file of a snapshot that names its current version, then the one before.
 CURRENT = "_current"
 STATE = "_state"
+#: The file that names the versions of tables that are published together: the current set, then the one before.
+MANIFEST = "_manifest"
 
 
 def scan(spark: SparkSession, sql: str, args: dict | None = None, **tables: DataFrame) -> DataFrame:
@@ -50,6 +54,12 @@ def delete(spark: SparkSession, path: str) -> bool:
     return fs.delete(p, True)
 
 
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders in a folder."""
+    fs, p, _ = _fs(spark, path)
+    return [f.getPath().getName() for f in fs.listStatus(p) if f.isDirectory()] if fs.exists(p) else []
+
+
 def move(spark: SparkSession, source: str, target: str) -> None:
     """Rename; a file at the target is replaced at once."""
     _, p, jvm = _fs(spark, source)
@@ -110,6 +120,63 @@ def current(spark: SparkSession, path: str) -> str:
     return f"{path}/{names[0]}"
 
 
+def publish_together(tables: dict[str, DataFrame], path: str) -> None:
+    """Write several tables as one set: readers see all of them new or all of them old.
+
+    Each table that is given gets a fresh version beside its old ones; then one manifest that names the versions of all is
+    replaced at once. Tables that aren't given keep the version they have. A crash before that leaves the old set, and
+    files that the next publication removes; the set before the current one stays for readers who have begun with it.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    known = json.loads(noted(spark, f"{path}/{MANIFEST}") or "[]")
+    fresh = {name: f"{name}/version-{uuid.uuid4().hex}" for name in tables}
+    for name, df in tables.items():
+        df.write.parquet(f"{path}/{fresh[name]}")
+    sets = [{**(known[0] if known else {}), **fresh}, *known[:1]]
+    note(spark, f"{path}/{MANIFEST}", json.dumps(sets))
+    held = {version for one in sets for version in one.values()}
+    for name in sets[0]:
+        for version in folders(spark, f"{path}/{name}"):
+            if version.startswith("version-") and f"{name}/{version}" not in held:
+                delete(spark, f"{path}/{name}/{version}")
+
+
+def together(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """All tables of the current set, of versions that were published together."""
+    known = json.loads(noted(spark, f"{path}/{MANIFEST}") or "[]")
+    if not known:
+        raise FileNotFoundError(f"no set of tables at {path}")
+    return {name: spark.read.parquet(f"{path}/{version}") for name, version in known[0].items()}
+
+
+def fan_out(frames: DataFrame, sinks: dict[str, tuple[Callable[[DataFrame], DataFrame], Callable[[DataFrame], None]]], path: str, key: list[str]) -> dict[str, int]:
+    """Give every frame to every sink: rows that each wrote. A sink is (what it makes of frames, how it is written).
+
+    Frames are read once, into a table at ``path`` from which the sinks read. What a sink makes keeps the columns of
+    ``key`` and at least one row a frame; the frames it wrote are held against those read, by their count and the sum of
+    their hashes, as Spark observes them while they are written. A sink that skips a frame, or makes one up, fails the run.
+    """
+    from pyspark.sql import Observation
+
+    spark = frames.sparkSession
+    frames.write.mode("overwrite").parquet(path)
+    stored = spark.read.schema(frames.schema).parquet(path)
+    mark = F.xxhash64(*[F.col(f"`{k}`") for k in key]).cast("decimal(38,0)")
+    want = tuple(stored.agg(F.count("*"), F.coalesce(F.sum(mark), F.lit(0).cast("decimal(38,0)"))).first())
+    out = {}
+    for name, (make, write) in sinks.items():
+        seen = Observation(f"frames of {name}")
+        made = make(stored)
+        first = F.col("_first") if "_first" in made.columns else F.lit(True)  # of several rows of a frame, one is marked
+        told = made.observe(seen, F.count_if(first).alias("frames"), F.coalesce(F.sum(F.when(first, mark)), F.lit(0).cast("decimal(38,0)")).alias("marks"), F.count(F.lit(1)).alias("rows"))
+        write(told.drop("_first"))
+        got = seen.get
+        if (got["frames"], got["marks"]) != want:
+            raise RuntimeError(f"sink {name} saw {got['frames']} of {want[0]} frames" if got["frames"] != want[0] else f"sink {name} saw other frames than were read")
+        out[name] = got["rows"]
+    return out
+
+
 def append(df: DataFrame, path: str) -> None:
     """Add rows to an append-only log."""
     df.write.mode("append").parquet(path)
@@ -121,7 +188,7 @@ def replace_partitions(df: DataFrame, path: str, by: str) -> None:
 
 
 def file_digests(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """path, size, mtime, digest (SHA-256) of files, each below 2 GiB."""
+    """path, size, mtime, digest (SHA-256) of files, each below 2 GiB, in any store that Spark reaches; see blocks for larger ones."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path)
     return files.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), F.sha2("content", 256).alias("digest"))
 

@@ -1,7 +1,7 @@
 """The queue and its clients as streams: states, progress, heartbeats, subscriptions, sinks.
 
 State is kept by key: a job's last state and progress, a client's last heartbeat. A client's ends with the watermark; those of
-jobs are tables that are written after each batch.
+jobs are tables that are written after each batch, of which two are kept. A finished job's row ends some batches later.
 """
 
 from __future__ import annotations
@@ -63,7 +63,7 @@ def progress(reports: DataFrame, before: DataFrame) -> DataFrame:
 
 def peaks(before: DataFrame, moved: DataFrame) -> DataFrame:
     """job_id, peak after a batch, from those before it and the reports that moved jobs on."""
-    return before.union(moved.select("job_id", F.col("done").alias("peak"))).groupBy("job_id").agg(F.max("peak").alias("peak"))
+    return before.select("job_id", "peak").union(moved.select("job_id", F.col("done").alias("peak"))).groupBy("job_id").agg(F.max("peak").alias("peak"))
 
 
 def transitions(steps: DataFrame, before: DataFrame) -> DataFrame:
