@@ -5,9 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources import blocks, snapshots
 from ..streaming import heartbeats, queue
 from .registry import query
 from .views import JOB_KINDS, Views
@@ -87,7 +88,7 @@ def _(v: Views):
 SELECT job_id, seq, done FROM (SELECT *, coalesce(max(done) OVER (PARTITION BY job_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS peak FROM p) WHERE done > peak""")
 def _(v: Views):
     reports = _events(v).select(F.col("user_id").alias("job_id"), F.col("event_id").alias("seq"), F.floor("value").cast("long").alias("done"))
-    return _judged(v, reports, queue.progress, queue.peaks, "job_id long, peak long")
+    return _judged(v, reports, queue.progress, queue.peaks, queue.PEAKS)
 
 
 @query("stream_transitions", """
@@ -98,7 +99,7 @@ SELECT job_id, seq, state, nullif(a, '') AS from_state, (a = '' AND state = 'WAI
 def _(v: Views):
     states = F.array(*[F.lit(s) for s in ("WAITING", "CREATING", "WORKING", "DONE", "ERROR")])
     steps = _events(v).select(F.col("user_id").alias("job_id"), F.col("event_id").alias("seq"), F.get(states, (F.col("event_id") % 5).cast("int")).alias("state"))
-    return _judged(v, steps, queue.transitions, queue.states, "job_id long, now string")
+    return _judged(v, steps, queue.transitions, queue.states, queue.STATES)
 
 
 @query("stream_heartbeats", """
@@ -115,3 +116,44 @@ def _(v: Views):
     beats = _events(v).select(F.col("user_id").alias("client"), "ts")
     patience = heartbeats.Patience(silence=6 * 3600, first_pause=3600, longest_pause=4 * 3600, attempts=3)
     return _drained(v, heartbeats.watched(beats, patience, "1 hour")).select("client", _moment("at"), "event", "attempt")
+
+
+@query("stream_pushed", "SELECT event_id, user_id, event_type FROM events")
+def _(v: Views):
+    """Events pushed as batches to a folder of JSON lines, and what was committed there."""
+    place = _place(v)
+    blocks.register(v.spark)
+    events = _events(v).select("event_id", "user_id", "event_type")
+    events.writeStream.format("pushed").option("path", f"{place}/out").option("checkpointLocation", f"{place}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return blocks.pushed(v.spark, f"{place}/out", "event_id long, user_id long, event_type string").drop("batch")
+
+
+@query("tables_together", """
+SELECT 'scenes' AS name, count(*) AS rows, sum(first_frame)::BIGINT AS total FROM scenes UNION ALL
+SELECT 'shots', count(*), sum(first_frame)::BIGINT FROM shots UNION ALL
+SELECT 'videofiles', count(*), sum(frame_count)::BIGINT FROM videofiles""")
+def _(v: Views):
+    """Structure and files published as one set, read back by its manifest."""
+    path = f"{_place(v)}/set"
+    snapshots.publish_together({"scenes": v.scenes, "shots": v.shots, "videofiles": v.videofiles}, path)
+    found = snapshots.together(v.spark, path)
+    sums = [df.agg(F.lit(name).alias("name"), F.count("*").alias("rows"), F.sum("frame_count" if name == "videofiles" else "first_frame").cast("long").alias("total")) for name, df in found.items()]
+    return sums[0].union(sums[1]).union(sums[2])
+
+
+@query("frame_fan_out", """
+, f AS (SELECT l_orderkey * 10 + l_linenumber AS id_videofile, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_quantity, l_extendedprice) AS frame_number, l_quantity FROM lineitem)
+SELECT 'sizes' AS sink, count(*) AS rows FROM f UNION ALL SELECT 'faces', sum(1 + l_quantity::BIGINT % 3)::BIGINT FROM f""")
+def _(v: Views):
+    """One pass over frames (lines of orders) to two sinks: one row a frame, and one to three faces a frame."""
+    place = _place(v)
+    lines = v.table("lineitem")
+    nth = F.row_number().over(Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"))
+    frames = lines.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id_videofile"), nth.alias("frame_number"), "l_quantity")
+    boxes = lambda df: df.select("id_videofile", "frame_number", F.posexplode(F.sequence(F.lit(0), F.col("l_quantity").cast("int") % 3)).alias("face_index", "box")).withColumn("_first", F.col("face_index") == 0)
+    sizes = lambda df: df.select("id_videofile", "frame_number", F.col("l_quantity").alias("size"))
+    to = lambda name: lambda df: df.write.parquet(f"{place}/{name}")
+    sinks = {"sizes": (sizes, to("sizes")), "faces": (boxes, to("faces"))}
+    snapshots.fan_out(frames, sinks, f"{place}/frames", ["id_videofile", "frame_number"])
+    count = lambda name: v.spark.read.parquet(f"{place}/{name}").agg(F.lit(name).alias("sink"), F.count("*").alias("rows"))
+    return count("sizes").union(count("faces"))

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.jobs import ALLOWED
+from ..sources.snapshots import delete
 
 SILENCE = "30 seconds"
 
@@ -61,9 +62,19 @@ def progress(reports: DataFrame, before: DataFrame) -> DataFrame:
     return met.where("done > _best").select(*reports.columns)
 
 
-def peaks(before: DataFrame, moved: DataFrame) -> DataFrame:
-    """job_id, peak after a batch, from those before it and the reports that moved jobs on."""
-    return before.select("job_id", "peak").union(moved.select("job_id", F.col("done").alias("peak"))).groupBy("job_id").agg(F.max("peak").alias("peak"))
+#: States of earlier batches, as the functions below keep them: since is the number of the batch that last touched a row.
+PEAKS = "job_id long, peak long, since long"
+STATES = "job_id long, now string, since long"
+
+
+def peaks(before: DataFrame, moved: DataFrame, number: int = 0, lifetime: int | None = None) -> DataFrame:
+    """PEAKS after batch ``number``, from those before it and the reports that moved jobs on.
+
+    With a lifetime, jobs that moved on in none of so many batches are forgotten.
+    """
+    fresh = moved.select("job_id", F.col("done").alias("peak"), F.lit(number).cast("long").alias("since"))
+    out = before.select("job_id", "peak", "since").union(fresh).groupBy("job_id").agg(F.max("peak").alias("peak"), F.max("since").alias("since"))
+    return out if lifetime is None else out.where(F.col("since") > number - lifetime)
 
 
 def transitions(steps: DataFrame, before: DataFrame) -> DataFrame:
@@ -92,10 +103,17 @@ def transitions(steps: DataFrame, before: DataFrame) -> DataFrame:
     return met.repartition("job_id").sortWithinPartitions("job_id", "seq").mapInPandas(run, schema)
 
 
-def states(before: DataFrame, judged: DataFrame) -> DataFrame:
-    """job_id, now after a batch, from those before it and its judged steps: an allowed step is later than any it follows."""
+def states(before: DataFrame, judged: DataFrame, number: int = 0, lifetime: int | None = None) -> DataFrame:
+    """STATES after batch ``number``, from those before it and its judged steps: an allowed step is later than any it follows.
+
+    With a lifetime, a job is forgotten so many batches after it has come to a final state; until then its late steps are
+    refused as such, after that as steps of a job that never began.
+    """
     last = judged.where("allowed").groupBy("job_id").agg(F.max_by("state", "seq").alias("_last"))
-    return before.join(last, "job_id", "full").select("job_id", F.coalesce("_last", "now").alias("now"))
+    now, since = F.coalesce("_last", "now"), F.when(F.col("_last").isNotNull(), F.lit(number).cast("long")).otherwise(F.col("since"))
+    out = before.join(last, "job_id", "full").select("job_id", now.alias("now"), since.alias("since"))
+    final = F.col("now").isin(*[s for s, after in ALLOWED.items() if not after])
+    return out if lifetime is None else out.where(~final | (F.col("since") > number - lifetime))
 
 
 def push(df: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append", every: str | None = None):
@@ -125,11 +143,11 @@ def drained(df: DataFrame, path: str, checkpoint: str, mode: str = "append", key
     return out.drop("_batch", "batch")
 
 
-def judged(df: DataFrame, judge: Callable[[DataFrame, DataFrame], DataFrame], after: Callable[[DataFrame, DataFrame], DataFrame], state: str, path: str, checkpoint: str) -> DataFrame:
+def judged(df: DataFrame, judge: Callable[[DataFrame, DataFrame], DataFrame], after: Callable[..., DataFrame], state: str, path: str, checkpoint: str, lifetime: int | None = None) -> DataFrame:
     """Run a stream over all there is now, each batch whole by ``judge(batch, before)``, and read what it wrote.
 
-    The table of states (schema ``state``) is written after each batch by ``after(before, judged)``; a batch that is run
-    again finds the states before it as they were.
+    The table of states (schema ``state``) is written after each batch by ``after(before, judged, number, lifetime)``; a
+    batch that is run again finds the states before it as they were. No older ones are kept.
     """
     spark = df.sparkSession
 
@@ -138,7 +156,8 @@ def judged(df: DataFrame, judge: Callable[[DataFrame, DataFrame], DataFrame], af
         before = own.read.schema(state).parquet(f"{path}/state={number - 1:06d}") if number else own.createDataFrame([], state)
         judge(batch, before).write.mode("overwrite").parquet(f"{path}/batch={number:06d}")
         done = own.read.parquet(f"{path}/batch={number:06d}")
-        after(before, done).write.mode("overwrite").parquet(f"{path}/state={number:06d}")
+        after(before, done, number, lifetime).write.mode("overwrite").parquet(f"{path}/state={number:06d}")
+        delete(own, f"{path}/state={number - 2:06d}")
 
     push(df, write, checkpoint).awaitTermination()
     return spark.read.parquet(f"{path}/batch=*").drop("batch")

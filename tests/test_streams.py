@@ -37,7 +37,7 @@ def hot():
 def test_progress_of_a_hot_job(spark, tmp_path, hot):
     batches = [[(j, s, s // 2 + s * 7919 % 1000) for j, s in rows] for rows in hot]
     stream = files(spark, tmp_path, batches, "job_id long, seq long, done long")
-    got = queue.judged(stream, queue.progress, queue.peaks, "job_id long, peak long", f"{tmp_path}/out", f"{tmp_path}/checkpoint")
+    got = queue.judged(stream, queue.progress, queue.peaks, queue.PEAKS, f"{tmp_path}/out", f"{tmp_path}/checkpoint")
     peak, want = {}, set()
     for j, s, d in sorted((r for rows in batches for r in rows), key=lambda r: r[1]):
         if d > peak.get(j, -1):
@@ -50,7 +50,7 @@ def test_transitions_of_a_hot_job(spark, tmp_path, hot):
     names = ("WAITING", "CREATING", "WORKING", "DONE", "ERROR")
     batches = [[(j, s, names[s * 7919 % 3 if s < 60_000 else s * 7919 % 5]) for j, s in rows] for rows in hot]
     stream = files(spark, tmp_path, batches, "job_id long, seq long, state string")
-    got = queue.judged(stream, queue.transitions, queue.states, "job_id long, now string", f"{tmp_path}/out", f"{tmp_path}/checkpoint")
+    got = queue.judged(stream, queue.transitions, queue.states, queue.STATES, f"{tmp_path}/out", f"{tmp_path}/checkpoint")
     now, want = {}, []
     for j, s, to in sorted((r for rows in batches for r in rows), key=lambda r: r[1]):
         ok = to in ALLOWED.get(now[j], ()) if j in now else to == "WAITING"
@@ -83,3 +83,23 @@ def test_sessions_hold_all_beats(spark, sf_dir):
     want = plain_events(spark, sf_dir).groupBy(w.alias("w"), F.col("user_id").alias("client")).agg(F.count("*").alias("beats")).select("client", as_text("w.start").alias("first_beat"), as_text("w.end").alias("end"), "beats")
     got = QUERIES["stream_sessions"](spark, sf_dir)
     assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect()))
+
+
+def test_states_of_finished_jobs_end(spark, tmp_path):
+    """Ten batches in which jobs begin and finish: only open and lately finished ones keep a row, and two tables of states are left."""
+    names = ("WAITING", "CREATING", "WORKING", "DONE")
+    batches = [[(job, b * 100 + job, names[b - job]) for job in range(10) if 0 <= b - job < 4] + ([(0, b * 100 + 50, "ERROR")] if b in (4, 8) else []) for b in range(10)]
+    stream = files(spark, tmp_path, batches, "job_id long, seq long, state string")
+    got = queue.judged(stream, queue.transitions, queue.states, queue.STATES, f"{tmp_path}/out", f"{tmp_path}/checkpoint", lifetime=2)
+    wrong = [(r["job_id"], r["seq"], r["from_state"]) for r in got.where("NOT allowed").orderBy("seq").collect()]
+    assert wrong == [(0, 450, "DONE"), (0, 850, None)] and got.where("allowed").count() == sum(map(len, batches)) - 2
+    kept = {r["job_id"]: r["now"] for r in spark.read.parquet(f"{tmp_path}/out/state=000009").collect()}
+    assert kept == {5: "DONE", 6: "DONE", 7: "WORKING", 8: "CREATING", 9: "WAITING"}
+    assert sorted(p.name for p in (tmp_path / "out").glob("state=*")) == ["state=000008", "state=000009"]
+
+
+def test_peaks_of_jobs_at_rest_end(spark, tmp_path):
+    batches = [[(1, 1, 50), (2, 2, 10)], [(2, 3, 20)], [(2, 4, 30)], [(1, 5, 40), (2, 6, 25)]]
+    stream = files(spark, tmp_path, batches, "job_id long, seq long, done long")
+    run = lambda name, lifetime: {r["seq"] for r in queue.judged(stream, queue.progress, queue.peaks, queue.PEAKS, f"{tmp_path}/{name}", f"{tmp_path}/{name}-checkpoint", lifetime).collect()}
+    assert run("for ever", None) == {1, 2, 3, 4} and run("two", 2) == {1, 2, 3, 4, 5}
