@@ -8,40 +8,32 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship
 from .faces import keys_of
+from .ordinals import numbered
 
 COUNT, THRESHOLD, ROUNDS = 256, 0.65, 64
-MOST_RANGES = 4096
+MOST_RANGES = 256
 
 
 def seeds(points: DataFrame, count: int, rows_a_range: int = 200_000) -> DataFrame:
-    """seed, face_id, vector: every (n div k)-th point by face_id, k = min(count, n).
+    """seed, face_id, vector: every (n div k)-th point by face_id (nulls last), k = min(count, n).
 
-    Sizes of ranges of face_id tell which of them hold a seed, ``count`` ranges at most; only their points are sorted.
+    Ids alone are ranked, by ranges of about so many rows; the ``count`` that are seeds then meet their vectors. Of points that share an id the
+    least vector counts.
     """
     n = points.count()
     k = min(count, n)
     if not k:
         return points.select(F.lit(0).cast("long").alias("seed"), "face_id", "vector").limit(0)
     step = n // k
-    parts = min(MOST_RANGES, n // rows_a_range + 1)
-    cuts = points.agg(F.percentile_approx(F.col("face_id").cast("double"), [i / parts for i in range(1, parts)] or [0.5], 10 * MOST_RANGES)).first()[0] or [0.0]
-    # nulls go to a range after all others
-    ranges = Bucketizer(splits=[-np.inf, *sorted(set(cuts)), np.inf], inputCol="_at", outputCol="_range", handleInvalid="keep")
-    cut = ranges.transform(points.withColumn("_at", F.col("face_id").cast("double")))
-    held, before = [], 0
-    for number, size in cut.groupBy("_range").count().orderBy("_range").collect():  # a row a range
-        if -(-before // step) * step < min(before + size, step * k):
-            held.append((number, before))
-        before += size
-    some = cut.join(F.broadcast(points.sparkSession.createDataFrame(held, "_range double, _before long")), "_range")
-    ranked = some.withColumn("_rank", F.row_number().over(Window.partitionBy("_range").orderBy(F.asc_nulls_last("face_id"))) - 1 + F.col("_before"))
-    return ranked.where((F.col("_rank") % step == 0) & (F.col("_rank") < step * k)).select((F.col("_rank") / step).cast("long").alias("seed"), "face_id", "vector")
+    ranked = numbered(points.select("face_id"), [F.col("face_id").isNull(), "face_id"], "_rank", min(MOST_RANGES, n // rows_a_range + 1)).withColumn("_rank", F.col("_rank") - 1)
+    some = ranked.where((F.col("_rank") % step == 0) & (F.col("_rank") < step * k)).select((F.col("_rank") / step).cast("long").alias("seed"), F.col("face_id").alias("_id"))
+    met = points.join(F.broadcast(some), F.col("face_id").eqNullSafe(F.col("_id")))  # count rows at most
+    return met.groupBy("seed", "face_id").agg(F.min("vector").alias("vector"))
 
 
 def unit_rows(x: np.ndarray) -> np.ndarray:

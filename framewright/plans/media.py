@@ -95,13 +95,34 @@ def _(v: Views):
     return boxes.non_maximum(v.detections, 0.4).select("detection_id")
 
 
-@query("detected_faces")
+def _iou(a: str, b: str) -> str:
+    """Intersection over union of two boxes in SQL."""
+    side = lambda c: f"greatest(0, least({a}.{c}2, {b}.{c}2) - greatest({a}.{c}1, {b}.{c}1))"
+    area = lambda t: f"({t}.x2 - {t}.x1) * ({t}.y2 - {t}.y1)"
+    inter, both = f"{side('x')} * {side('y')}", f"{area(a)} + {area(b)}"
+    return f"coalesce({inter} / nullif({both} - {inter}, 0)::DOUBLE, 0)"
+
+
+@query("detected_faces", f"""
+, best AS (SELECT * FROM detections WHERE score > 0.2 QUALIFY row_number() OVER (PARTITION BY id_videofile, frame_number ORDER BY score DESC, detection_id) <= 5),
+d AS (SELECT b.id_videofile, b.frame_number, b.detection_id, b.score, least(greatest(b.x1 * 2.0::DOUBLE, 0), v.width) AS x1, least(greatest(b.x2 * 2.0::DOUBLE, 0), v.width) AS x2, least(greatest(b.y1 * 1.5::DOUBLE, 0), v.height) AS y1, least(greatest(b.y2 * 1.5::DOUBLE, 0), v.height) AS y2,
+    row_number() OVER (PARTITION BY b.id_videofile, b.frame_number ORDER BY b.score DESC, b.detection_id) AS r FROM best b JOIN videofiles v USING (id_videofile)),
+over AS (SELECT b.detection_id, list(a.r) AS better FROM d a JOIN d b ON a.id_videofile = b.id_videofile AND a.frame_number = b.frame_number AND a.r < b.r AND {_iou("a", "b")} > 0.3 GROUP BY 1),
+steps AS (SELECT id_videofile, frame_number, list({{'r': r, 'better': coalesce(better, [])}} ORDER BY r) AS steps FROM d LEFT JOIN over USING (detection_id) GROUP BY ALL),
+stay AS (SELECT id_videofile, frame_number, list_reduce(list_prepend(CAST([] AS BIGINT[]), list_transform(steps, lambda x: list_prepend(x.r, x.better))), lambda kept, x: CASE WHEN len(list_intersect(kept, x[2:])) = 0 THEN list_append(kept, x[1]) ELSE kept END) AS kept FROM steps)
+SELECT id_videofile, frame_number, detection_id, round_even(x1, 0)::INTEGER AS x1, round_even(y1, 0)::INTEGER AS y1, round_even(x2, 0)::INTEGER AS x2, round_even(y2, 0)::INTEGER AS y2, score
+FROM d JOIN stay USING (id_videofile, frame_number) WHERE list_contains(kept, r) AND round_even(x2, 0) > round_even(x1, 0) AND round_even(y2, 0) > round_even(y1, 0)""")
 def _(v: Views):
     candidates = v.detections.join(v.videofiles.select("id_videofile", "width", "height"), "id_videofile")
     return boxes.detect(candidates, 0.2, 0.3, 5, 2.0, 1.5).select("id_videofile", "frame_number", "detection_id", "x1", "y1", "x2", "y2", "score")
 
 
-@query("box_regions")
+@query("box_regions", f"""
+, links AS (SELECT a.detection_id AS a, b.detection_id AS b FROM detections a JOIN detections b ON a.id_videofile = b.id_videofile AND a.frame_number = b.frame_number AND {_iou("a", "b")} >= 0.3),
+reached(a, b) AS (SELECT detection_id, detection_id FROM detections UNION SELECT r.a, l.b FROM reached r JOIN links l ON l.a = r.b),
+heads AS (SELECT a AS detection_id, min(b) AS head FROM reached GROUP BY 1)
+SELECT id_videofile, frame_number, CAST(dense_rank() OVER (PARTITION BY id_videofile, frame_number ORDER BY head) - 1 AS BIGINT) AS region, min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2, count(*) AS boxes
+FROM detections JOIN heads USING (detection_id) GROUP BY id_videofile, frame_number, head""")
 def _(v: Views):
     return boxes.regions(v.detections, 0.3)
 

@@ -14,7 +14,7 @@ def query(name: str, sql: str | None = None):
     def add(f):
         QUERIES[name] = lambda spark, sf_dir: f(Views(spark, sf_dir))
         if sql:
-            ORACLE_SQL[name] = f"{PRELUDE}\n{sql.strip()}"
+            ORACLE_SQL[name] = f"{PRELUDE}\n{sql.strip()}".replace("WITH ", "WITH RECURSIVE ", 1)
         return f
 
     return add
