@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import structure, media, tables, assembly, logs, streams, details  # noqa: F401, I001  (they register their queries)
+from . import structure, media, tables, assembly, logs, streams, details, rules  # noqa: F401, I001  (they register their queries)
 from .registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
