@@ -189,6 +189,26 @@ def verify(items_: DataFrame, files: DataFrame) -> DataFrame:
     return met.select(*items_.columns, verdict.alias("verdict"))
 
 
+def seals(recipes: DataFrame, documents_: DataFrame, keys: DataFrame) -> DataFrame:
+    """recipe_id, seal of recipes (recipe_id, content_sha256, signature, signing_key_id), told before their items are looked at.
+
+    UNSIGNED: a part of the signature is missing; UNKNOWN_KEY: keys (signing_key_id) doesn't have its key; ALTERED: the
+    document (recipe_id, content_sha256 as computed from what it holds now) is none or another one; else SEALED. Whether
+    the signature belongs to digest and key is for whoever holds the key's material.
+    """
+    known = keys.select("signing_key_id", F.lit(True).alias("_known")).distinct()
+    met = recipes.join(documents_.select("recipe_id", F.col("content_sha256").alias("_now")), "recipe_id", "left").join(known, "signing_key_id", "left")
+    missing = F.col("signature").isNull() | F.col("signing_key_id").isNull() | F.col("content_sha256").isNull()
+    seal = F.when(missing, "UNSIGNED").when(F.col("_known").isNull(), "UNKNOWN_KEY").when(F.col("_now").eqNullSafe(F.col("content_sha256")), "SEALED").otherwise("ALTERED")
+    return met.select("recipe_id", seal.alias("seal"))
+
+
+def verify_sealed(items_: DataFrame, files: DataFrame, seals_: DataFrame) -> DataFrame:
+    """items with seal and verdict; of recipes that aren't SEALED no file is compared, so the verdict is null."""
+    met = verify(items_, files).join(seals_, "recipe_id", "left")
+    return met.withColumn("verdict", F.when(F.col("seal") == "SEALED", F.col("verdict")))
+
+
 def cached_digests(files: DataFrame, cache: DataFrame) -> DataFrame:
     """files (relative_path, size, mtime) with the cached digest of the same path, size and time; null: to be read anew."""
     return files.join(cache, ["relative_path", "size", "mtime"], "left")

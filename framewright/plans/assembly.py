@@ -110,11 +110,21 @@ def _(v: Views):
     return _items(v).select("recipe_id", F.col("ordinal").cast("long").alias("ordinal"), F.sha2(recipes.item_document(), 256).alias("item_sha256"))
 
 
-@query("recipe_documents", ITEMS + f"""
-, body AS (SELECT recipe_id, '[' || string_agg({ITEM_JSON}, ', ' ORDER BY ordinal) || ']' AS items, CAST(sum(cut_last - cut_first) AS BIGINT) AS frames, CAST((sum((cut_last - cut_first)::BIGINT * (time_base_num * 1000000000::BIGINT // time_base_den)) + 500000) // 1000000 AS BIGINT) AS ms FROM items GROUP BY 1)
-SELECT recipe_id, sha256('{{' || chr(10) || concat_ws(',' || chr(10), '  "schemaVersion": 2', '  "projectId": ' || (recipe_id % 5), '  "projectName": "Project"', '  "recipeId": ' || recipe_id, '  "recipeName": "Recipe \\"' || recipe_id || '\\""', '  "signingKeyId": "k1"',
-  '  "createdAt": "2024-05-06T07:08:09Z"', '  "rootLayout": "MOVIE_TREE"', '  "audioTrackCount": 1', '  "expectedDurationMs": ' || ms, '  "expectedFrameCount": ' || frames, '  "items": ' || items) || chr(10) || '}}') AS content_sha256 FROM body""")
-def _(v: Views):
+DOCUMENTS = ITEMS + f"""
+, body AS (SELECT recipe_id, '[' || string_agg({ITEM_JSON}, ', ' ORDER BY ordinal) || ']' AS items, CAST(sum(cut_last - cut_first) AS BIGINT) AS frames, CAST((sum((cut_last - cut_first)::BIGINT * (time_base_num * 1000000000::BIGINT // time_base_den)) + 500000) // 1000000 AS BIGINT) AS ms FROM items GROUP BY 1),
+documents AS (SELECT recipe_id, sha256('{{' || chr(10) || concat_ws(',' || chr(10), '  "schemaVersion": 2', '  "projectId": ' || (recipe_id % 5), '  "projectName": "Project"', '  "recipeId": ' || recipe_id, '  "recipeName": "Recipe \\"' || recipe_id || '\\""', '  "signingKeyId": "k1"',
+  '  "createdAt": "2024-05-06T07:08:09Z"', '  "rootLayout": "MOVIE_TREE"', '  "audioTrackCount": 1', '  "expectedDurationMs": ' || ms, '  "expectedFrameCount": ' || frames, '  "items": ' || items) || chr(10) || '}}') AS content_sha256 FROM body)
+"""
+
+
+def _found_files(v: Views):
+    """What lies at the user's: some files are missing, others changed."""
+    n = F.col("id_videofile")
+    digests = staleness.current_checksums(v.checksums).where(n % 3 != 0)
+    return digests.select(F.when(n % 17 != 0, F.concat(F.lit("ep"), n, F.lit(".mkv"))).alias("relative_path"), F.when(n % 2 == 0, F.col("digest")).otherwise("changed").alias("digest"))
+
+
+def _documents(v: Views):
     recipe = F.col("recipe_id")
     heads = v.selection.select("recipe_id").distinct().select(
         "recipe_id", (recipe % 5).alias("project_id"), F.lit("Project").alias("project_name"), F.concat(F.lit('Recipe "'), recipe, F.lit('"')).alias("recipe_name"), F.lit("k1").alias("signing_key_id"),
@@ -123,6 +133,26 @@ def _(v: Views):
     return recipes.documents(_items(v), heads).select("recipe_id", "content_sha256")
 
 
+@query("recipe_documents", DOCUMENTS + "SELECT recipe_id, content_sha256 FROM documents")
+def _(v: Views):
+    return _documents(v)
+
+
+@query("recipe_seals", DOCUMENTS + """
+, files AS (SELECT CASE WHEN id_videofile % 17 <> 0 THEN 'ep' || id_videofile || '.mkv' END AS path, CASE WHEN id_videofile % 2 = 0 THEN digest ELSE 'changed' END AS digest FROM dig WHERE id_videofile % 3 <> 0),
+sealed AS (SELECT recipe_id, CASE WHEN recipe_id % 7 = 0 OR recipe_id % 11 = 0 THEN 'UNSIGNED' WHEN recipe_id % 5 = 0 THEN 'UNKNOWN_KEY' WHEN recipe_id % 4 = 1 THEN 'ALTERED' ELSE 'SEALED' END AS seal FROM documents)
+SELECT i.recipe_id, i.ordinal, s.seal, CASE WHEN s.seal <> 'SEALED' THEN NULL WHEN f.path IS NULL THEN 'MISSING' WHEN f.digest = i.source_sha256 THEN 'OK' ELSE 'CHANGED' END AS verdict FROM items i JOIN sealed s USING (recipe_id) LEFT JOIN files f ON f.path = i.relative_path""")
+def _(v: Views):
+    """Recipes of which some are unsigned, signed by a stranger, or were changed after signing; then the files of the others."""
+    recipe = F.col("recipe_id")
+    signed = _documents(v).select(
+        "recipe_id", F.when(recipe % 4 == 1, F.sha2(F.lit("another"), 256)).otherwise(F.col("content_sha256")).alias("content_sha256"),
+        F.when(recipe % 7 > 0, "QUJD").alias("signature"), F.when(recipe % 11 > 0, F.when(recipe % 5 == 0, "k9").otherwise("k1")).alias("signing_key_id"),
+    )
+    sealed = recipes.seals(signed, _documents(v), v.spark.createDataFrame([("k1",)], "signing_key_id string"))
+    return recipes.verify_sealed(_items(v), _found_files(v), sealed).select("recipe_id", F.col("ordinal").cast("long").alias("ordinal"), "seal", "verdict")
+
+
 @query("recipe_refusals", f"""
 , m AS (SELECT sel.recipe_id, sel.ordinal, sel.scene_id, c.id_videofile, c.is_stale, v.* EXCLUDE (id_videofile, ordinal, id_project), v.id_project, p.source_root,
    EXISTS (SELECT 1 FROM scenes x WHERE x.id_videofile = c.id_videofile AND NOT x.is_stale) AS analyzed, EXISTS (SELECT 1 FROM checksums k WHERE k.id_videofile = c.id_videofile AND k.state = 'DONE' AND NOT k.is_stale) AS ready
@@ -156,10 +186,7 @@ def _(v: Views):
 , files AS (SELECT CASE WHEN id_videofile % 17 <> 0 THEN 'ep' || id_videofile || '.mkv' END AS path, CASE WHEN id_videofile % 2 = 0 THEN digest ELSE 'changed' END AS digest FROM dig WHERE id_videofile % 3 <> 0)
 SELECT i.recipe_id, i.ordinal, CASE WHEN f.path IS NULL THEN 'MISSING' WHEN f.digest = i.source_sha256 THEN 'OK' ELSE 'CHANGED' END AS verdict FROM items i LEFT JOIN files f ON f.path = i.relative_path""")
 def _(v: Views):
-    n = F.col("id_videofile")
-    digests = staleness.current_checksums(v.checksums).where(n % 3 != 0)
-    files = digests.select(F.when(n % 17 != 0, F.concat(F.lit("ep"), n, F.lit(".mkv"))).alias("relative_path"), F.when(n % 2 == 0, F.col("digest")).otherwise("changed").alias("digest"))
-    return recipes.verify(_items(v), files).select("recipe_id", F.col("ordinal").cast("long").alias("ordinal"), "verdict")
+    return recipes.verify(_items(v), _found_files(v)).select("recipe_id", F.col("ordinal").cast("long").alias("ordinal"), "verdict")
 
 
 @query("canonical_texts", r"""

@@ -424,3 +424,17 @@ def test_utc_seconds_in_any_zone(spark):
             assert spark.range(1).select(text.utc_second(moment)).first()[0] == "2024-07-01T08:20:30Z"
     finally:
         spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_seals(spark):
+    """Each way a recipe may fail to be sealed, nulls and a missing document included; only sealed ones have their files looked at."""
+    signed = [(1, "d", "s", "k1"), (2, None, "s", "k1"), (3, "d", None, "k1"), (4, "d", "s", None), (5, "d", "s", "k2"), (6, "x", "s", "k1"), (7, "d", "s", "k1")]
+    recipe = spark.createDataFrame(signed, "recipe_id long, content_sha256 string, signature string, signing_key_id string")
+    documents = spark.createDataFrame([(i, "d") for i in range(1, 7)], "recipe_id long, content_sha256 string")
+    keys = spark.createDataFrame([("k1",), ("k1",), (None,)], "signing_key_id string")
+    found = recipes.seals(recipe, documents, keys)
+    assert dict(rows(found)) == {1: "SEALED", 2: "UNSIGNED", 3: "UNSIGNED", 4: "UNSIGNED", 5: "UNKNOWN_KEY", 6: "ALTERED", 7: "ALTERED"}
+    items = spark.createDataFrame([(1, "a", "h"), (1, "b", "h"), (6, "a", "h"), (9, "a", "h")], "recipe_id long, relative_path string, source_sha256 string")
+    files = spark.createDataFrame([("a", "h")], "relative_path string, digest string")
+    got = recipes.verify_sealed(items, files, found).select("recipe_id", "relative_path", "seal", "verdict")
+    assert rows(got) == [(1, "a", "SEALED", "OK"), (1, "b", "SEALED", "MISSING"), (6, "a", "ALTERED", None), (9, "a", None, None)]

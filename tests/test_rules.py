@@ -10,7 +10,7 @@ def test_every_rule_is_broken_and_kept():
     con = duck("/root/testdata/sf0.01")
     found = {(relation, rule): n for relation, rule, n, *_ in con.sql(ORACLE_SQL["every_rule"]).fetchall()}
     every = {(relation, r.name + "_exists" * isinstance(r, quality.Reference)) for relation, own in quality.RULES.items() for r in own}
-    assert set(found) == every and max(found.values()) < con.sql("SELECT count(*) FROM events").fetchone()[0]
+    assert set(found) == every and max(found.values()) < con.sql("SELECT count(*) FROM events").fetchall()[0][0]
 
 
 def test_columns_take_nulls():
