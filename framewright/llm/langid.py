@@ -27,6 +27,8 @@ LEAST_RATE = 2e-5
 SHARE = 0.3
 #: Of each language's rows that may be learned from, about so many at most are (chosen by a hash of doc_id and text, so rows without an id are bounded as well).
 ROWS_A_LANGUAGE = 2500
+#: More languages than this are an error: each is a row that the driver sees, a bit of every n-gram's mask, and a share of the sample.
+MOST_LANGUAGES = 1024
 
 _FACTORS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 _STEP = np.uint64(0x2545F4914F6CDD1D)
@@ -121,11 +123,13 @@ class LanguageFilter:
 
 
 def fit(docs: DataFrame) -> LanguageFilter:
-    """Learn from docs with text and lang: a hash sample of about ROWS_A_LANGUAGE whole texts of each language."""
+    """Learn from docs with text and lang: a hash sample of about ROWS_A_LANGUAGE whole texts of each language, MOST_LANGUAGES at most."""
     spark = docs.sparkSession
     ship(spark)
     known = docs.where("text IS NOT NULL AND lang IS NOT NULL")
-    sizes = {r[0]: r[1] for r in known.groupBy("lang").count().collect()}  # one row a language
+    sizes = {r[0]: r[1] for r in known.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()}  # one row a language
+    if len(sizes) > MOST_LANGUAGES:
+        raise ValueError(f"lang has more than {MOST_LANGUAGES} values: is it the language?")
     languages = sorted(sizes)
     if not languages:
         return LanguageFilter([], np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64))

@@ -1,4 +1,6 @@
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from framewright.llm import langid
 
@@ -78,3 +80,12 @@ def test_counts_are_those_of_a_plain_counter(texts):
             exact = sum(g in known[i] for g in own)
             accidents = (len(own) - exact) * model.accident[i]
             assert abs(by[row, i] - exact) <= 5 * accidents**0.5 + 1 + 0.02 * len(own)
+
+
+def test_many_languages_are_an_error(spark):
+    """A column that isn't the language fails before anything is learned; a hundred languages are learned."""
+    text = F.concat(F.lit("word "), F.col("id").cast("string"))
+    with pytest.raises(ValueError, match="more than 1024 values"):
+        langid.fit(spark.range(langid.MOST_LANGUAGES + 1).select(F.col("id").alias("doc_id"), text.alias("text"), F.col("id").cast("string").alias("lang")))
+    some = spark.range(100).select(F.col("id").alias("doc_id"), F.repeat(F.char(F.col("id") % 26 + 97), 20).alias("text"), F.col("id").cast("string").alias("lang"))
+    assert len(langid.fit(some).languages) == 100
