@@ -179,7 +179,23 @@ def _(v: Views):
     return vectors.dimensions(v.points, "vector")
 
 
-@query("clusters")
+@query("clusters", SEEDS.replace("16", "64") + """
+, near AS (SELECT p.face_id, p.vector, arg_max(s.seed, {'sim': list_cosine_similarity(p.vector, s.vector), 'seed': -s.seed}) AS seed FROM r p CROSS JOIN s GROUP BY p.face_id, p.vector),
+summed AS (SELECT seed, i, sum(vector[i]) AS x, count(*) AS n FROM near, range(1, (SELECT max(len(vector)) FROM r) + 1) t(i) GROUP BY seed, i),
+first_ AS (SELECT list({'t': t, 's': n} ORDER BY seed) AS all_ FROM (SELECT seed, list(x ORDER BY i) AS t, max(n) AS n FROM summed GROUP BY seed)),
+merging(step, all_, free, found) AS (
+    SELECT 0, all_, range(1, len(all_) + 1), CAST([] AS BIGINT[][]) FROM first_
+    UNION ALL
+    SELECT step + 1,
+        CASE WHEN len(free) > 0 THEN all_ ELSE list_transform(found, lambda g: list_reduce(list_transform(g, lambda k: all_[k]), lambda a, b: {'t': list_transform(list_zip(a.t, b.t), lambda z: z[1] + z[2]), 's': a.s + b.s})) END,
+        CASE WHEN len(free) > 0 THEN list_filter(free, lambda k: NOT list_contains(took, k)) ELSE range(1, len(found) + 1) END,
+        CASE WHEN len(free) > 0 THEN list_append(found, took) ELSE CAST([] AS BIGINT[][]) END
+    FROM (SELECT *, CASE WHEN len(free) > 0 THEN list_reduce(list_transform(free, lambda k: {'g': list_transform(all_[k].t, lambda x: x / all_[k].s), 'took': [k]}),
+            lambda a, b: CASE WHEN list_cosine_similarity(a.g, b.g) >= 0.65 THEN {'g': list_transform(list_zip(a.g, b.g), lambda z: z[1] + z[2]), 'took': list_concat(a.took, b.took)} ELSE a END).took END AS took FROM merging)
+    WHERE len(free) > 0 OR len(found) < len(all_)),
+centres AS (SELECT k, list_transform(all_[k].t, lambda x: x / all_[k].s) AS vector FROM (SELECT all_ FROM merging WHERE len(free) = 0 AND len(found) = len(all_) ORDER BY step DESC LIMIT 1), range(1, len(all_) + 1) t(k)),
+placed AS (SELECT p.face_id, arg_max(c.k, {'sim': list_cosine_similarity(p.vector, c.vector), 'k': -c.k}) AS k FROM r p CROSS JOIN centres c GROUP BY p.face_id)
+SELECT 'cl-' || min(face_id) OVER (PARTITION BY k) AS cluster_id, count(*) OVER (PARTITION BY k) AS size, face_id FROM placed""")
 def _(v: Views):
     return faces.members(clustering.grouped(v.points, 64, 0.65))
 
