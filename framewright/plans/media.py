@@ -179,7 +179,9 @@ def _(v: Views):
     return vectors.dimensions(v.points, "vector")
 
 
-@query("clusters", SEEDS.replace("16", "64") + """
+def _clusters_sql(count: int, threshold: float) -> str:
+    """Assignment to seeds, greedy merging by recursion over lists, assignment again."""
+    merging = """
 , near AS (SELECT p.face_id, p.vector, arg_max(s.seed, {'sim': list_cosine_similarity(p.vector, s.vector), 'seed': -s.seed}) AS seed FROM r p CROSS JOIN s GROUP BY p.face_id, p.vector),
 summed AS (SELECT seed, i, sum(vector[i]) AS x, count(*) AS n FROM near, range(1, (SELECT max(len(vector)) FROM r) + 1) t(i) GROUP BY seed, i),
 first_ AS (SELECT list({'t': t, 's': n} ORDER BY seed) AS all_ FROM (SELECT seed, list(x ORDER BY i) AS t, max(n) AS n FROM summed GROUP BY seed)),
@@ -195,11 +197,21 @@ merging(step, all_, free, found) AS (
     WHERE len(free) > 0 OR len(found) < len(all_)),
 centres AS (SELECT k, list_transform(all_[k].t, lambda x: x / all_[k].s) AS vector FROM (SELECT all_ FROM merging WHERE len(free) = 0 AND len(found) = len(all_) ORDER BY step DESC LIMIT 1), range(1, len(all_) + 1) t(k)),
 placed AS (SELECT p.face_id, arg_max(c.k, {'sim': list_cosine_similarity(p.vector, c.vector), 'k': -c.k}) AS k FROM r p CROSS JOIN centres c GROUP BY p.face_id)
-SELECT 'cl-' || min(face_id) OVER (PARTITION BY k) AS cluster_id, count(*) OVER (PARTITION BY k) AS size, face_id FROM placed""")
+SELECT 'cl-' || min(face_id) OVER (PARTITION BY k) AS cluster_id, count(*) OVER (PARTITION BY k) AS size, face_id FROM placed"""
+    return SEEDS.replace("16", str(count)) + merging.replace("0.65", str(threshold))
+
+
+@query("clusters", _clusters_sql(64, 0.65))
 def _(v: Views):
     return faces.members(clustering.grouped(v.points, 64, 0.65))
 
 
+@query("clusters_coarse", _clusters_sql(48, 0.2))
+def _(v: Views):
+    """A threshold at which centres merge, over several rounds."""
+    return faces.members(clustering.grouped(v.points, 48, 0.2))
+
+
 LABELS = ", c AS (SELECT 'cl-' || min(face_id) AS cluster_id, count(*) AS size FROM points GROUP BY id_videofile), q AS (SELECT 'cl-' || face_id AS recognizer_key FROM points WHERE face_id % 2 = 0)\n"
 
 
