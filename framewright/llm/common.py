@@ -111,10 +111,11 @@ def with_class(rows: DataFrame, classes: DataFrame, key: str, size: str, total:
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
-    """(node, root) of every node in ``edges``; root is the smallest node of its connected component.
+    """(node, root) of every node in ``edges``, stored; root is the smallest node of its connected component.
 
     Large-star / small-star rounds. Minima are combined before the shuffle. Each step is a stored table, so plans stay
     small, and edges meet their minima in plain joins of two scans, whose skewed partitions (hubs) Spark splits at runtime.
+    A round's tables are deleted when its edges are written.
     """
     e = stored(edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a <> b").distinct(), "edges")
     sign = lambda t: t.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
@@ -128,11 +129,14 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
         large = stored(up.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), "large-star")
         least = stored(large.groupBy("a").agg(F.min("b").alias("m")), "minima")
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
-        e = stored(small.distinct(), "edges")
+        before, e = e, stored(small.distinct(), "edges")
+        forget(before, low, large, least)
         now = sign(e)
         if now == last:
             break
         last = now
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
-    return e.select(F.col("a").alias("node"), F.col("b").alias("root")).union(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    out = stored(e.select(F.col("a").alias("node"), F.col("b").alias("root")).union(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()), "roots")
+    forget(e)
+    return out

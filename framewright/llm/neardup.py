@@ -15,8 +15,9 @@ miss links.
 
 Second search, which misses none. Of two sets of shingles that are alike enough, the prefixes share a shingle, whatever
 the order (rarest first here, as far as a sample tells): so texts meet under each shingle of their prefix, and all pairs
-that the first search left in different components are candidates. Where a bucket has many more pairs than rows, the
-parities are compared inside the bucket, each text gets the nearest of its possible partners first, and what that leaves
+that the first search left in different components are candidates. Shingles in the prefixes of more than HOT_ROWS texts
+are counted before anything is dealt by them; their rows are dealt by cells, pairs of blocks of a bounded size, never
+whole (``cells``). Where another bucket has many more pairs than rows, the parities are compared inside the bucket, each text gets the nearest of its possible partners first, and what that leaves
 in different components goes on to a round with more partners, until no partner is left out.
 
 Parities: bit i tells whether an odd number of a text's shingles falls to place i. Two texts' parities differ in no more
@@ -27,6 +28,7 @@ decides on the others is the exact Jaccard similarity of their sets.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, packed, ship, stored, text_of, unpacked, with_filter
+from .common import components, forget, packed, ship, stored, text_of, unpacked, with_filter
 from .simhash import golay_indices, golay_tables, shingle_hashes
 
 SHINGLE = 5
@@ -57,7 +59,10 @@ SIZE_REACH = math.ceil(-math.log(SIMILARITY) / math.log(SIZE_STEP))
 PAIRS_A_ROW = 4
 #: A bucket of more pairs than this is dealt out to several tasks.
 MOST_PAIRS = 50_000_000
-#: Partners that a row of such a bucket is given in the first round; each further round gives MORE_PARTNERS times as many.
+#: A prefix shingle of more texts than this is dealt out before its rows meet. There are MOST_HOT of them at most: beyond
+#: HOT_ROWS * MOST_HOT rows a shingle has to be in a MOST_HOT-th of all prefixes. PLACES: counters of the first count.
+HOT_ROWS, MOST_HOT, PLACES = 20_000, 1_000_000, 1 << 20
+#: Partners that a row of such a bucket is given in the first round, in all its cells; each further round gives MORE_PARTNERS times as many.
 FIRST_PARTNERS, MORE_PARTNERS = 4, 16
 _BYTES = (FAMILIES * 46 + PLAIN_BITS + 7) // 8
 
@@ -274,10 +279,10 @@ def prefix_pairs(packed: np.ndarray, node: np.ndarray, root: np.ndarray):
         at = to
 
 
-def nearest_partners(bucket: np.ndarray, node: np.ndarray, root: np.ndarray, size: np.ndarray, parity: list[bytes], most: int):
+def nearest_partners(bucket: np.ndarray, node: np.ndarray, root: np.ndarray, size: np.ndarray, parity: list[bytes], most: np.ndarray):
     """Yields (a, b, None): each row with the nearest ``most`` rows behind its component that can be alike enough.
 
-    Of buckets where a row has more such partners it yields (nodes, buckets, None) too, as the second kind: (a, b, True).
+    Of buckets where a row has more such partners it yields (None, None, rows) too.
     """
     order, own, last = by_buckets(bucket, node, root)
     width = np.array([len(p) for p in parity], dtype=np.int64)
@@ -311,16 +316,16 @@ def nearest_partners(bucket: np.ndarray, node: np.ndarray, root: np.ndarray, siz
             if not near or not sum(map(len, near)):
                 continue
             near, far = np.concatenate(near), np.concatenate(far)
-            if len(near) > most:
+            if len(near) > most[r]:
                 more = True
-                near = near[np.argsort(far, kind="stable")[:most]]
+                near = near[np.argsort(far, kind="stable")[: most[r]]]
             left.append(np.full(len(near), r))
             right.append(rows[near])
         if left:
             found = np.sort(np.stack([node[np.concatenate(left)], node[np.concatenate(right)]], axis=1), axis=1)
-            yield found[:, 0], found[:, 1], False
+            yield found[:, 0], found[:, 1], None
         if more:
-            yield node[rows], bucket[rows], True
+            yield None, None, rows
         at = end
 
 
@@ -339,20 +344,27 @@ def near_links(docs: DataFrame) -> DataFrame:
     nodes = docs.select(node_of().alias("node"), text_of().alias("text"))
     rows = nodes.count()
     known = stored(profiles(nodes, common_shingles(nodes, rows)), "profiles")
-    links = stored(alike(nodes, possible(met_by_bits(known, rows), known)), "links")
-    roots = stored(components(links), "first-roots")
-    met = met_by_prefix(known, rows, roots)
-    more = stored(alike(nodes, possible(met.where("NOT whole").select("a", "b").distinct(), known)), "links")
-    links = links.union(more)
-    rest = met.where("whole").select(F.col("b").alias("bucket"), F.col("a").alias("node"), "blocks").distinct()
+    links = [alike(nodes, possible(met_by_bits(known, rows), known))]
+    roots = components(links[0])
+    met, hot = met_by_prefix(known, rows, roots)
+    links.append(alike(nodes, possible(met.where("NOT whole").select("a", "b").distinct(), known)))
+    rest = blocks(met.where("whole").select(F.col("b").alias("bucket"), F.col("a").alias("node"), "blocks").distinct()).union(hot)
     partners = FIRST_PARTNERS
     while not rest.isEmpty():
-        roots = stored(components(links), "roots")
-        found = stored(met_by_parity(rest, known, roots, rows, partners), "met")
-        links = links.union(stored(alike(nodes, stored(found.where("NOT whole").select("a", "b").distinct(), "candidates")), "links"))
-        rest = found.where("whole").select(F.col("b").alias("bucket"), F.col("a").alias("node"), F.lit(1).cast("long").alias("blocks"))
-        partners *= MORE_PARTNERS
-    return links
+        forget(roots)
+        roots = components(union(links))
+        found = stored(met_by_parity(rest, known, roots, partners), "met")
+        forget(met, hot)
+        links.append(alike(nodes, stored(found.where("NOT whole").select("a", "b").distinct(), "candidates")))
+        rest = found.where("whole").select(F.col("b").alias("bucket"), F.col("a").alias("node"), F.col("blocks").alias("cells"))
+        met, partners = found, partners * MORE_PARTNERS
+    out = stored(union(links), "near-links")
+    forget(roots, met, hot, known, *links)
+    return out
+
+
+def union(tables: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.union, tables)
 
 
 def met_by_bits(known: DataFrame, rows: int) -> DataFrame:
@@ -380,7 +392,9 @@ def met_by_bits(known: DataFrame, rows: int) -> DataFrame:
     members = met.where("cluster IS NOT NULL").select("cluster", F.col("a").alias("member"), F.col("b").alias("distance"))
     centres = members.groupBy("cluster").agg(F.min(F.struct("distance", "member"))["member"].alias("centre"))
     spokes = members.join(centres, "cluster").select(F.least("member", "centre").alias("a"), F.greatest("member", "centre").alias("b")).where("a <> b")
-    return stored(met.where("cluster IS NULL").select("a", "b").union(spokes).distinct(), "candidates")
+    out = stored(met.where("cluster IS NULL").select("a", "b").union(spokes).distinct(), "candidates")
+    forget(met)
+    return out
 
 
 def shingle_sets(batches):
@@ -429,8 +443,12 @@ def _met(a, b, blocks, whole: bool) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.nulls(len(a), pa.int64()) if blocks is None else pa.array(blocks, pa.int64()), pa.array(np.full(len(a), whole))], ["a", "b", "blocks", "whole"])
 
 
-def met_by_prefix(known: DataFrame, rows: int, roots: DataFrame) -> DataFrame:
-    """a, b, blocks, whole: candidates of nodes with different roots; where whole, node a is in bucket b, whose rows are yet to be compared."""
+def met_by_prefix(known: DataFrame, rows: int, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Candidates of nodes with different roots, and rows that are yet to be compared in their cells.
+
+    The first table has a, b, blocks, whole; where whole, node a is in bucket b, whose rows are yet to be dealt to blocks
+    and compared. The second, from hot shingles, has bucket, node, cells as ``met_by_parity`` takes them.
+    """
     spark = known.sparkSession
 
     def pairs(batches):
@@ -439,29 +457,87 @@ def met_by_prefix(known: DataFrame, rows: int, roots: DataFrame) -> DataFrame:
             for a, b, blocks in prefix_pairs(*(np.concatenate(c) for c in zip(*parts, strict=True))):
                 yield _met(a, b, blocks, blocks is not None)
 
+    hot = hot_shingles(known)
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows * 80 // 1_500_000)
     each = with_roots(known.select("node", "keys"), roots).select(F.explode("keys").alias("packed"), "node", "root")
-    return stored(each.repartition(n, F.shiftright("packed", SIZE_BITS)).mapInArrow(pairs, MET), "met")
+    bucket = F.shiftright("packed", SIZE_BITS)
+    hot_rows = stored(each.withColumn("bucket", bucket).join(F.broadcast(hot), "bucket", "left_semi").select("bucket", "node", "root"), "hot")
+    dealt = stored(cells(hot_rows), "cells")
+    rest = each.join(F.broadcast(hot.withColumnRenamed("bucket", "hot")), bucket == F.col("hot"), "left_anti")
+    met = stored(rest.repartition(n, bucket).mapInArrow(pairs, MET), "met")
+    forget(hot, hot_rows)
+    return met, dealt
+
+
+def hot_shingles(known: DataFrame) -> DataFrame:
+    """bucket: what is in the prefixes of more than HOT_ROWS texts, MOST_HOT at most.
+
+    Places to which the shingles are hashed are counted first, in a table of PLACES rows a task; shingles alone only
+    where their place has rows enough. So counting shuffles little, and no hot shingle is missed.
+    """
+    each = known.select(F.explode("keys").alias("packed")).select(F.shiftright("packed", SIZE_BITS).alias("bucket"))
+    total = known.agg(F.sum(F.size("keys").cast("long"))).first()[0] or 0
+    least = max(HOT_ROWS, total // MOST_HOT)
+    place = F.pmod(F.xxhash64("bucket", F.lit("place")), F.lit(PLACES))
+    busy = stored(each.groupBy(place.alias("place")).count().where(F.col("count") > least).select("place"), "places")
+    some = each.withColumn("place", place).join(F.broadcast(busy), "place", "left_semi")
+    out = stored(some.groupBy("bucket").count().where(F.col("count") > least).select("bucket"), "hot")
+    forget(busy)
+    return out
 
 
-def met_by_parity(rest: DataFrame, known: DataFrame, roots: DataFrame, rows: int, partners: int) -> DataFrame:
-    """a, b, blocks, whole as above, from the rows of whole buckets. Each pair of blocks of a bucket becomes a bucket of its own."""
+def block_of(blocks):
+    return F.pmod(F.xxhash64("node", F.lit("block")), blocks)
+
+
+def numbers_below(n):
+    return F.sequence(F.lit(0).cast("long"), n - 1)
+
+
+def cells(rows: DataFrame) -> DataFrame:
+    """(bucket, node, cells) from stored (bucket, node, root) of hot shingles: the cells each row is in, and how many.
+
+    A bucket's rows of its largest component need not meet each other. They and the others are dealt to blocks of about
+    sqrt(MOST_PAIRS) rows; each block of the one kind meets each of the other, and blocks of others meet too. So a row is
+    repeated as often as there are blocks it has to meet, and components that fill their bucket alone make no cells.
+    """
+    side = math.isqrt(MOST_PAIRS)
+    sizes = rows.groupBy("bucket", "root").count().groupBy("bucket").agg(F.sum("count").alias("n"), F.max(F.struct("count", "root")).alias("top"))
+    ceil = lambda n: F.ceil(n / side).cast("long")
+    known = sizes.where("n > top.count").select("bucket", F.col("top.root").alias("top"), ceil(F.col("top.count")).alias("mine"), ceil(F.col("n") - F.col("top.count")).alias("others"))
+    # one row a hot shingle, MOST_HOT at most
+    met = rows.join(F.broadcast(known), "bucket")
+    top = met.where("root = top").select("bucket", "node", block_of(F.col("mine")).alias("x"), F.explode(numbers_below(F.col("others"))).alias("y"), F.lit("top").alias("kind"), F.col("others").alias("cells"))
+    other = met.where("root <> top").withColumn("own", block_of(F.col("others"))).withColumn("cells", F.col("mine") + F.col("others") - 1)
+    to_top = other.select("bucket", "node", F.explode(numbers_below(F.col("mine"))).alias("x"), F.col("own").alias("y"), F.lit("top").alias("kind"), "cells")
+    pairs = other.withColumn("k", F.explode(numbers_below(F.col("others")))).where("k <> own")
+    to_others = pairs.select("bucket", "node", F.least("k", "own").alias("x"), F.greatest("k", "own").alias("y"), F.lit("other").alias("kind"), "cells")
+    return union([top, to_top, to_others]).select(F.xxhash64("bucket", "kind", "x", "y").alias("bucket"), "node", "cells")
+
+
+def blocks(rest: DataFrame) -> DataFrame:
+    """(bucket, node, cells) from whole buckets (bucket, node, blocks): each pair of blocks of a bucket becomes a bucket of its own."""
+    dealt = rest.withColumn("block", block_of(F.col("blocks"))).withColumn("other", F.explode(numbers_below(F.col("blocks"))))
+    name = F.when(F.col("blocks") == 1, F.col("bucket")).otherwise(F.xxhash64("bucket", F.least("block", "other"), F.greatest("block", "other")))
+    return dealt.select(name.alias("bucket"), "node", F.col("blocks").alias("cells"))
+
+
+def met_by_parity(rest: DataFrame, known: DataFrame, roots: DataFrame, partners: int) -> DataFrame:
+    """a, b, blocks, whole as above, from rows of buckets that a task can hold. What is whole has the cells of its row as blocks."""
     spark = known.sparkSession
 
     def pairs(batches):
         parts = [b for b in batches if b.num_rows]
         if parts:
             table = pa.Table.from_batches(parts)
-            bucket, node, root, size = (table.column(c).to_numpy() for c in ("bucket", "node", "root", "size"))
-            for a, b, whole in nearest_partners(bucket, node, root, size, table.column("parity").to_pylist(), partners):
-                yield _met(a, b, None, whole)
+            bucket, node, root, size, cells = (table.column(c).to_numpy() for c in ("bucket", "node", "root", "size", "cells"))
+            most = np.maximum(1, partners // cells)
+            for a, b, left in nearest_partners(bucket, node, root, size, table.column("parity").to_pylist(), most):
+                yield _met(a, b, None, False) if left is None else _met(node[left], bucket[left], cells[left], True)
 
-    block = F.pmod(F.xxhash64("node", F.lit("block")), F.col("blocks"))
-    dealt = rest.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    name = F.when(F.col("blocks") == 1, F.col("bucket")).otherwise(F.xxhash64("bucket", F.least("block", "other"), F.greatest("block", "other")))
-    dealt = with_roots(dealt.select(name.alias("bucket"), "node"), roots).join(known.select("node", "size", "parity").dropDuplicates(["node"]), "node")
+    dealt = with_roots(rest, roots).join(known.select("node", "size", "parity").dropDuplicates(["node"]), "node")
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rest.count() // 100_000)
-    return dealt.select("bucket", "node", "root", "size", "parity").repartition(n, "bucket").mapInArrow(pairs, MET)
+    return dealt.select("bucket", "node", "root", "size", "cells", "parity").repartition(n, "bucket").mapInArrow(pairs, MET)
 
 
 def possible(candidates: DataFrame, known: DataFrame) -> DataFrame:
@@ -475,29 +551,37 @@ def possible(candidates: DataFrame, known: DataFrame) -> DataFrame:
 
     side = lambda c: known.select(F.col("node").alias(c), F.col("size").alias(f"size_{c}"), F.col("parity").alias(f"parity_{c}")).dropDuplicates([c])
     both = candidates.join(side("a"), "a").join(side("b"), "b").select("a", "b", "size_a", "parity_a", "size_b", "parity_b")
-    return stored(both.mapInArrow(run, "a long, b long"), "candidates")
+    out = stored(both.mapInArrow(run, "a long, b long"), "candidates")
+    forget(candidates)
+    return out
 
 
 def alike(nodes: DataFrame, candidates: DataFrame) -> DataFrame:
-    """The candidates (a, b) whose Jaccard similarity is SIMILARITY or more."""
+    """The candidates (a, b; stored, deleted afterwards) whose Jaccard similarity is SIMILARITY or more, as a stored table."""
     asked = stored(candidates.select(F.col("a").alias("node")).union(candidates.select("b")).distinct(), "asked")
     some = with_filter(nodes, F.col("node"), asked, "node", "asked").where("asked").drop("asked")
     sets = stored(some.join(asked, "node", "left_semi").mapInArrow(shingle_sets, "node long, shingles array<long>").dropDuplicates(["node"]), "shingles")
     both = candidates.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
-    return both.where(common >= SIMILARITY * (F.size("x") + F.size("y") - common)).select("a", "b")
+    out = stored(both.where(common >= SIMILARITY * (F.size("x") + F.size("y") - common)).select("a", "b"), "links")
+    forget(asked, sets, candidates)
+    return out
 
 
 def without_near_copies(docs: DataFrame) -> DataFrame:
     """docs with one row of each group of near copies, columns unchanged: the one with the smallest doc_id.
 
-    Groups are the connected components of near_links. Equal rows are one text; all of them stay or go.
+    Groups are the connected components of near_links. Equal rows are one text; all of them stay or go. Null texts count
+    as empty and stay, as all texts without words do; texts are read whole, however long; an empty table gives an empty
+    one; columns travel whatever their names.
     """
-    roots = stored(components(near_links(docs)), "near-roots")
+    links = near_links(docs)
+    roots = components(links)
     ids = docs.select(F.col("doc_id").cast("long").alias("_id"), node_of().alias("node")).join(roots, "node")
     stay = stored(ids, "near-ids")
     first = stay.groupBy("root").agg(F.min(F.struct("_id", "node")).alias("first")).select(F.col("first.node").alias("node"))
     go = stored(stay.select("node").distinct().join(first, "node", "left_anti"), "near-copies")
+    forget(links, roots, stay)
     # rows that surely stay aren't shuffled
     marked = with_filter(packed(docs, node=node_of()), F.col("node"), go, "node", "copied")
     rest = marked.where("copied").join(go, "node", "left_anti")

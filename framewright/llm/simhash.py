@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, ship, stored, text_of, with_class
+from .common import components, forget, ship, stored, text_of, with_class
 
 #: g(x) of the (23, 12) binary Golay code, x^11 + x^9 + x^7 + x^6 + x^5 + x + 1.
 GENERATOR = 0b101011100011
@@ -197,6 +197,7 @@ def near_groups(fps: DataFrame, distance: int = 3) -> DataFrame:
     rows, total = classes.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     roots = components(links(classes, rows, distance).distinct())
     known = stored(classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first_id", "size", F.coalesce("root", "fp").alias("root")), "roots")
+    forget(roots, classes)
     least = known.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = known.join(least, "root").select("fp", "size", "component_id")
     # rows without an id are dealt by a seeded draw, the same whenever a task reads the stored rows again

@@ -1,10 +1,11 @@
 import random
 import re
+from collections import Counter, defaultdict
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from framewright.llm import neardup
+from framewright.llm import common, neardup
 
 
 def shingles(text, w=neardup.SHINGLE):
@@ -135,6 +136,60 @@ def test_large_group_by_the_second_search_alone(spark, monkeypatch):
     same_as_plain(spark, template(120, 3, 150))
 
 
+def test_hot_shingles_are_dealt_before_their_rows_meet(spark, monkeypatch):
+    """Shingles of more than HOT_ROWS texts, with and without the first search, which joins most of a bucket beforehand."""
+    monkeypatch.setattr(neardup, "HOT_ROWS", 20)
+    monkeypatch.setattr(neardup, "MOST_PAIRS", 900)
+    texts = template(160, 2, 100)
+    other = template(40, 9, 100)
+    same_as_plain(spark, texts | {1000 + i: t for i, t in other.items()})
+    without_first_search(monkeypatch)
+    monkeypatch.setattr(neardup, "FIRST_PARTNERS", 1)
+    same_as_plain(spark, template(130, 3, 150))
+
+
+def test_hot_shingles_are_counted_exactly(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "HOT_ROWS", 10)
+    monkeypatch.setattr(neardup, "PLACES", 4)
+    keys = [[s << neardup.SIZE_BITS | n % 7 for s in range(n % 30, 30)] for n in range(45)]
+    known = spark.createDataFrame([(n, k) for n, k in enumerate(keys)], "node long, keys array<long>")
+    often = Counter(k >> neardup.SIZE_BITS for ks in keys for k in ks)
+    assert 0 < sum(n > 10 for n in often.values()) < len(often)
+    assert {r["bucket"] for r in neardup.hot_shingles(known).collect()} == {s for s, n in often.items() if n > 10}
+    monkeypatch.setattr(neardup, "MOST_HOT", 20)
+    least = sum(often.values()) // 20
+    assert {r["bucket"] for r in neardup.hot_shingles(known).collect()} == {s for s, n in often.items() if n > least}
+    assert neardup.hot_shingles(known.limit(0)).count() == 0
+
+
+def test_cells_let_all_rows_of_different_components_meet(spark, monkeypatch):
+    """In cells of a bounded size; a component that fills its bucket alone makes none."""
+    monkeypatch.setattr(neardup, "MOST_PAIRS", 100)
+    buckets = {1: [0] * 70 + list(range(1, 31)), 2: [5] * 50, 3: list(range(40)), 4: [0] * 90 + [1], 5: [0, 1]}
+    rows = [(b, 1000 * b + n, r) for b, roots in buckets.items() for n, r in enumerate(roots)]
+    root = {(b, n): r for b, n, r in rows}
+    cells = defaultdict(set)
+    for r in neardup.cells(spark.createDataFrame(rows, "bucket long, node long, root long")).collect():
+        assert r["node"] not in cells[r["bucket"]] and r["cells"] > 0
+        cells[r["bucket"]].add(r["node"])
+    met = {(a, b) for own in cells.values() for a in own for b in own if a < b}
+    assert max(map(len, cells.values())) <= 50 and not any(2000 <= n < 3000 for own in cells.values() for n in own)
+    assert all((x, y) in met for b in buckets for x in range(1000 * b, 1000 * b + len(buckets[b])) for y in range(x + 1, 1000 * b + len(buckets[b])) if root[b, x] != root[b, y])
+
+
+def test_only_what_the_result_reads_is_kept(spark, monkeypatch):
+    """Tables of the search and its rounds are deleted; the result can be run twice."""
+    left = []
+    real = neardup.stored
+    for module in (neardup, common):
+        monkeypatch.setattr(module, "stored", lambda df, name: left.append((name, real(df, name))) or left[-1][1])
+    df = spark.createDataFrame(list(template(60, 2, 100).items()), "doc_id long, text string")
+    out = neardup.without_near_copies(df)
+    there = [name for name, table in left if table in common._places]
+    assert len(left) > 20 and set(there) <= {"filter", "near-copies"} and "near-copies" in there
+    assert out.count() == out.count()
+
+
 def test_parities_never_exclude_what_is_alike():
     rng = np.random.default_rng(7)
     for n in (1, 3, 60, 65, 130, 900):
