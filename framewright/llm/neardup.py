@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, forget, packed, ship, stored, text_of, unpacked, with_filter
+from .common import components, forget, packed, ship, stored, text_of, tidy, unpacked, with_filter
 from .simhash import golay_indices, golay_tables, shingle_hashes
 
 SHINGLE = 5
@@ -387,7 +387,7 @@ def met_by_bits(known: DataFrame, rows: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(members[:, 1]), pa.array(members[:, 2]), pa.array(members[:, 0])], ["a", "b", "cluster"])
 
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows * 130 // 1_500_000)
-    met = known.select("node", "bits").mapInArrow(keys, "packed long, node long").repartition(n, F.shiftright("packed", KEY_SHIFT)).mapInArrow(pairs, "a long, b long, cluster long")
+    met = known.select("node", "bits").mapInArrow(tidy(keys), "packed long, node long").repartition(n, F.shiftright("packed", KEY_SHIFT)).mapInArrow(tidy(pairs), "a long, b long, cluster long")
     met = stored(met.distinct(), "met")
     members = met.where("cluster IS NOT NULL").select("cluster", F.col("a").alias("member"), F.col("b").alias("distance"))
     centres = members.groupBy("cluster").agg(F.min(F.struct("distance", "member"))["member"].alias("centre"))
@@ -406,7 +406,7 @@ def shingle_sets(batches):
 
 def common_shingles(nodes: DataFrame, rows: int) -> np.ndarray:
     """The commonest shingles of a sample, sorted, and how often they are in it, as rows. They set the order of prefixes only."""
-    sample = nodes.where(F.pmod("node", F.lit(max(1, rows // SAMPLE))) == 0).mapInArrow(shingle_sets, "node long, shingles array<long>")
+    sample = nodes.where(F.pmod("node", F.lit(max(1, rows // SAMPLE))) == 0).mapInArrow(tidy(shingle_sets), "node long, shingles array<long>")
     often = sample.select(F.explode("shingles").alias("s")).groupBy("s").count().where("count > 2").orderBy(F.desc("count"), "s").limit(COMMON).collect()
     return np.array(sorted((r[0], r[1]) for r in often), dtype=np.int64).reshape(-1, 2)
 
@@ -426,7 +426,7 @@ def profiles(nodes: DataFrame, often: np.ndarray) -> DataFrame:
                 node, bits, size, parity, keys = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(bits, pa.binary()), pa.array(size, pa.int64()), pa.array(parity, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["node", "bits", "size", "parity", "keys"])
 
-    return nodes.mapInArrow(run, "node long, bits binary, size long, parity binary, keys array<long>")
+    return nodes.mapInArrow(tidy(run), "node long, bits binary, size long, parity binary, keys array<long>")
 
 
 def with_roots(rows: DataFrame, roots: DataFrame) -> DataFrame:
@@ -464,7 +464,7 @@ def met_by_prefix(known: DataFrame, rows: int, roots: DataFrame) -> tuple[DataFr
     hot_rows = stored(each.withColumn("bucket", bucket).join(F.broadcast(hot), "bucket", "left_semi").select("bucket", "node", "root"), "hot")
     dealt = stored(cells(hot_rows), "cells")
     rest = each.join(F.broadcast(hot.withColumnRenamed("bucket", "hot")), bucket == F.col("hot"), "left_anti")
-    met = stored(rest.repartition(n, bucket).mapInArrow(pairs, MET), "met")
+    met = stored(rest.repartition(n, bucket).mapInArrow(tidy(pairs), MET), "met")
     forget(hot, hot_rows)
     return met, dealt
 
@@ -537,7 +537,7 @@ def met_by_parity(rest: DataFrame, known: DataFrame, roots: DataFrame, partners:
 
     dealt = with_roots(rest, roots).join(known.select("node", "size", "parity").dropDuplicates(["node"]), "node")
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rest.count() // 100_000)
-    return dealt.select("bucket", "node", "root", "size", "cells", "parity").repartition(n, "bucket").mapInArrow(pairs, MET)
+    return dealt.select("bucket", "node", "root", "size", "cells", "parity").repartition(n, "bucket").mapInArrow(tidy(pairs), MET)
 
 
 def possible(candidates: DataFrame, known: DataFrame) -> DataFrame:
@@ -551,7 +551,7 @@ def possible(candidates: DataFrame, known: DataFrame) -> DataFrame:
 
     side = lambda c: known.select(F.col("node").alias(c), F.col("size").alias(f"size_{c}"), F.col("parity").alias(f"parity_{c}")).dropDuplicates([c])
     both = candidates.join(side("a"), "a").join(side("b"), "b").select("a", "b", "size_a", "parity_a", "size_b", "parity_b")
-    out = stored(both.mapInArrow(run, "a long, b long"), "candidates")
+    out = stored(both.mapInArrow(tidy(run), "a long, b long"), "candidates")
     forget(candidates)
     return out
 
@@ -560,7 +560,7 @@ def alike(nodes: DataFrame, candidates: DataFrame) -> DataFrame:
     """The candidates (a, b; stored, deleted afterwards) whose Jaccard similarity is SIMILARITY or more, as a stored table."""
     asked = stored(candidates.select(F.col("a").alias("node")).union(candidates.select("b")).distinct(), "asked")
     some = with_filter(nodes, F.col("node"), asked, "node", "asked").where("asked").drop("asked")
-    sets = stored(some.join(asked, "node", "left_semi").mapInArrow(shingle_sets, "node long, shingles array<long>").dropDuplicates(["node"]), "shingles")
+    sets = stored(some.join(asked, "node", "left_semi").mapInArrow(tidy(shingle_sets), "node long, shingles array<long>").dropDuplicates(["node"]), "shingles")
     both = candidates.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
     out = stored(both.where(common >= SIMILARITY * (F.size("x") + F.size("y") - common)).select("a", "b"), "links")

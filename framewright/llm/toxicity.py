@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, stored, text_of
+from .common import ship, stored, text_of, tidy
 
 #: Severity grades, 0 (none) to GRADES - 1.
 GRADES = 4
@@ -273,7 +273,7 @@ def without_toxic(docs: DataFrame, model: OrdinalModel) -> DataFrame:
             eta = scores([t or "" for t in batch.column(at).to_pylist()])
             yield batch.filter(pa.array(m.above(eta)[:, 0] < REJECT))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def op3_toxicity(spark, sf_dir: str) -> DataFrame:

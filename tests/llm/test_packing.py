@@ -45,3 +45,14 @@ def test_odd_rows(odd, empty):
     out = packing.pack(odd)
     check(out, odd, packing.BUDGET)
     assert out.where(F.col("piece") == 0).count() == odd.count() and packing.pack(empty).count() == 0
+
+
+def test_words_without_python(spark, documents, odd):
+    """Pieces are counted by Spark itself, so no Arrow batches or Python processes stand beside an executor's heap; words are those of bytes.split()."""
+    texts = ["", " ", "\t\n\x0b\x0c\r ", "a", " a", "a ", "a b", "a \n\tb\x0b", "a\x0cb\rc", "a\x1cb\x1db\x85c\xa0d e", "x\x00y z", "😀 ​ ü", "x x xx x", "\n\nx\n\n", "word " * 70_000, "w" * 200_000, " " * 200_000]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").union(documents.select("doc_id", "text")).union(odd.select("doc_id", "text"))
+    got = sorted(tuple(r) for r in rows.select(packing.text_of().alias("text"), packing.count_words(packing.text_of())).collect())
+    assert got == [(t, len(t.encode().split())) for t, _ in got] and len(got) == rows.count()
+    cut = packing.pieces(rows, 50)
+    assert "Arrow" not in (plan := cut._jdf.queryExecution().executedPlan().toString()) and "Python" not in plan
+    assert cut.dtypes == [("doc_id", "bigint"), ("piece", "int"), ("first_word", "bigint"), ("n_words", "bigint")]
